@@ -24,6 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import reliable_checkpoint
+
 _K = "__rank"
 _LO, _HI, _OFF = "__lo", "__hi", "__off"
 
@@ -97,7 +99,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: S
     if single:  # a constant group keeps every join an equi-join
         df, groups = df.withColumn("__g", F.lit(0)), ["__g"]
     vals = df.select(*groups, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    weighted = vals.groupBy(*groups, "v").agg(F.count(F.lit(1)).alias("w"))
+    # distinct values with weights feed several small jobs below: cut the
+    # lineage once (reliable checkpoint) instead of recomputing the input
+    weighted = reliable_checkpoint(vals.groupBy(*groups, "v").agg(F.count(F.lit(1)).alias("w")))
     totals = weighted.groupBy(*groups).agg(F.sum("w").alias("n"))
     targets = _targets(totals, groups, probs)
     ranks = targets.select(*groups, F.col("r_lo").alias(_K)).union(targets.select(*groups, F.col("r_hi").alias(_K))).distinct()

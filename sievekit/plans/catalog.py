@@ -28,7 +28,9 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> tuple[dict[str, QueryFn], dict[str, str]]:
     from . import (  # noqa: F401  (import for registration side effects)
+        q_aggregates,
         q_cleaning,
         q_features,
+        q_splits,
     )
     return dict(QUERIES), dict(ORACLE)

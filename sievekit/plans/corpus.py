@@ -47,3 +47,53 @@ CORPUS_SQL = """(
   UNION ALL
   SELECT 'd' || CAST(doc_id AS VARCHAR), text, CAST(3 AS BIGINT), 'Normal' FROM documents
 )"""
+
+
+# ---------------------------------------------------------------------------
+# Deterministic scored corpus: a keyword rule predicts the class and three
+# feature-derived scores act as class probabilities. Used as the input of the
+# evaluation, aggregation and ordering queries, so those are value-checkable
+# without a trained model.
+# ---------------------------------------------------------------------------
+def scored_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.features import add_payload_features
+
+    f = add_payload_features(labelled_corpus(spark, sf_dir), "Payload")
+    ent = F.round("payload_entropy", 6)
+    length = F.greatest(F.col("payload_len"), F.lit(1)).cast("double")
+    z_xss = F.col("kw_xss") * 2.0 + F.round(F.col("special_char_cnt") / length * 10.0, 2)
+    z_sqli = F.col("kw_sql") * 2.0 + F.round(F.col("digit_ratio") * 10.0, 2)
+    z_norm = F.round(ent / 2.0, 2)
+    total = z_xss + z_sqli + z_norm
+    prob = lambda z: F.round(F.when(total > 0, z / total).otherwise(F.lit(1.0 / 3.0)), 6)
+    pred = F.when(F.col("kw_xss") == 1, 1).when(F.col("kw_sql") == 1, 2).otherwise(3).cast("bigint")
+    return f.select(
+        "ID", "Label", "text_label", "payload_len", ent.alias("payload_entropy"), "special_char_cnt",
+        "digit_ratio", "upper_ratio", "kw_sql", "kw_xss",
+        pred.alias("prediction"),
+        prob(z_xss).alias("p_xss"), prob(z_sqli).alias("p_sqli"), prob(z_norm).alias("p_normal"),
+    )
+
+
+def scored_corpus_sql() -> str:
+    from .sqltext import sql_features
+
+    f = sql_features("Payload")
+    feats = ",\n    ".join(
+        f"{f[c]} AS {c}" if c != "payload_entropy" else f"round({f[c]}, 6) AS payload_entropy"
+        for c in ("payload_len", "payload_entropy", "special_char_cnt", "digit_ratio", "upper_ratio", "kw_sql", "kw_xss"))
+    return f"""(
+  SELECT *, round(CASE WHEN z_xss + z_sqli + z_norm > 0 THEN z_xss / (z_xss + z_sqli + z_norm) ELSE 1.0 / 3.0 END, 6) AS p_xss,
+         round(CASE WHEN z_xss + z_sqli + z_norm > 0 THEN z_sqli / (z_xss + z_sqli + z_norm) ELSE 1.0 / 3.0 END, 6) AS p_sqli,
+         round(CASE WHEN z_xss + z_sqli + z_norm > 0 THEN z_norm / (z_xss + z_sqli + z_norm) ELSE 1.0 / 3.0 END, 6) AS p_normal
+  FROM (
+    SELECT ID, Label, text_label, payload_len, payload_entropy, special_char_cnt, digit_ratio, upper_ratio, kw_sql, kw_xss,
+      CAST(CASE WHEN kw_xss = 1 THEN 1 WHEN kw_sql = 1 THEN 2 ELSE 3 END AS BIGINT) AS prediction,
+      kw_xss * 2.0 + round(special_char_cnt / CAST(greatest(payload_len, 1) AS DOUBLE) * 10.0, 2) AS z_xss,
+      kw_sql * 2.0 + round(digit_ratio * 10.0, 2) AS z_sqli,
+      round(payload_entropy / 2.0, 2) AS z_norm
+    FROM (SELECT ID, Label, text_label,
+    {feats}
+    FROM {CORPUS_SQL})
+  )
+)"""
