@@ -30,6 +30,7 @@ def load_all() -> tuple[dict[str, QueryFn], dict[str, str]]:
     from . import (  # noqa: F401  (import for registration side effects)
         q_aggregates,
         q_cleaning,
+        q_encode_scale,
         q_features,
         q_splits,
     )
