@@ -31,6 +31,7 @@ def load_all() -> tuple[dict[str, QueryFn], dict[str, str]]:
         q_aggregates,
         q_cleaning,
         q_encode_scale,
+        q_evaluate,
         q_features,
         q_splits,
     )
