@@ -33,6 +33,7 @@ def load_all() -> tuple[dict[str, QueryFn], dict[str, str]]:
         q_encode_scale,
         q_evaluate,
         q_features,
+        q_io_select_stream,
         q_models,
         q_splits,
     )
