@@ -50,12 +50,12 @@ def entropy_table(df: DataFrame, key: str, payload_col: str) -> DataFrame:
     Keys whose text is empty get 0. ``key`` must be unique per row.
     """
     s = text_or_empty(payload_col)
-    chars = df.select(F.col(key), F.explode(F.split(s, "")).alias("ch")).where(F.length("ch") > 0)
-    per_char = chars.groupBy(key, "ch").agg(F.count(F.lit(1)).alias("k"))
+    chars = df.select(F.col(key), F.explode(F.split(s, "")).alias("__ch")).where(F.length("__ch") > 0)
+    per_char = chars.groupBy(key, "__ch").agg(F.count(F.lit(1)).alias("__k"))
     per_key = per_char.groupBy(key).agg(
-        F.sum("k").alias("n"),
-        F.sum(F.col("k") * F.log2("k")).alias("s"),
+        F.sum("__k").alias("__n"),
+        F.sum(F.col("__k") * F.log2("__k")).alias("__s"),
     )
-    ent = per_key.select(key, (F.log2("n") - F.col("s") / F.col("n")).alias("payload_entropy"))
+    ent = per_key.select(key, (F.log2("__n") - F.col("__s") / F.col("__n")).alias("payload_entropy"))
     empties = df.where(F.length(s) == 0).select(key, F.lit(0.0).alias("payload_entropy"))
     return ent.unionByName(empties)
