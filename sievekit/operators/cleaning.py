@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip_py
+from ..session import reliable_checkpoint
 from .quantiles import exact_quantiles, unpivot_numeric
 
 NUMERIC_TYPES = (T.DoubleType, T.FloatType, T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.DecimalType)
@@ -199,7 +200,9 @@ def clean(df: DataFrame, mode: str = "ratio", threshold: float = 0.001,
     if protect is None:
         protect = PROTECTED_BASE if mode == "ratio" else PROTECTED_DEMO
     before = df.count()
-    deduped = drop_duplicates(df)
+    # the dedupe shuffle feeds five statistics passes: materialise it once
+    # (reliable checkpoint: survives executor loss, cuts the lineage)
+    deduped = reliable_checkpoint(drop_duplicates(df))
     after = deduped.count()
     nulls = null_counts(deduped)
     with_nulls = [c for c, n in nulls.items() if n > 0]

@@ -98,7 +98,11 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: S
     single = not groups
     if single:  # a constant group keeps every join an equi-join
         df, groups = df.withColumn("__g", F.lit(0)), ["__g"]
-    vals = df.select(*groups, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    # NaN is treated as missing (pandas). nanvl keeps the column's
+    # nullability, so for provably non-null inputs the filter folds away
+    # instead of being pushed below the projection that computes ``value``.
+    v = F.col(value).cast("double")
+    vals = df.select(*groups, F.nanvl(v, F.lit(None).cast("double")).alias("v")).where(F.col("v").isNotNull())
     # distinct values with weights feed several small jobs below: cut the
     # lineage once (reliable checkpoint) instead of recomputing the input
     weighted = reliable_checkpoint(vals.groupBy(*groups, "v").agg(F.count(F.lit(1)).alias("w")))

@@ -56,7 +56,11 @@ CORPUS_SQL = """(
 # without a trained model.
 # ---------------------------------------------------------------------------
 def scored_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The narrow scored table (no text), materialised once: the summaries
+    built on it take several passes, and recomputing the text features for
+    each pass would cost far more than writing ~14 numbers per row."""
     from ..operators.features import add_payload_features
+    from ..session import reliable_checkpoint
 
     f = add_payload_features(labelled_corpus(spark, sf_dir), "Payload")
     ent = F.round("payload_entropy", 6)
@@ -67,12 +71,12 @@ def scored_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = z_xss + z_sqli + z_norm
     prob = lambda z: F.round(F.when(total > 0, z / total).otherwise(F.lit(1.0 / 3.0)), 6)
     pred = F.when(F.col("kw_xss") == 1, 1).when(F.col("kw_sql") == 1, 2).otherwise(3).cast("bigint")
-    return f.select(
+    return reliable_checkpoint(f.select(
         "ID", "Label", "text_label", "payload_len", ent.alias("payload_entropy"), "special_char_cnt",
         "digit_ratio", "upper_ratio", "kw_sql", "kw_xss",
         pred.alias("prediction"),
         prob(z_xss).alias("p_xss"), prob(z_sqli).alias("p_sqli"), prob(z_norm).alias("p_normal"),
-    )
+    ))
 
 
 def scored_corpus_sql() -> str:

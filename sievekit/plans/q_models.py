@@ -86,6 +86,10 @@ def q_fit_gaussian_nb(spark, sf_dir):
     """Gaussian naive Bayes fitted on the whole corpus (class means,
     population variances + var_smoothing x max variance) and its argmax class
     for every payload."""
-    df = feature_table(spark, sf_dir).select("ID", "text_label", *[F.col(c).cast("double").alias(c) for c in FEATS])
+    from ..operators.features import add_payload_features
+    from .corpus import labelled_corpus
+
+    df = add_payload_features(labelled_corpus(spark, sf_dir), "Payload").select(
+        "ID", "text_label", *[F.col(c).cast("double").alias(c) for c in FEATS])
     state = fit_gaussian_nb(df, FEATS, "text_label")
     return predict_gaussian_nb(df, state, FEATS).select("ID", "prediction")

@@ -39,8 +39,27 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+# tables whose rows carry long texts: per-row feature work is CPU-bound
+TEXT_TABLES = ("documents", "pages", "conversations", "benchmark")
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool | None = None) -> DataFrame:
+    """Scan one table. Text tables are spread over the cluster's cores when
+    the scan yields fewer splits than that (see ``spread_for_cpu``)."""
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    if spread if spread is not None else name in TEXT_TABLES:
+        df = spread_for_cpu(df)
+    return df
+
+
+def spread_for_cpu(df: DataFrame) -> DataFrame:
+    """Round-robin repartition to the default parallelism, but only when the
+    input has fewer partitions than that (e.g. a file written as one row
+    group). A large input already has many splits and is left untouched, so
+    this never adds a shuffle at scale; on a small input it is a cheap
+    shuffle that lets CPU-heavy per-row expressions use every core."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
