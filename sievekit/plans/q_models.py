@@ -93,3 +93,52 @@ def q_fit_gaussian_nb(spark, sf_dir):
         "ID", "text_label", *[F.col(c).cast("double").alias(c) for c in FEATS])
     state = fit_gaussian_nb(df, FEATS, "text_label")
     return predict_gaussian_nb(df, state, FEATS).select("ID", "prediction")
+
+
+def _knn_sql(k: int = 5) -> str:
+    from .corpus import scored_corpus_sql
+    from .q_splits import STRATIFIED_SPLIT_SQL
+
+    fs = FEATS
+    stats = ", ".join(f"avg(CAST({c} AS DOUBLE)) AS mu_{c}, stddev_pop(CAST({c} AS DOUBLE)) AS sd_{c}" for c in fs)
+    scaled = ", ".join(f"round((CAST({c} AS DOUBLE) - mu_{c}) / CASE WHEN sd_{c} = 0 THEN 1 ELSE sd_{c} END, 9) AS {c}"
+                       for c in fs)
+    dist = "0.0"
+    for c in fs:
+        dist = f"({dist} + (q.{c} - t.{c}) * (q.{c} - t.{c}))"
+    order = ", ".join(f"t.{c}" for c in fs)
+    return f"""
+WITH sp AS ({STRATIFIED_SPLIT_SQL}),
+f AS (SELECT s.ID, s.Label, {', '.join('s.' + c for c in fs)}, sp.split FROM {scored_corpus_sql()} s JOIN sp USING (ID)),
+st AS (SELECT {stats} FROM f WHERE split = 'train'),
+sc AS (SELECT ID, Label, split, {scaled} FROM f, st),
+tv AS (SELECT {', '.join(fs)}, Label, count(*) AS w FROM sc WHERE split = 'train' GROUP BY ALL),
+pr AS (SELECT q.ID, t.Label, t.w, sqrt({dist}) AS d,
+         sum(t.w) OVER (PARTITION BY q.ID ORDER BY sqrt({dist}), t.Label, {order}
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+       FROM sc q, tv t WHERE q.split = 'test'),
+tk AS (SELECT ID, Label, least(w, greatest({k} - (cum - w), 0)) AS take FROM pr),
+v AS (SELECT ID, Label, sum(take) AS votes FROM tk WHERE take > 0 GROUP BY ALL)
+SELECT ID, CAST(arg_max(Label, votes * 1000 - Label) AS BIGINT) AS prediction, CAST(max(votes) AS BIGINT) AS votes
+FROM v GROUP BY ID
+"""
+
+
+@query("fit_knn", _knn_sql())
+def q_fit_knn(spark, sf_dir):
+    """T4: exact 5-nearest-neighbour votes for the test split, features
+    standardised with train statistics (population std), via the certified
+    grid join (no all-pairs join)."""
+    from ..operators.knn import knn_classify
+    from ..operators.scale import fit_scaler, transform
+    from ..operators.splits import stratified_split
+    from .corpus import scored_corpus
+
+    s = scored_corpus(spark, sf_dir).select("ID", "Label", *FEATS)
+    sp = stratified_split(s, "Label", "ID", 0.2, seed=42)
+    train = sp.where(F.col("split") == "train")
+    state = fit_scaler(train, "standard", FEATS)
+    scaled = transform(sp, state).withColumns({c: F.round(c, 9) for c in FEATS})
+    out = knn_classify(scaled.where(F.col("split") == "train"), scaled.where(F.col("split") == "test"),
+                       FEATS, "Label", "ID", k=5)
+    return out.select("ID", F.col("prediction").cast("bigint"), F.col("votes").cast("bigint"))

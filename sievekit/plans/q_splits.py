@@ -15,7 +15,7 @@ from .corpus import CORPUS_SQL, labelled_corpus
 MD5 = "md5('42|' || CAST({k} AS VARCHAR))"
 
 
-@query("stratified_split", f"""
+STRATIFIED_SPLIT_SQL = f"""
 WITH t AS {CORPUS_SQL},
 c AS (SELECT Label, count(*) AS n FROM t GROUP BY Label),
 a AS (SELECT Label, n, CAST(ceil(0.2 * (SELECT sum(n) FROM c)) AS BIGINT) * n / (SELECT sum(n) FROM c) AS cont FROM c),
@@ -25,7 +25,10 @@ q AS (SELECT Label, fl + CASE WHEN row_number() OVER (ORDER BY rem DESC, Label)
                               THEN 1 ELSE 0 END AS quota FROM b),
 r AS (SELECT ID, Label, row_number() OVER (PARTITION BY Label ORDER BY {MD5.format(k='ID')}, ID) AS rk FROM t)
 SELECT r.ID, r.Label, CASE WHEN rk <= quota THEN 'test' ELSE 'train' END AS split FROM r JOIN q USING (Label)
-""")
+"""
+
+
+@query("stratified_split", STRATIFIED_SPLIT_SQL)
 def q_stratified_split(spark, sf_dir):
     """K1: exact 80/20 stratified split of the three-class corpus."""
     c = labelled_corpus(spark, sf_dir).select("ID", "Label")
