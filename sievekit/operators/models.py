@@ -146,6 +146,7 @@ DEFAULT_MODELS: dict[str, ModelSpec] = {
     "SVM_RBF": ModelSpec(
         "SVM_RBF", lambda n: OneVsRest(classifier=LinearSVC(regParam=1.0 / max(n, 1), maxIter=100, tol=1e-4), parallelism=4),
         probabilistic=False, rbf=True),
+    "KNN": ModelSpec("KNN", lambda n: None, lambda est, n: [{"k": k} for k in (3, 5, 7, 11)], probabilistic=False),
     "GaussianNB": ModelSpec("GaussianNB", lambda n: None,
                             lambda est, n: [{"var_smoothing": v} for v in (1e-9, 1e-8, 1e-7)]),
     "MLP": ModelSpec(

@@ -22,7 +22,7 @@ def _fit_one(name):
     return run
 
 
-for _n, _key in (("LogisticRegression", "fit_logreg"), ("DecisionTree", "fit_tree"), ("RandomForest", "fit_forest"),
+for _n, _key in (("KNN", "compare_knn"), ("LogisticRegression", "fit_logreg"), ("DecisionTree", "fit_tree"), ("RandomForest", "fit_forest"),
                  ("SVM", "fit_svm"), ("MLP", "fit_mlp")):
     query(_key)(_fit_one(_n))
 

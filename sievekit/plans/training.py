@@ -21,7 +21,7 @@ from ..operators.enrich import enrich_severity
 from ..operators.evaluate import evaluate
 from ..operators.features import add_payload_features
 from ..operators.models import (
-    DEFAULT_MODELS, ModelSpec, build_pipeline, decode_predictions, fit_gaussian_nb, index_labels,
+    DEFAULT_MODELS, FeatureScaler, ModelSpec, build_pipeline, decode_predictions, fit_gaussian_nb, index_labels,
     predict_gaussian_nb, probability_columns,
 )
 from ..operators.splits import assign_folds, n_splits_for, stratified_split
@@ -63,6 +63,18 @@ def fit_model(spec: ModelSpec, train: DataFrame, n_classes: int, scaler: str = "
     """Fit one registry model; returns a predictor ``fn(df) -> df`` with a
     double ``prediction`` column (and ``probability`` when available)."""
     n = train.count()
+    if spec.name == "KNN":
+        from ..operators.knn import knn_classify
+
+        scaler = FeatureScaler(inputCols=FEATS, method="standard").fit(train)
+        tr = scaler.transform(train)
+        k = overrides.get("k", 5)
+
+        def predict(df):
+            q = scaler.transform(df)
+            votes = knn_classify(tr, q, FEATS, "label_idx", "ID", k=k)
+            return df.join(votes.select("ID", F.col("prediction").cast("double").alias("prediction")), "ID", "left")
+        return predict
     if spec.name == "GaussianNB":
         state = fit_gaussian_nb(train, FEATS, "label_idx", overrides.get("var_smoothing", 1e-9))
         state = train.sparkSession.createDataFrame(state.collect(), state.schema)  # k rows
@@ -122,7 +134,7 @@ def tune(spark: SparkSession, sf_dir: str, name: str = "LogisticRegression", str
         n = train.count()
         k = len(indexer.labels)
         folded = assign_folds(train, "ID", folds, seed=42, label="text_label").persist(StorageLevel.MEMORY_AND_DISK)
-        if name == "GaussianNB":
+        if name in ("GaussianNB", "KNN"):
             rows = []
             for pm in spec.grid(None, n):
                 scores = []
