@@ -64,10 +64,9 @@ def overall_metrics(per_class: DataFrame) -> DataFrame:
 
 def binary_metrics(per_class: DataFrame, positive) -> DataFrame:
     """M3: with two classes, the positive class's precision/recall/F1 (plus accuracy)."""
-    acc = per_class.agg((F.sum("tp") / F.sum("support")).alias("accuracy"), F.lit(1).alias("__k"))
-    pos = per_class.where(F.col("class") == F.lit(positive)).select(
-        "precision", "recall", "f1", F.lit(1).alias("__k"))
-    return acc.join(pos, "__k").drop("__k")
+    is_pos = F.col("class") == F.lit(positive)
+    return per_class.agg((F.sum("tp") / F.sum("support")).alias("accuracy"),
+                         *[F.max(F.when(is_pos, F.col(c))).alias(c) for c in ("precision", "recall", "f1")])
 
 
 def evaluate(df: DataFrame, label: str, prediction: str, classes: Sequence) -> DataFrame:

@@ -39,6 +39,8 @@ def mark_first_by_hash(df: DataFrame, key: str, quota: DataFrame, groups: Sequen
     table ``(groups..., quota)``; groups missing from it select nothing."""
     groups = list(groups)
     hashed = _with_hash(df, key, seed, purpose)
+    if not groups:
+        return _mark_first_ungrouped(hashed, key, int(quota.collect()[0]["quota"]), flag)
     counts = hashed.groupBy(*groups, _B).agg(F.count(F.lit(1)).alias("__c"))
     w = Window.partitionBy(*groups).orderBy(_B).rowsBetween(Window.unboundedPreceding, 0)
     cum = counts.withColumn("__cum", F.sum("__c").over(w)).join(quota, groups)
@@ -62,6 +64,24 @@ def mark_first_by_hash(df: DataFrame, key: str, quota: DataFrame, groups: Sequen
     return out.drop(_B, _H, "__bb", "__before", "__quota", "__q")
 
 
+def _mark_first_ungrouped(hashed: DataFrame, key: str, quota: int, flag: str) -> DataFrame:
+    """Ungrouped ``mark_first_by_hash``: the boundary (one bucket) is found
+    on the small per-bucket count table and applied as literals, so no join
+    on a constant key (which the optimizer would turn into a nested loop)."""
+    counts = hashed.groupBy(_B).agg(F.count(F.lit(1)).alias("__c"))
+    w = Window.orderBy(_B).rowsBetween(Window.unboundedPreceding, 0)  # <= 65 536 bucket rows
+    hit = (counts.withColumn("__cum", F.sum("__c").over(w)).where(F.col("__cum") >= quota)
+           .orderBy(_B).limit(1).collect())
+    if quota <= 0 or not hit:  # nothing, or everything, is selected
+        out = hashed.withColumn(flag, F.lit(quota > 0))
+        return out.drop(_B, _H)
+    bb, before = hit[0][_B], int(hit[0]["__cum"] - hit[0]["__c"])
+    rest = hashed.where(F.col(_B) != bb).withColumn(flag, F.col(_B) < F.lit(bb))
+    rank_w = Window.partitionBy(_B).orderBy(_H, key)
+    edge = hashed.where(F.col(_B) == bb).withColumn(flag, (F.lit(before) + F.row_number().over(rank_w)) <= quota)
+    return rest.unionByName(edge).drop(_B, _H)
+
+
 def allocate_largest_remainder(counts: DataFrame, group: str, total: int) -> DataFrame:
     """Split ``total`` draws across groups proportionally to ``n``: floor of
     the exact share plus one for the largest remainders (ties: group order).
@@ -106,10 +126,14 @@ def assign_folds(df: DataFrame, key: str, k: int, seed: int = 42, label: str | N
     counts = hashed.groupBy(*groups, _B).agg(F.count(F.lit(1)).alias("__c"))
     # cumulative rows before each (class, bucket), plus rows of earlier classes
     w_cls = Window.partitionBy(*groups).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    cls_tot = counts.groupBy(*groups).agg(F.sum("__c").alias("__ct"))
-    w_prev = Window.orderBy(*groups).rowsBetween(Window.unboundedPreceding, -1)  # over classes only
-    cls_off = cls_tot.withColumn("__coff", F.coalesce(F.sum("__ct").over(w_prev), F.lit(0))).drop("__ct")
-    offs = counts.withColumn("__boff", F.coalesce(F.sum("__c").over(w_cls), F.lit(0))).join(cls_off, groups)
+    offs = counts.withColumn("__boff", F.coalesce(F.sum("__c").over(w_cls), F.lit(0)))
+    if label:
+        cls_tot = counts.groupBy(*groups).agg(F.sum("__c").alias("__ct"))
+        w_prev = Window.orderBy(*groups).rowsBetween(Window.unboundedPreceding, -1)  # over classes only
+        cls_off = cls_tot.withColumn("__coff", F.coalesce(F.sum("__ct").over(w_prev), F.lit(0))).drop("__ct")
+        offs = offs.join(cls_off, groups)
+    else:
+        offs = offs.withColumn("__coff", F.lit(0).cast("long"))
     j = hashed.join(offs.drop("__c"), [*groups, _B])
     rank = F.col("__boff") + F.row_number().over(Window.partitionBy(*groups, _B).orderBy(_H, key)) - 1
     out = j.withColumn(fold_col, ((F.col("__coff") + rank) % k).cast("int"))

@@ -111,10 +111,10 @@ def inject_label_noise(df: DataFrame, key: str, label: str, noise: float, seed:
     hash. Adds ``flipped`` (boolean)."""
     n = df.count()
     m = int(n * noise)
-    quota = df.sparkSession.range(1).select(F.lit(0).alias("__all"), F.lit(m).cast("long").alias("quota"))
-    marked = mark_first_by_hash(df.withColumn("__all", F.lit(0)), key, quota, ["__all"], "flipped", seed, "noise")
+    quota = df.sparkSession.range(1).select(F.lit(m).cast("long").alias("quota"))
+    marked = mark_first_by_hash(df, key, quota, [], "flipped", seed, "noise")
     cls = F.array(*[F.lit(c) for c in classes])
     others = F.filter(cls, lambda c: c != F.col(label))
     pick = hash_pick(key, seed, "other", len(classes) - 1)
     new = F.when(F.col("flipped"), F.element_at(others, pick + 1)).otherwise(F.col(label))
-    return marked.withColumn(label, new).drop("__all")
+    return marked.withColumn(label, new)
