@@ -24,8 +24,10 @@ def value_counts(df: DataFrame, col: str, name: str = "n") -> DataFrame:
 def proportions(df: DataFrame, col: str, groups: Sequence[str] = (), digits: int = 3) -> DataFrame:
     """A2: share of each value (per ``groups``) as ``round(n/total, digits)*100``."""
     counts = df.groupBy(*groups, col).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*groups) if groups else Window.partitionBy()
-    total = F.sum("n").over(w)
+    if groups:
+        total = F.sum("n").over(Window.partitionBy(*groups))
+    else:  # one number: fetch it rather than funnel all groups through one window task
+        total = F.lit(counts.agg(F.sum("n")).collect()[0][0] or 0)
     return counts.select(*groups, col, "n", (F.round(F.col("n") / total, digits) * 100).alias("share_pct"))
 
 

@@ -89,8 +89,11 @@ def q_fit_gaussian_nb(spark, sf_dir):
     from ..operators.features import add_payload_features
     from .corpus import labelled_corpus
 
-    df = add_payload_features(labelled_corpus(spark, sf_dir), "Payload").select(
-        "ID", "text_label", *[F.col(c).cast("double").alias(c) for c in FEATS])
+    from ..session import reliable_checkpoint
+
+    # fit (two aggregates) and predict both read the features: compute them once
+    df = reliable_checkpoint(add_payload_features(labelled_corpus(spark, sf_dir), "Payload").select(
+        "ID", "text_label", *[F.col(c).cast("double").alias(c) for c in FEATS]))
     state = fit_gaussian_nb(df, FEATS, "text_label")
     return predict_gaussian_nb(df, state, FEATS).select("ID", "prediction")
 
