@@ -150,3 +150,20 @@ def group_folds(df: DataFrame, group_key: str, k: int, seed: int = 42, fold_col:
     """GroupKFold-style: every row of a group lands in the same fold."""
     h = F.conv(F.substring(hash_key(group_key, seed), 1, 8), 16, 10).cast("bigint")
     return df.withColumn(fold_col, (h % k).cast("int"))
+
+
+def time_folds(df: DataFrame, ts: str, key: str, k: int, fold_col: str = "fold") -> DataFrame:
+    """Time-ordered folds for an expanding-window split: rows ordered by
+    (ts, key) get fold = floor(rank x k / n), rank 0-based. Ranks come from
+    a range-partitioned running count (no single-partition window)."""
+    from .evaluate import running_sum
+
+    n = df.count()
+    ranked = running_sum(df.withColumn("__one", F.lit(1)), [], [F.col(ts), F.col(key)], ["__one"])
+    fold = F.floor((F.col("cum___one") - 1) * F.lit(k) / F.lit(max(n, 1))).cast("int")
+    return ranked.withColumn(fold_col, fold).drop("__one", "cum___one")
+
+
+def expanding_split(folded: DataFrame, step: int, fold_col: str = "fold") -> tuple[DataFrame, DataFrame]:
+    """Train on folds < step, test on fold == step (step = 1..k-1)."""
+    return folded.where(F.col(fold_col) < step), folded.where(F.col(fold_col) == step)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.splits import assign_folds, group_folds, stratified_split
+from ..operators.splits import assign_folds, group_folds, stratified_split, time_folds
 from ..operators.synth import (
     CLASS_ORDER, FILLER_WORDS, NORMAL_TEMPLATES, SQLI_TEMPLATES, XSS_TEMPLATES, inject_label_noise, synthetic_corpus,
 )
@@ -68,6 +68,16 @@ def q_group_folds(spark, sf_dir):
     return group_folds(e, "user_id", 5, seed=42)
 
 
+@query("time_folds", """
+SELECT event_id, CAST(floor((row_number() OVER (ORDER BY ts, event_id) - 1) * 5 / (SELECT count(*) FROM events)) AS INTEGER) AS fold
+FROM events
+""")
+def q_time_folds(spark, sf_dir):
+    """Expanding time split: five equal-count folds in (ts, event_id) order."""
+    e = read_table(spark, sf_dir, "events").select("event_id", "ts")
+    return time_folds(e, "ts", "event_id", 5).select("event_id", "fold")
+
+
 def _sql_list(xs) -> str:
     return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
 
