@@ -117,7 +117,10 @@ def cross_validate(spark: SparkSession, sf_dir: str, name: str = "RandomForest",
         folded.unpersist()
     finally:
         data.unpersist()
-    return spark.createDataFrame(rows, "fold int, f1 double")
+    # Mean and population std of the fold scores, beside every fold row
+    mean = sum(f1 for _, f1 in rows) / len(rows)
+    std = (sum((f1 - mean) ** 2 for _, f1 in rows) / len(rows)) ** 0.5
+    return spark.createDataFrame([(f, s, mean, std) for f, s in rows], "fold int, f1 double, mean_f1 double, std_f1 double")
 
 
 def tune(spark: SparkSession, sf_dir: str, name: str = "LogisticRegression", strategy: str = "grid",
@@ -125,7 +128,6 @@ def tune(spark: SparkSession, sf_dir: str, name: str = "LogisticRegression", str
     """Grid (or seeded random subset) search scored by weighted F1 with
     stratified folds; returns the best ``top`` configurations with mean/std.
     A model without a grid returns its single default configuration."""
-    from ..operators.ordering import hash_pick  # noqa: F401  (documented seed rule)
     import hashlib
 
     spec = DEFAULT_MODELS[name]
@@ -187,9 +189,10 @@ def score_batch(spark: SparkSession, sf_dir: str, payloads: DataFrame, name: str
         cols = [c for c in payloads.columns] + [preview("payload", 80).alias("preview"), "label",
                                                   *[c for c in ("confidence", "probabilities") if c in out.columns],
                                                   "severity", "severity_score", *FEATS]
-        return out.select(*cols)
-    finally:
-        pass  # ``data`` stays cached until the caller's action has run
+        return out.select(*cols)  # ``data`` stays cached: the caller's action still reads it
+    except Exception:
+        data.unpersist()
+        raise
 
 
 def train_report(spark: SparkSession, sf_dir: str) -> DataFrame:

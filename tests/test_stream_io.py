@@ -64,3 +64,37 @@ def test_live_scoring_stream_equals_batch(spark):
     got = sorted(tuple(r) for r in spark.read.parquet(os.path.join(d, "out")).collect())
     want = sorted(tuple(r) for r in live_scoring(payloads, model, list(idx.labels)).select(*cols).collect())
     assert got == want and len(got) == 3  # the blank payload is dropped
+
+
+def test_metadata_report_and_model_io(spark):
+    """S7 metadata JSON, S9 text report, S10 model save / first-readable load."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    from sievekit.operators.evaluate import classification_report, confusion_table, per_class_metrics
+    from sievekit.operators.models import FeatureScaler
+    from sievekit.sources.io import load_model, read_metadata, save_model, write_metadata, write_text_report
+
+    d = tempfile.mkdtemp()
+    meta = spark.createDataFrame([("RandomForest", 0.97, ["payload_len", "kw_xss"], 13120)],
+                                 "best_model string, final_f1 double, features array<string>, train_rows bigint")
+    write_metadata(meta, os.path.join(d, "meta"))
+    back = read_metadata(spark, os.path.join(d, "meta")).collect()[0]
+    assert back["best_model"] == "RandomForest" and back["features"] == ["payload_len", "kw_xss"]
+
+    preds = spark.createDataFrame([("XSS", "XSS"), ("SQLi", "XSS"), ("Normal", "Normal")], "y string, p string")
+    conf = confusion_table(preds, "y", "p", ["XSS", "SQLi", "Normal"])
+    write_text_report(spark, os.path.join(d, "rep"), "RandomForest", conf, classification_report(per_class_metrics(conf)))
+    lines = [r[0] for r in spark.read.text(os.path.join(d, "rep")).collect()]
+    assert lines[0] == "Best model: RandomForest" and any(l.startswith("weighted avg") for l in lines)
+
+    train = spark.createDataFrame([(float(i % 3), float(i), float(i % 5)) for i in range(60)], "label double, a double, b double")
+    model = Pipeline(stages=[FeatureScaler(inputCols=["a", "b"], method="minmax"),
+                             VectorAssembler(inputCols=["a", "b"], outputCol="features"),
+                             DecisionTreeClassifier(maxDepth=3)]).fit(train)
+    save_model(model, os.path.join(d, "model"))
+    loaded = load_model([os.path.join(d, "missing"), os.path.join(d, "model")])
+    assert loaded is not None
+    assert [r.prediction for r in loaded.transform(train).collect()] == [r.prediction for r in model.transform(train).collect()]
+    assert load_model([os.path.join(d, "missing")]) is None
