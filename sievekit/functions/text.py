@@ -165,3 +165,9 @@ def map_lookup(c, mapping: dict, default: Column | None = None) -> Column:
         pairs += [F.lit(k), F.lit(v)]
     looked = F.create_map(*pairs)[_col(c)]
     return F.coalesce(looked, default if default is not None else _col(c).cast("string"))
+
+
+def epoch_micros(c) -> Column:
+    """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ (wall-clock) column,
+    independent of the session time zone; TIMESTAMP columns use their instant."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), _col(c))

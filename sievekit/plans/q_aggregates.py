@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.dialect import FEATURE_COLUMNS
+from ..functions.text import epoch_micros
 from ..operators.aggregates import (
     box_stats, correlation_pairs, equal_width_histogram, equality_tally, group_mean_pct, iqr_outliers,
     proportions, reindexed_counts, rollup_counts,
@@ -209,7 +210,7 @@ def q_recent_scans(spark, sf_dir):
     """H4: the 50 most recent entries of the scan log."""
     e = read_table(spark, sf_dir, "events")
     t = top_k(e, 50, [F.desc("ts"), F.asc("event_id")])
-    return t.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "user_id", "event_type")
+    return t.select("event_id", epoch_micros("ts").alias("ts_us"), "user_id", "event_type")
 
 
 @query("recent_per_user", """
@@ -221,7 +222,7 @@ def q_recent_per_user(spark, sf_dir):
     """H4 per user: newest 50 per user (partial WindowGroupLimit before the shuffle)."""
     e = read_table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
     t = top_k_per_group(e, ["user_id"], [F.desc("ts"), F.asc("event_id")], 50)
-    return t.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.col("rank").cast("int"))
+    return t.select("user_id", "event_id", epoch_micros("ts").alias("ts_us"), F.col("rank").cast("int"))
 
 
 @query("sample_exact", """

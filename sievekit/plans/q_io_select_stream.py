@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.dialect import FEATURE_COLUMNS
+from ..functions.text import epoch_micros
 from ..operators.select import (
     mutual_information, pca_project, recursive_elimination, rf_importances, select_from_model, select_k_best,
 )
@@ -86,9 +87,8 @@ FROM events GROUP BY ALL
 def q_label_counts_by_window(spark, sf_dir):
     """L2 batch twin: counts per event type and tumbling hour."""
     e = read_table(spark, sf_dir, "events")
-    g = e.groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w"), "event_type").agg(
-        F.count(F.lit(1)).alias("n"))
-    return g.select(F.unix_micros(F.col("w.start")).alias("window_start_us"), "event_type", "n")
+    g = e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return g.select(epoch_micros("w.start").alias("window_start_us"), "event_type", "n")
 
 
 @query("stream_label_counts")
@@ -97,8 +97,10 @@ def q_stream_label_counts(spark, sf_dir):
     the scan-log files (update mode, foreachBatch sink, availableNow)."""
     e = read_table(spark, sf_dir, "events")
     # a file source watches a directory: the table's folder, filtered to its file
+    # watermarks need TIMESTAMP: read the wall-clock NTZ value as a UTC instant
+    # (independent of the session time zone)
     stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir) \
-        .withColumn("ts", F.col("ts").cast("timestamp"))
+        .withColumn("ts", F.timestamp_micros(epoch_micros("ts")))
     counts = windowed_label_counts(stream, "ts", "event_type").select(
         F.col("w.start").alias("window_start"), "event_type", "n")
     sink, ck = scratch_path(spark, "l2-sink"), scratch_path(spark, "l2-ckpt")
