@@ -129,3 +129,31 @@ def q_label_noise(spark, sf_dir):
            .when(F.col("event_type") == "error", "XSS").otherwise("SQLi"))
     t = e.select("event_id", lab.alias("label"))
     return inject_label_noise(t, "event_id", "label", 0.03, seed=42).select("event_id", "label", "flipped")
+
+
+@query("class_share_by_split", f"""
+WITH s AS ({STRATIFIED_SPLIT_SQL}),
+g AS (SELECT split, Label, count(*) AS n FROM s GROUP BY ALL)
+SELECT split, Label, CAST(n AS BIGINT) AS n, round(n / sum(n) OVER (PARTITION BY split), 3) * 100 AS share_pct FROM g
+""")
+def q_class_share_by_split(spark, sf_dir):
+    """A2 per split: class shares in the train and test parts (stratification check)."""
+    from ..operators.aggregates import proportions
+
+    c = labelled_corpus(spark, sf_dir).select("ID", "Label")
+    s = stratified_split(c, "Label", "ID", 0.2, seed=42)
+    return proportions(s, "Label", groups=["split"])
+
+
+@query("shuffle_positions", f"""
+SELECT event_id, CAST(row_number() OVER (ORDER BY {MD5.format(k='event_id')}, event_id) AS BIGINT) AS position FROM events
+""")
+def q_shuffle_positions(spark, sf_dir):
+    """H6: position of every event in the seeded shuffle (range-partitioned
+    running count, no single-task window)."""
+    from ..operators.evaluate import running_sum
+    from ..operators.ordering import hash_key
+
+    e = read_table(spark, sf_dir, "events").select("event_id").withColumn("__h", hash_key("event_id", 42))
+    r = running_sum(e.withColumn("__one", F.lit(1)), [], [F.col("__h"), F.col("event_id")], ["__one"])
+    return r.select("event_id", F.col("cum___one").cast("bigint").alias("position"))
