@@ -16,8 +16,22 @@ def op3_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_digest(read_docs(spark, sf_dir))
 
 
+def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievekit.llm.merkle import with_next
+
+    return with_next(read_docs(spark, sf_dir))
+
+
+def op10_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievekit.llm.bpe_stream import round_trip
+
+    return round_trip(read_docs(spark, sf_dir).select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pow2_packing": op3_pow2_packing,
+    "op7_merkle": op7_merkle,
+    "op10_bpe_stream": op10_bpe_stream,
 }
 
 ORACLES: dict[str, str] = {}
