@@ -28,7 +28,16 @@ def op10_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read_docs(spark, sf_dir).select("doc_id", "text"))
 
 
+def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievekit.llm.decision_list import fit, judge
+
+    docs = read_docs(spark, sf_dir)
+    rules = fit(docs, read_docs(spark, sf_dir, "labels"))
+    return judge(docs.select("doc_id", "text"), rules).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decision_list": op2_decision_list,
     "op3_pow2_packing": op3_pow2_packing,
     "op7_merkle": op7_merkle,
     "op10_bpe_stream": op10_bpe_stream,
