@@ -28,6 +28,12 @@ def op10_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read_docs(spark, sf_dir).select("doc_id", "text"))
 
 
+def op1_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievekit.llm.window_dedup import dedup_digest
+
+    return dedup_digest(read_docs(spark, sf_dir).select("doc_id", "text"))
+
+
 def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievekit.llm.decision_list import fit, judge
 
@@ -36,11 +42,44 @@ def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs.select("doc_id", "text"), rules).drop("text")
 
 
+def op9_gru_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievekit.llm.gru_langid import fit, held_out, predict
+
+    docs = read_docs(spark, sf_dir)
+    net = fit(docs, ~held_out())
+    return predict(docs.select("doc_id", "text"), net).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op4_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievekit.llm.simhash_gray import near_groups
+
+    return near_groups(read_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_window_dedup": op1_window_dedup,
     "op2_decision_list": op2_decision_list,
     "op3_pow2_packing": op3_pow2_packing,
+    "op4_simhash_gray": op4_simhash_gray,
     "op7_merkle": op7_merkle,
+    "op9_gru_langid": op9_gru_langid,
     "op10_bpe_stream": op10_bpe_stream,
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op1_window_dedup": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d),
+x AS (SELECT doc_id, i, w[i] AS word,
+             CASE WHEN i + 34 <= len(w) THEN md5(array_to_string(w[i:i+34], ' ')) END AS h FROM p),
+c AS (SELECT h FROM x WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1),
+f AS (SELECT x.doc_id, x.i, x.word, c.h IS NOT NULL AS hit FROM x LEFT JOIN c ON x.h = c.h),
+g AS (SELECT doc_id, i, word,
+             bool_or(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM f),
+s AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed,
+             coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM g GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id""",
+}
