@@ -16,6 +16,12 @@ def op3_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_digest(read_docs(spark, sf_dir))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievekit.llm.suffix_dedup import dedup_digest
+
+    return dedup_digest(read_docs(spark, sf_dir).select("doc_id", "text"))
+
+
 def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievekit.llm.merkle import with_next
 
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decision_list": op2_decision_list,
     "op3_pow2_packing": op3_pow2_packing,
     "op4_simhash_gray": op4_simhash_gray,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_merkle": op7_merkle,
     "op9_gru_langid": op9_gru_langid,
     "op10_bpe_stream": op10_bpe_stream,
@@ -82,4 +89,18 @@ s AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_remo
              coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM g GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN s ON d.doc_id = s.doc_id""",
+    "op6_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+l AS (SELECT doc_id, x, strlen(x) // 2 AS n FROM d),
+p AS (SELECT doc_id, x, n, unnest(generate_series(0, n - 1)) AS i FROM l),
+h AS (SELECT doc_id, i, substr(x, 2 * i + 1, 2) AS b, CASE WHEN i + 400 <= n THEN md5_number(substr(x, 2 * i + 1, 800)) END AS h FROM p),
+c AS (SELECT h FROM h WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1),
+f AS (SELECT h.doc_id, h.i, h.b, c.h IS NOT NULL AS hit FROM h LEFT JOIN c ON h.h = c.h),
+g AS (SELECT doc_id, i, b, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) AS gone FROM f),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM g),
+s AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE begins) AS n_spans,
+             string_agg(b, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM e GROUP BY doc_id)
+SELECT l.doc_id, l.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM l LEFT JOIN s ON l.doc_id = s.doc_id""",
 }
