@@ -16,6 +16,14 @@ def op3_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_digest(read_docs(spark, sf_dir))
 
 
+def op5_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievekit.llm.ordinal_quality import fit, grade_column, score
+
+    docs = read_docs(spark, sf_dir)
+    model = fit(docs, read_docs(spark, sf_dir, "labels"), grade_column())
+    return score(docs.select("doc_id", "text"), model).drop("text")
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievekit.llm.suffix_dedup import dedup_digest
 
@@ -48,6 +56,12 @@ def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs.select("doc_id", "text"), rules).drop("text")
 
 
+def op8_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievekit.llm.warc_revisit import resolve_pages
+
+    return resolve_pages(read_docs(spark, sf_dir, "pages"))
+
+
 def op9_gru_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievekit.llm.gru_langid import fit, held_out, predict
 
@@ -67,8 +81,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decision_list": op2_decision_list,
     "op3_pow2_packing": op3_pow2_packing,
     "op4_simhash_gray": op4_simhash_gray,
+    "op5_ordinal_quality": op5_ordinal_quality,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_merkle": op7_merkle,
+    "op8_warc_revisit": op8_warc_revisit,
     "op9_gru_langid": op9_gru_langid,
     "op10_bpe_stream": op10_bpe_stream,
 }
@@ -90,17 +106,38 @@ s AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_remo
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN s ON d.doc_id = s.doc_id""",
     "op6_suffix_dedup": """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-l AS (SELECT doc_id, x, strlen(x) // 2 AS n FROM d),
-p AS (SELECT doc_id, x, n, unnest(generate_series(0, n - 1)) AS i FROM l),
-h AS (SELECT doc_id, i, substr(x, 2 * i + 1, 2) AS b, CASE WHEN i + 400 <= n THEN md5_number(substr(x, 2 * i + 1, 800)) END AS h FROM p),
-c AS (SELECT h FROM h WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1),
-f AS (SELECT h.doc_id, h.i, h.b, c.h IS NOT NULL AS hit FROM h LEFT JOIN c ON h.h = c.h),
-g AS (SELECT doc_id, i, b, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) AS gone FROM f),
-e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM g),
-s AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE begins) AS n_spans,
-             string_agg(b, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM e GROUP BY doc_id)
-SELECT l.doc_id, l.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
-FROM l LEFT JOIN s ON l.doc_id = s.doc_id""",
+WITH l AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+q AS (SELECT doc_id, n, x, unnest(generate_series(0, (n - 400) // 500)) AS j FROM l WHERE n >= 400),
+y AS (SELECT doc_id, n, j, substr(x, 1000 * j + 1, 1798) AS z FROM q),
+w AS (SELECT doc_id, j, z, unnest(generate_series(0, least(499, n - 400 - 500 * j))) AS k FROM y),
+h AS (SELECT doc_id, 500 * j + k AS i, md5_number(substr(z, 2 * k + 1, 800)) AS h FROM w),
+c AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+r AS (SELECT h.doc_id, h.i FROM h JOIN c ON h.h = c.h),
+s AS (SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400, -1) AS begins FROM r),
+t AS (SELECT doc_id, i, sum(begins::INT) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM s),
+u AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM t GROUP BY doc_id, span),
+v AS (SELECT u.doc_id, a, b, x, coalesce(lag(b) OVER (PARTITION BY u.doc_id ORDER BY a), 0) AS before FROM u JOIN l ON u.doc_id = l.doc_id),
+k AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
+             string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM v GROUP BY doc_id)
+SELECT l.doc_id, l.n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN k.doc_id IS NULL THEN x ELSE kept || substr(x, 2 * last + 1) END)) AS kept_sha256
+FROM l LEFT JOIN k ON l.doc_id = k.doc_id""",
+    "op8_warc_revisit": """
+WITH b AS (SELECT page_id, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u FROM pages),
+q AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), '^.*@', ''), ':(80|443)$', ''), '^www\\.', '') AS host,
+        regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+        array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '\\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^utm_'))), '&') AS kept FROM b),
+c AS (SELECT page_id, html, host || path || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END AS canonical,
+        TIMESTAMP '2024-01-01 00:00:00' + page_id * INTERVAL 60 SECOND AS made, substr(md5(html), 1, 16) AS tag FROM q),
+k AS (SELECT *, ('0x' || substr(md5(page_id::VARCHAR), 1, 8))::BIGINT AS pick FROM c),
+resp AS (SELECT page_id * 2 AS record_id, canonical, made AS ts, CASE WHEN pick % 5 = 4 THEN NULL ELSE '"' || tag || '"' END AS etag, 'day ' || (pick % 365) AS lm, strlen(html) AS len FROM k),
+rev AS (SELECT page_id, page_id * 2 + 1 AS record_id, canonical, made + (pick % 2592000 - 86400) * INTERVAL 1 SECOND AS ts,
+        CASE WHEN pick % 7 = 6 THEN '"changed"' ELSE 'W/"' || tag || '"' END AS etag, 'day ' || (pick % 365) AS lm FROM k),
+a AS (SELECT rev.*, (SELECT max({'ts': r.ts, 'id': r.record_id}) FROM resp r WHERE r.canonical = rev.canonical AND (r.ts < rev.ts OR (r.ts = rev.ts AND r.record_id < rev.record_id))) AS top FROM rev),
+j AS (SELECT a.*, r.record_id AS rid, r.etag AS retag, r.lm AS rlm, r.len FROM a LEFT JOIN resp r ON r.record_id = a.top.id),
+s AS (SELECT *, CASE WHEN rid IS NULL THEN 'no_response' WHEN (retag IS NOT NULL AND regexp_replace(etag, '^W/', '') = retag) OR (retag IS NULL AND lm = rlm) THEN 'resolved' ELSE 'validator_mismatch' END AS status FROM j)
+SELECT record_id, canonical, status, CASE WHEN status = 'resolved' THEN rid::VARCHAR END AS response_id,
+  concat_ws(chr(10), 'cache-control: no-cache', 'content-length: ' || CASE WHEN status = 'resolved' THEN len ELSE 0 END,
+            CASE WHEN status = 'resolved' THEN 'content-type: text/html' END, 'date: ' || page_id, 'etag: ' || etag, 'last-modified: ' || lm) AS headers
+FROM s""",
 }
