@@ -33,7 +33,7 @@ from sievekit.llm.common import ASCII_SPACE, fresh, ship
 
 BITS = 18
 SAMPLE_PER_GRADE = 4_000
-EPOCHS, BATCH, RATE, L1 = 4, 32, 0.3, 1e-4
+STEPS, BATCH, RATE, L1 = 2_500, 32, 0.3, 1e-4
 _SPACE = np.zeros(256, bool)
 _SPACE[list(ASCII_SPACE)] = True
 _TABLE = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -74,10 +74,10 @@ class CumulativeLink:
     def theta(self) -> np.ndarray:
         return np.cumsum(np.r_[self.cut[0], np.exp(self.cut[1:])])
 
-    def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> list[float]:
+    def fit(self, rows: list[np.ndarray], y: np.ndarray, steps: int = STEPS, seed: int = 5) -> list[float]:
         rng = np.random.default_rng(seed)
         seen, seen_cut, losses = np.full(len(self.w), 1e-6), np.full(len(self.cut), 1e-6), []
-        for _ in range(epochs):
+        for _ in range(-(-steps * BATCH // len(rows))):
             total = 0.0
             order = rng.permutation(len(rows))
             for k in range(0, len(order), BATCH):
