@@ -26,22 +26,38 @@ def class_grid(spark, classes: Sequence) -> DataFrame:
 
 
 def confusion_table(df: DataFrame, label: str, prediction: str, classes: Sequence) -> DataFrame:
-    """M5: (actual, predicted, n) over the fixed class order, zeros filled."""
-    counts = df.groupBy(F.col(label).alias("actual"), F.col(prediction).alias("predicted")).agg(
+    """M5: (actual, predicted, n) over the fixed class order, zeros filled.
+
+    No row is lost: labels or predictions that are null or not in
+    ``classes`` are counted under null, in extra rows with a null position
+    that exist only when there are such values."""
+    known = lambda c: F.when(F.col(c).isin(*classes), F.col(c))
+    counts = df.groupBy(known(label).alias("actual"), known(prediction).alias("predicted")).agg(
         F.count(F.lit(1)).alias("n"))
     grid = class_grid(df.sparkSession, classes)
-    return (F.broadcast(grid).join(counts, ["actual", "predicted"], "left")
-            .select("a_pos", "actual", "p_pos", "predicted", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+    same = F.col("g.actual").eqNullSafe(F.col("c.actual")) & F.col("g.predicted").eqNullSafe(F.col("c.predicted"))
+    inside = (grid.alias("g").join(counts.alias("c"), same, "left")
+              .select("a_pos", F.col("g.actual").alias("actual"), "p_pos", F.col("g.predicted").alias("predicted"),
+                      F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+    pos = class_grid(df.sparkSession, classes).select("a_pos", "actual").distinct()
+    outside = counts.where(F.col("actual").isNull() | F.col("predicted").isNull())
+    outside = (outside.join(pos, "actual", "left")
+               .join(pos.select(F.col("a_pos").alias("p_pos"), F.col("actual").alias("predicted")), "predicted", "left")
+               .select("a_pos", "actual", "p_pos", "predicted", F.col("n").cast("bigint").alias("n")))
+    return inside.unionByName(outside)
 
 
 def per_class_metrics(confusion: DataFrame, beta: float = 1.0) -> DataFrame:
     """Per class: tp, fp, fn, support, precision, recall, f-beta
-    (zero_division -> 0)."""
+    (zero_division -> 0). Support counts every row of the class, whatever
+    was predicted; rows whose label is null or not listed form one more class
+    (null) that nothing predicts."""
     per = confusion.groupBy("a_pos", "actual").agg(
         F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)).alias("tp"),
         F.sum("n").alias("support"))
-    pred_tot = confusion.groupBy(F.col("predicted").alias("actual")).agg(F.sum("n").alias("pred_n"))
-    m = per.join(pred_tot, "actual")
+    pred_tot = confusion.where("predicted IS NOT NULL").groupBy(F.col("predicted").alias("actual")).agg(
+        F.sum("n").alias("pred_n"))
+    m = per.join(pred_tot, "actual", "left").withColumn("pred_n", F.coalesce("pred_n", F.lit(0)))
     prec = F.coalesce(F.try_divide(F.col("tp"), F.col("pred_n").cast("double")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp"), F.col("support").cast("double")), F.lit(0.0))
     b2 = beta * beta
@@ -64,7 +80,7 @@ def overall_metrics(per_class: DataFrame) -> DataFrame:
 
 def binary_metrics(per_class: DataFrame, positive) -> DataFrame:
     """M3: with two classes, the positive class's precision/recall/F1 (plus accuracy)."""
-    is_pos = F.col("class") == F.lit(positive)
+    is_pos = F.col("class") == F.lit(positive)  # never true of the null class
     return per_class.agg((F.sum("tp") / F.sum("support")).alias("accuracy"),
                          *[F.max(F.when(is_pos, F.col(c))).alias(c) for c in ("precision", "recall", "f1")])
 
@@ -81,11 +97,12 @@ def evaluate(df: DataFrame, label: str, prediction: str, classes: Sequence) -> D
 def classification_report(per_class: DataFrame) -> DataFrame:
     """M6: per-class rows, then accuracy, macro avg and weighted avg rows
     (row, precision, recall, f1, support); accuracy has only f1 and support."""
-    cls = per_class.select(F.col("position"), F.col("class").cast("string").alias("row"), "precision", "recall",
-                           "f1", "support")
+    cls = per_class.where("class IS NOT NULL").select(
+        F.col("position"), F.col("class").cast("string").alias("row"), "precision", "recall", "f1", "support")
+    listed = lambda c: F.avg(F.when(F.col("class").isNotNull(), F.col(c)))
     tot = per_class.agg(
         F.sum("support").alias("s"), F.sum("tp").alias("t"),
-        F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
+        listed("precision").alias("mp"), listed("recall").alias("mr"), listed("f1").alias("mf"),
         (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("wp"),
         (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("wr"),
         (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("wf"))

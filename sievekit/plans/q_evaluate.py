@@ -99,6 +99,29 @@ def q_metrics_binary(spark, sf_dir):
     return m.select(*[F.round(c, 6).alias(c) for c in ("accuracy", *R6)])
 
 
+_GAPS_SQL = """WITH src AS (SELECT lang AS actual, CASE WHEN n_chars % 5 = 0 THEN NULL WHEN n_chars % 7 = 0 THEN 'xx'
+                    WHEN n_chars % 3 = 0 THEN 'en' ELSE lang END AS predicted FROM documents),
+n AS (SELECT count(*) AS n, count(*) FILTER (WHERE actual = predicted AND actual IN ('en', 'fr', 'de')) AS hit FROM src),
+c AS (SELECT k.c, count(*) FILTER (WHERE actual = k.c) AS support, count(*) FILTER (WHERE predicted = k.c) AS pred,
+             count(*) FILTER (WHERE actual = k.c AND predicted = k.c) AS tp
+      FROM (VALUES ('en'), ('fr'), ('de')) k(c), src GROUP BY k.c),
+m AS (SELECT support, CASE WHEN pred = 0 THEN 0.0 ELSE tp / pred END AS p, CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS r FROM c)
+SELECT round(max(hit / n), 6) AS accuracy, round(sum(support * p) / max(n), 6) AS precision, round(sum(support * r) / max(n), 6) AS recall,
+       round(sum(support * CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END) / max(n), 6) AS f1 FROM m, n"""
+
+
+@query("metrics_with_gaps", _GAPS_SQL)
+def q_metrics_with_gaps(spark, sf_dir):
+    """M1/M2 when predictions are missing and labels or predictions lie
+    outside the class list: every row stays in the denominators."""
+    d = read_table(spark, sf_dir, "documents").select(
+        F.col("lang").alias("actual"),
+        F.when(F.col("n_chars") % 5 == 0, None).when(F.col("n_chars") % 7 == 0, "xx").when(F.col("n_chars") % 3 == 0, "en")
+        .otherwise(F.col("lang")).alias("predicted"))
+    o = overall_metrics(per_class_metrics(confusion_table(d, "actual", "predicted", ("en", "fr", "de"))))
+    return o.select(*[F.round(c, 6).alias(c) for c in ("accuracy", *R6)])
+
+
 @query("metrics_long", f"""WITH {PER_CLASS}
 SELECT class, 'precision' AS metric, round(precision, 6) AS value FROM m
 UNION ALL SELECT class, 'recall', round(recall, 6) FROM m
