@@ -129,36 +129,38 @@ def strip_strings(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
 
 # --------------------------------------------------------------------- C6 / C7
-def distinct_ratios(df: DataFrame, columns: Sequence[str] | None = None, exact_band: float = 0.25,
-                    threshold: float = 0.001) -> DataFrame:
-    """C6 ratio table: (column, n_distinct, n_rows, ratio).
-
-    One HyperLogLog pass over all columns first; only columns whose approximate
-    ratio is near the threshold get an exact distinct count (long form,
-    grouped, so there is one shuffle for all of them). ``exact_band`` <= 0
-    forces exact counts everywhere."""
+def distinct_ratios(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """C6 ratio table: (column, n_distinct, n_rows, ratio), exact counts. Values
+    travel as 256-bit digests, after map-side removal of repeats, in one
+    shuffle for all columns."""
     columns = list(df.columns if columns is None else columns)
-    spark = df.sparkSession
-    approx = df.agg(F.count(F.lit(1)).alias("__rows"),
-                    *[F.approx_count_distinct(c, 0.05).alias(c) for c in columns]).collect()[0]
-    n_rows = int(approx["__rows"])
-    # HLL (rsd 5%, so 5 sigma < 25%) cannot misplace a column past the band: only
-    # columns whose estimate lies below threshold x (1 + band) need exact counts
-    need_exact = [c for c in columns
-                  if exact_band <= 0 or n_rows == 0 or approx[c] <= threshold * n_rows * (1 + exact_band) + 1]
+    n_rows = df.count()
     exact = {}
-    if need_exact:
+    if columns:
         long = df.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in need_exact
+            F.struct(F.lit(c).alias("column"), F.sha2(F.col(c).cast("string"), 256).alias("value")) for c in columns
         ])).alias("kv")).select("kv.column", "kv.value").where(F.col("value").isNotNull())
         for r in long.distinct().groupBy("column").count().collect():
             exact[r["column"]] = int(r["count"])
-    rows = []
-    for c in columns:
-        nd = exact.get(c, 0 if c in need_exact else int(approx[c]))
-        rows.append((c, nd, n_rows, (nd / n_rows) if n_rows else 0.0, c in need_exact))
-    schema = "column string, n_distinct bigint, n_rows bigint, ratio double, exact boolean"
-    return spark.createDataFrame(rows, schema)
+    rows = [(c, exact.get(c, 0), n_rows, exact.get(c, 0) / n_rows if n_rows else 0.0) for c in columns]
+    return df.sparkSession.createDataFrame(rows, "column string, n_distinct bigint, n_rows bigint, ratio double")
+
+
+def _below_ratio(df: DataFrame, threshold: float) -> list[str]:
+    """Columns with fewer than ``threshold`` distinct values per row. A
+    HyperLogLog pass rules out columns far above it (5 sigma of its error);
+    the others are counted exactly, so the answer is exact."""
+    approx = df.agg(F.count(F.lit(1)).alias("__rows"),
+                    *[F.approx_count_distinct(c, 0.05).alias(c) for c in df.columns]).collect()[0]
+    near = [c for c in df.columns if approx[c] <= threshold * approx["__rows"] * 1.25 + 1]
+    return [r["column"] for r in distinct_ratios(df, near).collect() if r["ratio"] < threshold] if near else []
+
+
+def _at_most_one_value(df: DataFrame) -> list[str]:
+    """Columns whose smallest and largest value agree: one pass, no shuffle of values."""
+    r = df.agg(*[(F.min(F.col(c).cast("string")).eqNullSafe(F.max(F.col(c).cast("string")))).alias(c)
+                 for c in df.columns]).collect()[0]
+    return [c for c in df.columns if r[c]]
 
 
 def near_constant_columns(df: DataFrame, threshold: float = 0.001, protect: Sequence[str] = PROTECTED_BASE,
@@ -167,12 +169,7 @@ def near_constant_columns(df: DataFrame, threshold: float = 0.001, protect: Sequ
     (``mode='nunique'``: at most one distinct value)."""
     if mode not in ("ratio", "nunique"):
         raise ValueError(f"Unknown mode '{mode}'. Choose from ['ratio', 'nunique']")
-    if mode == "ratio":
-        table = distinct_ratios(df, threshold=threshold).collect()
-        drop = [r["column"] for r in table if r["ratio"] < threshold]
-    else:
-        table = distinct_ratios(df, exact_band=0).collect()
-        drop = [r["column"] for r in table if r["n_distinct"] <= 1]
+    drop = _below_ratio(df, threshold) if mode == "ratio" else _at_most_one_value(df)
     return [c for c in drop if c not in set(protect)]
 
 

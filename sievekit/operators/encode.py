@@ -33,21 +33,24 @@ def code_table(df: DataFrame, col: str, code_col: str | None = None, as_string:
         F.sum("__n").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     local = F.row_number().over(Window.partitionBy("__pid").orderBy("value")) - 1
     return (d.join(F.broadcast(offs.select("__pid", "__off")), "__pid")
-            .select("value", (F.col("__off") + local).cast("int").alias(code_col)))
+            .select("value", (F.col("__off") + local).cast("bigint").alias(code_col)))
 
 
 def label_encode(df: DataFrame, col: str, table: DataFrame | None = None, out_col: str | None = None,
                  as_string: bool = True) -> tuple[DataFrame, DataFrame]:
     """Replace ``col`` by its code (``out_col`` keeps the original).
-    Values missing from a supplied table raise at the caller's check; here
-    they map to null."""
-    out_col = out_col or col
+    A value that a supplied table lacks raises when the row is computed."""
+    out_col, given = out_col or col, table is not None
     table = table if table is not None else code_table(df, col, "__code", as_string)
     if "__code" not in table.columns:
         table = table.withColumnRenamed(table.columns[1], "__code")
     key = F.coalesce(F.col(col).cast("string"), F.lit("None")) if as_string else F.col(col)
     j = df.withColumn("__key", key).join(table.withColumnRenamed("value", "__key"), "__key", "left")
-    return j.withColumn(out_col, F.col("__code")).drop("__key", "__code"), table
+    code = F.col("__code")
+    if given:
+        unseen = F.raise_error(F.concat(F.lit(f"{col} has a value that the code table lacks: "), F.col("__key")))
+        code = F.when(code.isNotNull(), code).otherwise(unseen.cast("bigint"))
+    return j.withColumn(out_col, code).drop("__key", "__code"), table
 
 
 def label_decode(df: DataFrame, code_col: str, table: DataFrame, out_col: str) -> DataFrame:
@@ -57,7 +60,7 @@ def label_decode(df: DataFrame, code_col: str, table: DataFrame, out_col: str) -
 
 
 def encode_features(df: DataFrame, cat_cols: Sequence[str] | None = None, strategy: str = "label",
-                    max_categories: int = 1000) -> tuple[DataFrame, dict]:
+                    max_categories: int | None = None) -> tuple[DataFrame, dict]:
     """E3/E4 dispatch: ``label`` codes per column, or dense ``onehot``."""
     from .cleaning import categorical_columns
 
@@ -73,16 +76,30 @@ def encode_features(df: DataFrame, cat_cols: Sequence[str] | None = None, strate
     raise ValueError(f"Unknown strategy '{strategy}'. Choose from ['label', 'onehot']")
 
 
-def category_values(df: DataFrame, col: str, max_categories: int = 1000) -> list[str]:
-    """Sorted distinct text values of a low-cardinality column; refuses more
-    than ``max_categories`` (one-hot columns are a driver-side schema)."""
-    vals = (df.select(F.coalesce(F.col(col).cast("string"), F.lit("None")).alias("v")).distinct()
-            .orderBy("v").limit(max_categories + 1).collect())
-    if len(vals) > max_categories:
-        raise ValueError(f"column {col} has more than {max_categories} categories; use label encoding")
+def category_values(df: DataFrame, col: str, max_categories: int | None = None) -> list[str]:
+    """Sorted distinct text values of a column. They name the columns of the
+    dense form, so they come to the driver; a caller may set
+    ``max_categories`` to be refused instead. ``one_hot_sparse`` has no such need."""
+    vals = df.select(F.coalesce(F.col(col).cast("string"), F.lit("None")).alias("v")).distinct().orderBy("v")
+    if max_categories is not None:
+        vals = vals.limit(max_categories + 1)
+    vals = vals.collect()
+    if max_categories is not None and len(vals) > max_categories:
+        raise ValueError(f"column {col} has more than {max_categories} categories; use one_hot_sparse")
     return [r["v"] for r in vals]
 
 
+def one_hot_sparse(df: DataFrame, col: str, out: str = "onehot") -> DataFrame:
+    """E4 for any number of categories: a struct ``(size, index)`` in place
+    of the 0/1 columns, where ``index`` is the position of the one that is 1.
+    Positions come from the distributed code table; nothing is collected
+    but its size."""
+    coded, table = label_encode(df, col, out_col=f"__{out}")
+    size = table.count()
+    return coded.withColumn(out, F.struct(F.lit(size).cast("bigint").alias("size"),
+                                          F.col(f"__{out}").cast("bigint").alias("index"))).drop(f"__{out}")
+
+
 def one_hot(df: DataFrame, categories: dict[str, list[str]], drop_original: bool = True) -> DataFrame:
     """Dense 0/1 DOUBLE columns ``col_value``; unseen values -> all zeros."""
     new = {}

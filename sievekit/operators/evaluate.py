@@ -157,7 +157,8 @@ def curve_points(df: DataFrame, label: str, score_cols: dict) -> DataFrame:
     long = _score_long(df, label, score_cols)
     g = long.groupBy("class", "score").agg(F.sum("y").alias("tp"), F.sum(1 - F.col("y")).alias("fp"))
     cum = running_sum(g, ["class"], [F.desc("score")], ["tp", "fp"])  # keeps tp, fp and adds cum_tp, cum_fp
-    totals = g.groupBy("class").agg(F.sum("tp").alias("P"), F.sum("fp").alias("N"))
+    # from the checkpointed curve, so the scores aren't computed again
+    totals = cum.groupBy("class").agg(F.sum("tp").alias("P"), F.sum("fp").alias("N"))
     return cum.join(F.broadcast(totals), "class")  # one row per class
 
 

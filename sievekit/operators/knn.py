@@ -1,71 +1,182 @@
-"""Exact k-nearest-neighbour classification (T4) as a certified grid join.
-
-No all-pairs join: training vectors are collapsed to distinct
-(vector, label, weight) rows and bucketed on a grid of side ``r`` over the
-first ``grid_dims`` features. Each query looks only at the 3^grid_dims
-neighbouring cells (an equi-join on the cell key) and keeps candidates
-within Euclidean distance ``r``. Every training point within ``r`` lies in
-those cells, because the distance in the projected dimensions never exceeds
-the full distance. If at least ``k`` weighted candidates lie within ``r``,
-the query's k nearest are certified exact. Queries that are not certified
-retry with ``2r``. Votes are uniform over the k nearest (duplicates count by
-multiplicity); ties in distance go to the smaller label, then the smaller
-vector; tied votes go to the smaller label.
+"""Exact k-nearest-neighbour classification (T4) over a k-d partition.
+
+No all-pairs join. Training vectors are collapsed to distinct (vector, label,
+weight) rows; a k-d tree, built from a bounded sample of them, cuts space into
+leaves of about ``leaf_rows`` vectors. Distinct query vectors then take two
+steps:
+
+1. each looks at its own leaf and the nearest others until these hold ``k``
+   weighted neighbours at least: their k-th distance bounds the answer;
+2. each looks at every other leaf whose box comes within that bound.
+
+So every query is answered after two steps, whatever its position, and looks
+at the leaves around it only. A leaf's queries are dealt in chunks of bounded
+size, each with a copy of the leaf, and only the ``k`` best of a leaf leave its
+task.
+
+Votes are uniform over the k nearest (duplicates count by multiplicity); ties
+in distance go to the smaller label, then the smaller vector; tied votes go
+to the smaller label. With fewer than ``k`` training rows it raises, as the
+original does. Null features count as 0.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import reliable_checkpoint
 
+#: the k-d tree is built from at most so many distinct training vectors
+SAMPLE_VECTORS = 100_000
+LEAF_ROWS = 1_000
+QUERY_ROWS = 5_000
+
+
+class KdBoxes:
+    """Half-open boxes that cover space, from median cuts of a sample."""
+
+    def __init__(self, sample: np.ndarray, leaves: int):
+        dims = sample.shape[1] if sample.ndim == 2 else 1
+        self.low, self.high = [], []
+        todo = [(np.arange(len(sample)), np.full(dims, -np.inf), np.full(dims, np.inf), max(1, leaves))]
+        while todo:
+            rows, low, high, n = todo.pop()
+            x = sample[rows]
+            spread = np.ptp(x, axis=0) if len(x) else np.zeros(dims)
+            if n < 2 or not len(x) or spread.max() == 0:
+                self.low.append(low)
+                self.high.append(high)
+                continue
+            d = int(spread.argmax())
+            at = np.median(x[:, d])
+            if at == x[:, d].min():  # half of the rows share the smallest value: cut above it
+                at = x[:, d][x[:, d] > at].min()
+            upper, lower = low.copy(), high.copy()
+            upper[d], lower[d] = at, at
+            todo.append((rows[x[:, d] < at], low, lower, n // 2))
+            todo.append((rows[x[:, d] >= at], upper, high, n - n // 2))
+        self.low, self.high = np.array(self.low), np.array(self.high)
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        """The box of each vector."""
+        out = np.empty(len(x), np.int64)
+        for k in range(0, len(x), 1024):
+            part = x[k : k + 1024, None, :]
+            out[k : k + 1024] = ((part >= self.low) & (part < self.high)).all(axis=2).argmax(axis=1)
+        return out
+
+    def distance(self, x: np.ndarray) -> np.ndarray:
+        """(vectors, boxes): a lower bound of the distance to a box's vectors."""
+        gap = np.maximum(np.maximum(self.low - x[:, None, :], x[:, None, :] - self.high), 0.0)
+        return np.sqrt((gap * gap).sum(axis=2)) * (1 - 1e-12)
+
+
+def _nearest(queries: DataFrame, train: DataFrame, feats: list[str], k: int) -> DataFrame:
+    """Per (query, leaf) row the up to ``k`` weighted nearest vectors of that
+    leaf: ``__q, __d, __label, __w`` and the vector."""
+    load = queries.groupBy("__leaf").agg(F.count(F.lit(1)).alias("__n"))
+    load = load.withColumn("__chunks", F.ceil(F.col("__n") / QUERY_ROWS).cast("int")).select("__leaf", "__chunks")
+    q = queries.join(load, "__leaf").withColumn("__chunk", F.pmod(F.xxhash64("__q"), F.col("__chunks")).cast("int"))
+    t = train.join(load, "__leaf").withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1)))
+    vec = [f"__t_{c}" for c in feats]
+    label = train.schema["__label"].dataType.simpleString()
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values(["__label", *vec], kind="stable")  # ties of distance keep this order
+        b, w = right[vec].to_numpy(float), right["__w"].to_numpy()
+        out = []
+        a, ids = left[feats].to_numpy(float), left["__q"].to_numpy()
+        for i in range(0, len(a) if len(b) else 0, 256):
+            d = np.zeros((len(a[i : i + 256]), len(b)))
+            for c in range(len(feats)):  # summed in column order
+                step = a[i : i + 256, c, None] - b[None, :, c]
+                d += step * step
+            d = np.sqrt(d)
+            order = np.argsort(d, axis=1, kind="stable")[:, :k]
+            near = np.take_along_axis(d, order, axis=1)
+            weight = w[order]
+            take = np.cumsum(weight, axis=1) - weight < k
+            row, col = np.nonzero(take)
+            pick = right.iloc[order[row, col]]
+            out.append(pd.DataFrame({"__q": ids[i : i + 256][row], "__d": near[row, col], "__label": pick["__label"].to_numpy(),
+                                     "__w": pick["__w"].to_numpy(), **{v: pick[v].to_numpy() for v in vec}}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["__q", "__d", "__label", "__w", *vec])
+
+    schema = f"__q bigint, __d double, __label {label}, __w bigint, " + ", ".join(f"`{v}` double" for v in vec)
+    return (q.select("__leaf", "__chunk", "__q", *feats).groupBy("__leaf", "__chunk")
+            .cogroup(t.select("__leaf", "__chunk", "__label", "__w", *vec).groupBy("__leaf", "__chunk"))
+            .applyInPandas(best, schema))
+
 
 def knn_classify(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, key: str, k: int = 5,
-                 radius: float = 0.5, grid_dims: int = 3, max_rounds: int = 30) -> DataFrame:
-    """Returns (key, prediction, votes) for every test row."""
+                 leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """Returns (key, prediction, votes), one row for every test row."""
     feats = list(features)
-    g = feats[:max(1, min(grid_dims, len(feats)))]
-    tv = train.groupBy(*[F.col(c).cast("double").alias(c) for c in feats], F.col(label).alias("__label")) \
+    num = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    tv = train.groupBy(*[num(c).alias(f"__t_{c}") for c in feats], F.col(label).alias("__label")) \
         .agg(F.count(F.lit(1)).alias("__w"))
-    tv = reliable_checkpoint(tv.select(*[F.col(c).alias(f"__t_{c}") for c in feats], "__label", "__w"))
-    pending = reliable_checkpoint(test.select(key, *[F.col(c).cast("double").alias(c) for c in feats]))
-    offsets = [list(o) for o in itertools.product((-1, 0, 1), repeat=len(g))]
-    off_arr = F.array(*[F.array(*[F.lit(v).cast("bigint") for v in o]) for o in offsets])
-    results = []
-    r = radius
-    for _ in range(max_rounds):
-        if pending.limit(1).count() == 0:
-            break
-        tcell = tv.withColumn("__cell", F.array(*[F.floor(F.col(f"__t_{c}") / r).cast("bigint") for c in g]))
-        base = F.array(*[F.floor(F.col(c) / r).cast("bigint") for c in g])
-        q = pending.withColumn("__base", base).select(
-            key, *feats, F.explode(F.transform(off_arr, lambda o: F.zip_with(F.col("__base"), o, lambda a, b: a + b)))
-            .alias("__cell"))
-        cand = q.join(tcell, "__cell")
-        dist = F.sqrt(sum(((F.col(c) - F.col(f"__t_{c}")) * (F.col(c) - F.col(f"__t_{c}")) for c in feats),
-                          F.lit(0.0)))
-        cand = cand.withColumn("__d", dist).where(F.col("__d") <= F.lit(r))
-        w = Window.partitionBy(key).orderBy("__d", "__label", *[f"__t_{c}" for c in feats])
-        cand = cand.withColumn("__cum", F.sum("__w").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        cand = reliable_checkpoint(cand.withColumn(
-            "__take", F.least(F.col("__w"), F.greatest(F.lit(k) - (F.col("__cum") - F.col("__w")), F.lit(0)))))
-        found = cand.groupBy(key).agg(F.sum("__w").alias("__found"))
-        done = found.where(F.col("__found") >= k).select(key)
-        votes = cand.join(done, key).where(F.col("__take") > 0).groupBy(key, "__label").agg(
-            F.sum("__take").alias("votes"))
-        results.append(votes)
-        pending = reliable_checkpoint(pending.join(done, key, "left_anti"))
-        r *= 2
-    if not results:
-        raise ValueError("empty test set")
-    allv = results[0]
-    for v in results[1:]:
-        allv = allv.unionByName(v)
-    best = allv.groupBy(key).agg(
+    tv = reliable_checkpoint(tv)
+    vec = [f"__t_{c}" for c in feats]
+    total = tv.agg(F.sum("__w").alias("w"), F.count(F.lit(1)).alias("n")).first()
+    if (total["w"] or 0) < k:
+        raise ValueError(f"k = {k} neighbours asked for, {total['w'] or 0} training rows given")
+    # the smallest hashes: a bounded sample that doesn't depend on the partitioning
+    share = min(1.0, 1.2 * SAMPLE_VECTORS / total["n"])
+    some = tv.where(F.pmod(F.xxhash64(*vec), F.lit(1 << 30)) < int(share * (1 << 30))).select(*vec).limit(SAMPLE_VECTORS).toPandas()
+    boxes = KdBoxes(some.to_numpy(float).reshape(len(some), len(vec)), -(-total["n"] // leaf_rows))
+
+    @F.pandas_udf("bigint")
+    def leaf_of(*cols: pd.Series) -> pd.Series:
+        return pd.Series(boxes.leaf(np.column_stack([c.to_numpy(float) for c in cols])))
+
+    tv = reliable_checkpoint(tv.withColumn("__leaf", leaf_of(*vec)))
+    weight = np.zeros(len(boxes.low))
+    for r in tv.groupBy("__leaf").agg(F.sum("__w").alias("w")).collect():  # one row per leaf
+        weight[r["__leaf"]] = r["w"]
+    rows = test.select(key, *[num(c).alias(c) for c in feats])
+    # distinct query vectors, with an id that is the same in every pass
+    q = reliable_checkpoint(rows.groupBy(*feats).agg(F.first(F.xxhash64(*feats)).alias("__q")))
+
+    @F.pandas_udf("array<bigint>")
+    def first_leaves(*cols: pd.Series) -> pd.Series:
+        x = np.column_stack([c.to_numpy(float) for c in cols])
+        out = []
+        for i in range(0, len(x), 256):
+            order = np.argsort(boxes.distance(x[i : i + 256]), axis=1, kind="stable")
+            enough = np.cumsum(weight[order], axis=1) - weight[order] < k
+            out += [o[e & (weight[o] > 0)] for o, e in zip(order, enough)]
+        return pd.Series(out)
+
+    @F.pandas_udf("array<bigint>")
+    def other_leaves(bound: pd.Series, *cols: pd.Series) -> pd.Series:
+        x = np.column_stack([c.to_numpy(float) for c in cols])
+        out = []
+        for i in range(0, len(x), 256):
+            gap = boxes.distance(x[i : i + 256])
+            order = np.argsort(gap, axis=1, kind="stable")
+            near = np.take_along_axis(gap, order, axis=1) <= bound.to_numpy(float)[i : i + 256, None]
+            before = np.cumsum(weight[order], axis=1) - weight[order] < k  # looked at in the first step
+            out += [o[n & ~e & (weight[o] > 0)] for o, n, e in zip(order, near, before)]
+        return pd.Series(out)
+
+    by_distance = Window.partitionBy("__q").orderBy("__d", "__label", *vec)
+    running = F.sum("__w").over(by_distance.rowsBetween(Window.unboundedPreceding, 0))
+
+    def top(cand: DataFrame) -> DataFrame:
+        return cand.withColumn("__cum", running).where(F.col("__cum") - F.col("__w") < k)
+
+    first = reliable_checkpoint(top(_nearest(q.withColumn("__leaf", F.explode(first_leaves(*feats))), tv, feats, k)).drop("__cum"))
+    bound = first.groupBy("__q").agg(F.max("__d").alias("__bound"))
+    more = q.join(bound, "__q").withColumn("__leaf", F.explode(other_leaves("__bound", *feats)))
+    both = top(first.unionByName(_nearest(more, tv, feats, k)))
+    votes = both.withColumn("__take", F.least(F.col("__w"), F.lit(k) - (F.col("__cum") - F.col("__w")))) \
+        .groupBy("__q", "__label").agg(F.sum("__take").alias("votes"))
+    best = votes.groupBy("__q").agg(
         F.max_by("__label", F.struct(F.col("votes"), (-F.col("__label")).alias("__neg"))).alias("prediction"),
         F.max("votes").alias("votes"))
-    return best
+    return rows.withColumn("__q", F.xxhash64(*feats)).join(best, "__q").select(key, "prediction", "votes")

@@ -58,7 +58,7 @@ def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def rf_importances(df: DataFrame, features: Sequence[str], label: str, trees: int = 100, seed: int = 42) -> DataFrame:
     """Normalised importances (sum 1), descending."""
     model = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, seed=seed,
-                                   maxDepth=20).fit(_assembled(df, features))
+                                   maxDepth=30).fit(_assembled(df, features))
     imp = model.featureImportances.toArray().tolist()
     rows = [(f, float(v)) for f, v in zip(features, imp)]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(

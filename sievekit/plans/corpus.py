@@ -55,10 +55,10 @@ CORPUS_SQL = """(
 # evaluation, aggregation and ordering queries, so those are value-checkable
 # without a trained model.
 # ---------------------------------------------------------------------------
-def scored_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The narrow scored table (no text), materialised once: the summaries
-    built on it take several passes, and recomputing the text features for
-    each pass would cost far more than writing ~14 numbers per row."""
+def scored_corpus(spark: SparkSession, sf_dir: str, several_passes: bool = False) -> DataFrame:
+    """The narrow scored table (no text). It is lazy, so a single-pass summary
+    computes only the features it reads; an operator that takes several
+    passes asks for ``several_passes`` and gets it materialised once."""
     from ..operators.features import add_payload_features
     from ..session import reliable_checkpoint
 
@@ -71,12 +71,13 @@ def scored_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = z_xss + z_sqli + z_norm
     prob = lambda z: F.round(F.when(total > 0, z / total).otherwise(F.lit(1.0 / 3.0)), 6)
     pred = F.when(F.col("kw_xss") == 1, 1).when(F.col("kw_sql") == 1, 2).otherwise(3).cast("bigint")
-    return reliable_checkpoint(f.select(
+    scored = f.select(
         "ID", "Label", "text_label", "payload_len", ent.alias("payload_entropy"), "special_char_cnt",
         "digit_ratio", "upper_ratio", "kw_sql", "kw_xss",
         pred.alias("prediction"),
         prob(z_xss).alias("p_xss"), prob(z_sqli).alias("p_sqli"), prob(z_norm).alias("p_normal"),
-    ))
+    )
+    return reliable_checkpoint(scored) if several_passes else scored
 
 
 def scored_corpus_sql() -> str:

@@ -94,7 +94,7 @@ FROM d LEFT JOIN c ON c.text_label = d.text_label AND c.bin = d.bin
 """)
 def q_entropy_histogram(spark, sf_dir):
     """40 equal-width entropy bins per class, last bin closed, empty bins kept."""
-    h = equal_width_histogram(scored_corpus(spark, sf_dir), "payload_entropy", 40, ["text_label"])
+    h = equal_width_histogram(scored_corpus(spark, sf_dir, True).select("text_label", "payload_entropy"), "payload_entropy", 40, ["text_label"])
     return h.select("text_label", "bin", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "n")
 
 
@@ -113,7 +113,7 @@ FROM s JOIN f USING (text_label) GROUP BY ALL
 """)
 def q_box_stats(spark, sf_dir):
     """A10: box-plot statistics of payload length per class."""
-    b = box_stats(scored_corpus(spark, sf_dir), "payload_len", ["text_label"])
+    b = box_stats(scored_corpus(spark, sf_dir, True), "payload_len", ["text_label"])
     return b.select("text_label", *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3", "iqr", "lo_fence", "hi_fence")],
                     "whisker_lo", "whisker_hi", "n_outliers", "n")
 
@@ -131,7 +131,7 @@ FROM (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM
 @query("iqr_outliers", _iqr_sql())
 def q_iqr_outliers(spark, sf_dir):
     """1.5 IQR fences and outlier counts of the seven features."""
-    t = iqr_outliers(scored_corpus(spark, sf_dir), list(FEATURE_COLUMNS))
+    t = iqr_outliers(scored_corpus(spark, sf_dir, True), list(FEATURE_COLUMNS))
     return t.select("column", *[F.round(c, 6).alias(c) for c in ("q1", "q3", "lo_fence", "hi_fence")], "n_outliers")
 
 

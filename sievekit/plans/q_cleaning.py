@@ -101,7 +101,7 @@ _RATIO_COLS = [c for c in DOC_LABEL_COLUMNS if c != "doc_id"]
     for c in _RATIO_COLS))
 def q_near_constant_cols(spark, sf_dir):
     """Exact distinct ratio per column (the drop rule's input)."""
-    t = distinct_ratios(doc_labels(spark, sf_dir).drop("doc_id"), exact_band=0)
+    t = distinct_ratios(doc_labels(spark, sf_dir).drop("doc_id"))
     return t.select("column", "n_distinct", "n_rows", F.round("ratio", 9).alias("ratio"),
                     (F.col("ratio") < 0.001).cast("int").alias("below_threshold"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dialect import FEATURE_COLUMNS
 from ..operators.aggregates import equal_width_histogram
-from ..operators.encode import category_values, code_table, label_decode, label_encode, one_hot
+from ..operators.encode import category_values, code_table, label_decode, label_encode, one_hot, one_hot_sparse
 from ..operators.scale import METHODS, fit_scaler, transform
 from ..session import read_table
 from .catalog import query
@@ -26,7 +26,7 @@ def q_label_encode(spark, sf_dir):
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
     for c in ("p_brand", "p_type", "p_size"):
         p, _ = label_encode(p, c, out_col=f"{c}_code")
-    return p.select("p_partkey", "p_brand_code", "p_type_code", "p_size_code")
+    return p.select("p_partkey", *[F.col(f"{c}_code").cast("int").alias(f"{c}_code") for c in ("p_brand", "p_type", "p_size")])
 
 
 @query("label_decode", """
@@ -38,7 +38,7 @@ def q_label_decode(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders").select("o_orderpriority")
     enc, table = label_encode(o, "o_orderpriority", out_col="code")
     dec = label_decode(enc.select("code"), "code", table, "decoded")
-    return dec.groupBy("code", "decoded").agg(F.count(F.lit(1)).alias("n"))
+    return dec.groupBy(F.col("code").cast("int").alias("code"), "decoded").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("one_hot", """
@@ -55,6 +55,16 @@ def q_one_hot(spark, sf_dir):
     return wide.unpivot(["c_custkey"], cols, "category", "value")
 
 
+@query("one_hot_sparse", """
+SELECT p_partkey, CAST((SELECT count(DISTINCT p_name) FROM part) AS BIGINT) AS size,
+       CAST(dense_rank() OVER (ORDER BY p_name) - 1 AS BIGINT) AS index FROM part
+""")
+def q_one_hot_sparse(spark, sf_dir):
+    """E4 with as many categories as part names, as (size, index)."""
+    p = one_hot_sparse(read_table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name")
+    return p.select("p_partkey", "onehot.size", "onehot.index")
+
+
 def _scale_sql(method: str) -> str:
     exprs = []
     for c in FEATURE_COLUMNS:
@@ -78,7 +88,7 @@ def _scale_sql(method: str) -> str:
 
 def _scale_query(method: str):
     def run(spark, sf_dir):
-        df = scored_corpus(spark, sf_dir).select("ID", *FEATURE_COLUMNS)
+        df = scored_corpus(spark, sf_dir, True).select("ID", *FEATURE_COLUMNS)
         out = transform(df, fit_scaler(df, method, list(FEATURE_COLUMNS)))
         return out.select("ID", *[F.round(c, 6).alias(c) for c in FEATURE_COLUMNS])
     run.__doc__ = f"E5-E9: {method} scaling of the seven features."
@@ -112,7 +122,7 @@ SELECT d.method, d.bin, CAST(coalesce(c.n, 0) AS BIGINT) AS n FROM d LEFT JOIN c
 """)
 def q_scaling_histogram(spark, sf_dir):
     """50-bin histograms of payload length under each of the five scalers."""
-    base = scored_corpus(spark, sf_dir).select("payload_len")
+    base = scored_corpus(spark, sf_dir, True).select("payload_len")
     parts = []
     for m in METHODS:
         scaled = transform(base, fit_scaler(base, m, ["payload_len"]))
@@ -129,4 +139,5 @@ FROM (SELECT DISTINCT c_name FROM customer)
 """)
 def q_code_table(spark, sf_dir):
     """E3 state for a high-cardinality column (range-partitioned ranking)."""
-    return code_table(read_table(spark, sf_dir, "customer"), "c_name")
+    t = code_table(read_table(spark, sf_dir, "customer"), "c_name")
+    return t.withColumn(t.columns[1], F.col(t.columns[1]).cast("int"))

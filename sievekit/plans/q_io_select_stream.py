@@ -13,7 +13,7 @@ from ..operators.select import (
 from ..session import read_table
 from ..sources.io import read_labelled_csv, scratch_path, write_csv
 from ..streaming.live import latest_per_key, run_available_now, run_update_to_table, windowed_label_counts
-from .catalog import query
+from .catalog import ORACLE, query
 from .corpus import scored_corpus, scored_corpus_sql
 
 FEATS = list(FEATURE_COLUMNS)
@@ -53,7 +53,7 @@ FROM mi JOIN pos USING (feature)"""
 @query("mutual_information", _mi_sql())
 def q_mutual_information(spark, sf_dir):
     """Binned mutual information of each feature with the class, top-5 selected."""
-    s = scored_corpus(spark, sf_dir)
+    s = scored_corpus(spark, sf_dir, True)
     mi = mutual_information(s, FEATS, "Label").withColumn("mi", F.round("mi", 6))
     return select_k_best(mi, 5, FEATS).select("feature", "mi", F.col("rank").cast("int"), "selected")
 
@@ -61,14 +61,14 @@ def q_mutual_information(spark, sf_dir):
 @query("rf_importance")
 def q_rf_importance(spark, sf_dir):
     """Random-forest importances (sum 1) and the mean-threshold selection."""
-    s = scored_corpus(spark, sf_dir).select("Label", *FEATS).coalesce(1)
+    s = scored_corpus(spark, sf_dir, True).select("Label", *FEATS)
     return select_from_model(rf_importances(s, FEATS, "Label"), "mean")
 
 
 @query("rfe_select")
 def q_rfe_select(spark, sf_dir):
     """Recursive elimination down to four features."""
-    s = scored_corpus(spark, sf_dir).select("Label", *FEATS).coalesce(1)
+    s = scored_corpus(spark, sf_dir, True).select("Label", *FEATS)
     kept = recursive_elimination(s, FEATS, "Label", 4)
     return spark.createDataFrame([(f, i) for i, f in enumerate(kept)], "feature string, position int")
 
@@ -76,7 +76,7 @@ def q_rfe_select(spark, sf_dir):
 @query("pca_project")
 def q_pca_project(spark, sf_dir):
     """Centred 2-D PCA of the seven features, with the class."""
-    s = scored_corpus(spark, sf_dir)
+    s = scored_corpus(spark, sf_dir, True)
     return pca_project(s, FEATS, 2, keep=("ID", "text_label"))
 
 
@@ -91,7 +91,7 @@ def q_label_counts_by_window(spark, sf_dir):
     return g.select(epoch_micros("w.start").alias("window_start_us"), "event_type", "n")
 
 
-@query("stream_label_counts")
+@query("stream_label_counts", ORACLE["label_counts_by_window"])
 def q_stream_label_counts(spark, sf_dir):
     """L2: the same counts from a watermarked Structured Streaming job over
     the scan-log files (update mode, foreachBatch sink, availableNow)."""

@@ -42,7 +42,7 @@ def q_tune_grid(spark, sf_dir):
 @query("tune_random")
 def q_tune_random(spark, sf_dir):
     """Seeded random subset (without replacement) of the decision-tree grid."""
-    return tune(spark, sf_dir, "DecisionTree", "random", n_iter=5)
+    return tune(spark, sf_dir, "DecisionTree", "random")
 
 
 @query("cross_validate")
@@ -137,7 +137,7 @@ def q_fit_knn(spark, sf_dir):
     from ..operators.splits import stratified_split
     from .corpus import scored_corpus
 
-    s = scored_corpus(spark, sf_dir).select("ID", "Label", *FEATS)
+    s = scored_corpus(spark, sf_dir, True).select("ID", "Label", *FEATS)
     sp = stratified_split(s, "Label", "ID", 0.2, seed=42)
     train = sp.where(F.col("split") == "train")
     state = fit_scaler(train, "standard", FEATS)

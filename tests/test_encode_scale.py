@@ -64,3 +64,14 @@ def test_robust_and_state_reuse(spark, numeric_df):
 def test_unknown_method_raises(numeric_df):
     with pytest.raises(ValueError, match="Choose from"):
         fit_scaler(numeric_df, "bad")
+
+
+def test_unseen_value_raises(spark):
+    import pytest
+
+    from sievekit.operators.encode import label_encode
+
+    df = spark.createDataFrame([("a",), ("b",)], "x string")
+    _, table = label_encode(df, "x")
+    with pytest.raises(Exception, match="lacks"):
+        label_encode(spark.createDataFrame([("c",)], "x string"), "x", table)[0].collect()

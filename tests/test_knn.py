@@ -1,7 +1,9 @@
-"""Exact kNN (grid-certified join) against brute force."""
+"""Exact kNN (k-d partition) against brute force."""
 
 import random
 
+import pytest
+
 from sievekit.operators.knn import knn_classify
 
 
@@ -14,7 +16,7 @@ def test_knn_matches_brute_force(spark):
     tdf = spark.createDataFrame(train, "id int, a double, b double, c double, label int")
     qdf = spark.createDataFrame(test, "qid int, a double, b double, c double")
     got = {r["qid"]: r["prediction"] for r in knn_classify(tdf, qdf, ["a", "b", "c"], "label", "qid", k=5,
-                                                             radius=0.25, grid_dims=2).collect()}
+                                                             leaf_rows=7).collect()}
     for qid, a, b, c in test:
         ds = sorted(((((a - x) ** 2 + (b - y) ** 2 + (c - z) ** 2) ** 0.5, lab, x, y, z)
                      for _, x, y, z, lab in train))
@@ -23,3 +25,16 @@ def test_knn_matches_brute_force(spark):
             votes[d[1]] = votes.get(d[1], 0) + 1
         best = sorted(votes.items(), key=lambda kv: (-kv[1], kv[0]))[0][0]
         assert got[qid] == best, qid
+
+
+def test_every_row_is_answered(spark):
+    train = spark.createDataFrame([(0.0, 0), (1.0, 0), (2.0, 1), (1e9, 1)], "a double, label int")
+    test = spark.createDataFrame([(1, 0.4), (2, -1e12), (3, 1e12), (4, 0.4), (5, None)], "qid int, a double")
+    got = {r["qid"]: (r["prediction"], r["votes"]) for r in knn_classify(train, test, ["a"], "label", "qid", k=3, leaf_rows=1).collect()}
+    assert got == {1: (0, 2), 2: (0, 2), 3: (1, 2), 4: (0, 2), 5: (0, 2)}
+
+
+def test_more_neighbours_than_rows_raises(spark):
+    train = spark.createDataFrame([(0.0, 0), (1.0, 0), (2.0, 1)], "a double, label int")
+    with pytest.raises(ValueError, match="k = 5"):
+        knn_classify(train, train.selectExpr("label qid", "a"), ["a"], "label", "qid", k=5)
