@@ -28,7 +28,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scale import METHODS, fit_scaler
+from .scale import fit_scaler
 
 
 # ------------------------------------------------------------------ scaler stage
@@ -111,53 +111,85 @@ class RandomFourierFeatures(Transformer, HasInputCols, DefaultParamsReadable, De
 # ------------------------------------------------------------------ registry
 @dataclass
 class ModelSpec:
+    """``build(n_train, **params)`` makes the classifier; ``grid`` lists the
+    parameters that tuning tries. A ``kernel`` of ``rbf`` (default of a spec
+    with ``rbf``) puts the random features in front."""
+
     name: str
-    build: Callable[[int], object]                 # n_train -> classifier
-    grid: Callable[[object, int], list] = field(default=lambda est, n: [])
+    build: Callable[..., object]
+    grid: list[dict] = field(default_factory=list)
     probabilistic: bool = True
     rbf: bool = False
 
 
-def _lr(n: int, c: float = 1.0):
+def _lr(n: int, C: float = 1.0):  # noqa: N803 - the parameter's public name
     # scikit-learn minimises C * sum(loss) + 0.5 ||w||^2; MLlib minimises
-    # mean(loss) + 0.5 * regParam ||w||^2  ->  regParam = 1 / (C n)
+    # mean(loss) + 0.5 * regParam ||w||^2  ->  regParam = 1 / (C n), with the
+    # rows of the very fit.
     # tol 1e-4: MLlib's measure of progress is its own, so stopping points differ from scikit-learn's
-    return LogisticRegression(family="multinomial", maxIter=1000, regParam=1.0 / (c * max(n, 1)),
+    return LogisticRegression(family="multinomial", maxIter=1000, regParam=1.0 / (C * max(n, 1)),
                               elasticNetParam=0.0, standardization=False, tol=1e-4)
 
 
-def _grid(est, param: str, values) -> list:
-    return [{est.getParam(param): v} for v in values]
-
-
 # the original sets no iteration limit; the tolerance ends a fit long before this
 SVM_MAX_ITER = 10_000
 
+
+def _svm(n: int, C: float = 1.0, kernel: str = "rbf"):  # noqa: N803
+    return OneVsRest(classifier=LinearSVC(regParam=1.0 / (C * max(n, 1)), maxIter=SVM_MAX_ITER, tol=1e-3), parallelism=4)
+
+
+def _mlp(n: int, hidden: Sequence[int] = (128, 64)):
+    # the layer sizes are completed in build_pipeline, which knows inputs and classes
+    return MultilayerPerceptronClassifier(maxIter=300, seed=42, blockSize=128, tol=1e-4, layers=[1, *hidden, 1])
+
+
+# fixed values: the model names and tuning grids of the original. Unlimited
+# depth is MLlib's largest, 30; minimal split sizes 2, 5, 10 are leaf sizes 1, 2, 5.
 DEFAULT_MODELS: dict[str, ModelSpec] = {
-    "LogisticRegression": ModelSpec(
-        "LogisticRegression", _lr,
-        lambda est, n: _grid(est, "regParam", [1.0 / (c * max(n, 1)) for c in (0.01, 0.1, 1, 10, 100)])),
+    "LogisticRegression": ModelSpec("LogisticRegression", _lr, [{"C": c} for c in (0.01, 0.1, 1, 10, 100)]),
     "DecisionTree": ModelSpec(
-        "DecisionTree", lambda n: DecisionTreeClassifier(maxDepth=30, minInstancesPerNode=1, seed=42),
-        lambda est, n: [{est.maxDepth: d, est.minInstancesPerNode: m} for d in (5, 10, 20, 30) for m in (1, 2, 5)]),
+        "DecisionTree",
+        lambda n, maxDepth=30, minInstancesPerNode=1: DecisionTreeClassifier(
+            maxDepth=maxDepth, minInstancesPerNode=minInstancesPerNode, seed=42),
+        [{"maxDepth": d, "minInstancesPerNode": m} for d in (5, 10, 20, 30) for m in (1, 2, 5)]),
     "RandomForest": ModelSpec(
-        "RandomForest", lambda n: RandomForestClassifier(numTrees=200, maxDepth=30, seed=42),
-        lambda est, n: [{est.numTrees: t, est.maxDepth: d} for t in (100, 200, 300) for d in (10, 20, 30)]),
-    "SVM": ModelSpec(
-        "SVM", lambda n: OneVsRest(classifier=LinearSVC(regParam=1.0 / max(n, 1), maxIter=SVM_MAX_ITER, tol=1e-4), parallelism=4),
-        probabilistic=False),
-    "SVM_RBF": ModelSpec(
-        "SVM_RBF", lambda n: OneVsRest(classifier=LinearSVC(regParam=1.0 / max(n, 1), maxIter=SVM_MAX_ITER, tol=1e-4), parallelism=4),
-        probabilistic=False, rbf=True),
-    "KNN": ModelSpec("KNN", lambda n: None, lambda est, n: [{"k": k} for k in (3, 5, 7, 11)], probabilistic=False),
-    "GaussianNB": ModelSpec("GaussianNB", lambda n: None,
-                            lambda est, n: [{"var_smoothing": v} for v in (1e-9, 1e-8, 1e-7)]),
-    "MLP": ModelSpec(
-        "MLP", lambda n: MultilayerPerceptronClassifier(maxIter=300, seed=42, blockSize=128, tol=1e-4),
-        lambda est, n: [{est.layers: h} for h in ((64,), (128, 64), (256, 128, 64))]),
+        "RandomForest",
+        lambda n, numTrees=200, maxDepth=30: RandomForestClassifier(numTrees=numTrees, maxDepth=maxDepth, seed=42),
+        [{"numTrees": t, "maxDepth": d} for t in (100, 200, 300) for d in (10, 20, 30)]),
+    "KNN": ModelSpec("KNN", lambda n: None, [{"k": k} for k in (3, 5, 7, 11)], probabilistic=False),
+    "SVM": ModelSpec("SVM", _svm, [{"C": c, "kernel": k} for c in (0.1, 1, 10) for k in ("rbf", "linear")], rbf=True),
+    "GaussianNB": ModelSpec("GaussianNB", lambda n: None, [{"var_smoothing": v} for v in (1e-9, 1e-8, 1e-7)]),
+    "MLP": ModelSpec("MLP", _mlp, [{"hidden": h} for h in ((64,), (128, 64), (256, 128, 64))]),
 }
 
 
+class MarginCalibration(Estimator, DefaultParamsReadable, DefaultParamsWritable):
+    """Platt scaling of a one-vs-rest margin classifier: margins of rows that
+    the classifier wasn't fitted on (``FOLDS`` hash folds) are mapped to class
+    probabilities by a logistic regression. The prediction stays the margin
+    classifier's, fitted on all rows."""
+
+    FOLDS = 3
+
+    def __init__(self, classifier=None):
+        super().__init__()
+        self.classifier = classifier
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        from functools import reduce
+
+        folded = dataset.withColumn("__cal", F.pmod(F.xxhash64(vector_to_array("features")), F.lit(self.FOLDS)))
+        raw = []
+        for f in range(self.FOLDS):
+            fitted = self.classifier.fit(folded.where(F.col("__cal") != f))
+            raw.append(fitted.transform(folded.where(F.col("__cal") == f)).select("label_idx", "rawPrediction"))
+        margins = reduce(DataFrame.unionByName, raw)
+        platt = LogisticRegression(featuresCol="rawPrediction", labelCol="label_idx", predictionCol="__platt",
+                                   rawPredictionCol="__platt_raw", family="multinomial", maxIter=200).fit(margins)
+        return PipelineModel([self.classifier.fit(dataset), platt])
+
+
 # ------------------------------------------------------------------ Gaussian NB
 def fit_gaussian_nb(df: DataFrame, features: Sequence[str], label: str, var_smoothing: float = 1e-9) -> DataFrame:
     """T6 state: one row per class with prior, means and smoothed variances
@@ -204,20 +236,22 @@ def index_labels(df: DataFrame, label: str, out: str = "label_idx"):
 
 
 def build_pipeline(spec: ModelSpec, features: Sequence[str], n_train: int, n_classes: int,
-                   scaler: str = "standard", label_col: str = "label_idx") -> Pipeline:
+                   scaler: str = "standard", label_col: str = "label_idx", params: dict | None = None) -> Pipeline:
     """Scaler (fitted inside each fit) -> optional RBF map -> assembler -> classifier."""
-    feats = list(features)
+    feats, params = list(features), dict(params or {})
     stages = [FeatureScaler(inputCols=feats, method=scaler)] if scaler else []
     vec_in = feats
-    if spec.rbf:
+    if params.get("kernel", "rbf" if spec.rbf else "linear") == "rbf":
         rff = RandomFourierFeatures(inputCols=feats, gamma=1.0 / len(feats), dim=64, seed=42)
         stages.append(rff)
         vec_in = [f"rff_{i}" for i in range(64)]
     stages.append(VectorAssembler(inputCols=vec_in, outputCol="features", handleInvalid="keep"))
-    est = spec.build(n_train)
+    est = spec.build(n_train, **params)
     if isinstance(est, MultilayerPerceptronClassifier):
-        est = est.setLayers([len(vec_in), 128, 64, n_classes])
+        est = est.setLayers([len(vec_in), *est.getLayers()[1:-1], n_classes])
     est = est.setFeaturesCol("features").setLabelCol(label_col)
+    if isinstance(est, OneVsRest) and spec.probabilistic:
+        est = MarginCalibration(est.setRawPredictionCol("rawPrediction"))
     stages.append(est)
     return Pipeline(stages=stages)
 
@@ -229,11 +263,8 @@ def decode_predictions(pred: DataFrame, indexer, label_out: str = "predicted_lab
 def probability_columns(pred: DataFrame, class_names: Sequence[str], digits: int = 1) -> DataFrame:
     """confidence = max probability x 100 (half-even rounding) and a
     class -> percent map."""
-    arr = vector_to_array("probability")
+    plain = pred.schema["probability"].dataType.typeName() == "array"  # naive Bayes gives an array
+    arr = F.col("probability") if plain else vector_to_array("probability")
     pct = F.transform(arr, lambda p: F.bround(p * 100.0, digits))
     return pred.withColumn("confidence", F.bround(F.array_max(arr) * 100.0, digits)) \
         .withColumn("probabilities", F.map_from_arrays(F.array(*[F.lit(c) for c in class_names]), pct))
-
-
-def supported_methods() -> tuple[str, ...]:
-    return METHODS

@@ -113,21 +113,16 @@ def q_stream_label_counts(spark, sf_dir):
 def q_stream_scoring(spark, sf_dir):
     """L1: benchmark texts streamed through a pipeline trained on the corpus,
     with severity, appended to a Parquet history."""
-    from ..operators.models import DEFAULT_MODELS, build_pipeline
+    from ..operators.training import load_artifact
     from ..streaming.live import live_scoring
-    from .training import _prepared
-
-    data, train, _t, indexer = _prepared(spark, sf_dir)
-    try:
-        model = build_pipeline(DEFAULT_MODELS["RandomForest"], FEATS, train.count(), len(indexer.labels)).fit(train)
-    finally:
-        data.unpersist()
-    b = read_table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("payload"))
-    src = scratch_path(spark, "l1-src")
-    b.write.parquet(src)
-    stream = spark.readStream.schema(b.schema).parquet(src)
-    scored = live_scoring(stream, model, list(indexer.labels)).select(
-        "item_id", "payload", "label", "severity", "severity_score", *FEATS)
+    from .training import saved_model
+
+    model = load_artifact(spark, saved_model(spark, sf_dir, "RandomForest"))
+    stream = spark.readStream.schema(read_table(spark, sf_dir, "benchmark").schema) \
+        .option("pathGlobFilter", "benchmark.parquet").parquet(sf_dir) \
+        .select("item_id", F.col("text").alias("payload"))
+    scored = live_scoring(stream, model.model, model.labels).select(
+        "item_id", "payload", "label", "confidence", "severity", "severity_score", *FEATS)
     sink, ck = scratch_path(spark, "l1-sink"), scratch_path(spark, "l1-ckpt")
     run_available_now(scored, sink, ck)
     return spark.read.parquet(sink)

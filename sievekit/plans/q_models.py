@@ -10,7 +10,7 @@ from ..session import read_table
 from .catalog import query
 from .corpus import CORPUS_SQL
 from .sqltext import sql_features
-from .training import compare_models, cross_validate, feature_table, score_batch, train_report, tune
+from .training import compare_models, cross_validate, prediction_audit, score_batch, train_report, tune
 
 FEATS = list(FEATURE_COLUMNS)
 
@@ -64,6 +64,12 @@ def q_score_batch(spark, sf_dir):
     return score_batch(spark, sf_dir, b, "RandomForest")
 
 
+@query("prediction_audit")
+def q_prediction_audit(spark, sf_dir):
+    """Prediction and error flag of every payload of the corpus."""
+    return prediction_audit(spark, sf_dir).select("ID", "text_label", "label", "is_error", "preview")
+
+
 def _gnb_sql(var_smoothing: float = 1e-9) -> str:
     f = sql_features("Payload")
     feats = ", ".join(f"CAST({f[c]} AS DOUBLE) AS {c}" if c != "payload_entropy" else f"{f[c]} AS {c}" for c in FEATS)
@@ -81,6 +87,15 @@ SELECT ID, arg_max(cls, ll) AS prediction FROM sc GROUP BY ID
 """
 
 
+from .catalog import ORACLE  # noqa: E402
+
+ORACLE["prediction_audit"] = f"""
+WITH p AS ({_gnb_sql().strip().rstrip(';')})
+SELECT c.ID, c.text_label, p.prediction AS label, CAST(c.text_label <> p.prediction AS INTEGER) AS is_error,
+       CASE WHEN length(c.Payload) > 80 THEN substr(c.Payload, 1, 80) || '…' ELSE c.Payload END AS preview
+FROM {CORPUS_SQL} c JOIN p USING (ID)"""
+
+
 @query("fit_gaussian_nb", _gnb_sql())
 def q_fit_gaussian_nb(spark, sf_dir):
     """Gaussian naive Bayes fitted on the whole corpus (class means,

@@ -1,226 +1,148 @@
-"""Training, tuning, cross-validation and scoring jobs.
-
-The feature table is built lazily from the corpus, split exactly (K1) and
-persisted once before the fitting loops; every fit is a distributed MLlib
-job. Only metric rows (one per model / fold / configuration) come back to
-the driver.
+"""Training, tuning, cross-validation and scoring jobs (T8-T13, P1-P4) on the
+corpus of the given tables: thin callers of ``operators.training``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.tuning import CrossValidator
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dialect import FEATURE_COLUMNS
-from ..operators.enrich import enrich_severity
-from ..operators.evaluate import evaluate
+from ..operators import training as tr
+from ..operators.evaluate import classification_report, confusion_table, per_class_metrics, pr_curve, roc_auc
 from ..operators.features import add_payload_features
-from ..operators.models import (
-    DEFAULT_MODELS, FeatureScaler, ModelSpec, build_pipeline, decode_predictions, fit_gaussian_nb, index_labels,
-    predict_gaussian_nb, probability_columns,
-)
-from ..operators.splits import assign_folds, n_splits_for, stratified_split
-from ..functions.text import preview
+from ..operators.models import DEFAULT_MODELS, ModelSpec, index_labels
+from ..operators.select import pca_project
+from ..operators.splits import n_splits_for, stratified_split
+from ..sources.io import scratch_path
 from .corpus import labelled_corpus
 
 FEATS = list(FEATURE_COLUMNS)
 
-
-def feature_table(spark: SparkSession, sf_dir: str, seed: int = 42) -> DataFrame:
-    """ID, Payload, text_label, seven features, split ('train'/'test')."""
-    c = add_payload_features(labelled_corpus(spark, sf_dir), "Payload")
-    return stratified_split(c, "text_label", "ID", 0.2, seed=seed)
+#: T13's regularised forest: 150 trees, depth 6, leaves of 3
+REGULARISED = ModelSpec(
+    "RandomForestRegularised",
+    lambda n: RandomForestClassifier(numTrees=150, maxDepth=6, minInstancesPerNode=3, seed=42))
 
 
-ROWS_PER_FIT_PARTITION = 100_000
+def feature_table(spark: SparkSession, sf_dir: str, seed: int = 42) -> DataFrame:
+    """ID, Payload, text_label, seven features, split ('train'/'test'). The
+    split looks at keys and labels only; features are computed once, above it."""
+    keys = stratified_split(labelled_corpus(spark, sf_dir).select("ID", "text_label"), "text_label", "ID", 0.2, seed=seed)
+    corpus = labelled_corpus(spark, sf_dir).drop("text_label").join(keys, "ID")
+    return add_payload_features(corpus, "Payload")
 
 
 def _prepared(spark, sf_dir):
-    """Feature table with label codes, persisted for the fitting loops.
-
-    Iterative MLlib fits run one job per iteration, so partitions much
-    smaller than ~1e5 rows only add scheduling cost; the table is coalesced
-    to ceil(rows / 1e5) partitions, capped by the cluster's parallelism."""
-    import math
-
+    """The narrow feature table with label codes, materialised for the fits."""
     data = feature_table(spark, sf_dir).select("ID", "text_label", "split", *FEATS)
+    data = tr.for_fitting(data)
     indexer = index_labels(data, "text_label")
     data = indexer.transform(data)
-    n = data.count()
-    parts = max(1, min(spark.sparkContext.defaultParallelism, math.ceil(n / ROWS_PER_FIT_PARTITION)))
-    data = data.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
-    train = data.where(F.col("split") == "train")
-    test = data.where(F.col("split") == "test")
-    return data, train, test, indexer
-
-
-def fit_model(spec: ModelSpec, train: DataFrame, n_classes: int, scaler: str = "standard", **overrides):
-    """Fit one registry model; returns a predictor ``fn(df) -> df`` with a
-    double ``prediction`` column (and ``probability`` when available)."""
-    n = train.count()
-    if spec.name == "KNN":
-        from ..operators.knn import knn_classify
-
-        scaler = FeatureScaler(inputCols=FEATS, method="standard").fit(train)
-        tr = scaler.transform(train)
-        k = overrides.get("k", 5)
-
-        def predict(df):
-            q = scaler.transform(df)
-            votes = knn_classify(tr, q, FEATS, "label_idx", "ID", k=k)
-            return df.join(votes.select("ID", F.col("prediction").cast("double").alias("prediction")), "ID", "left")
-        return predict
-    if spec.name == "GaussianNB":
-        state = fit_gaussian_nb(train, FEATS, "label_idx", overrides.get("var_smoothing", 1e-9))
-        state = train.sparkSession.createDataFrame(state.collect(), state.schema)  # k rows
-        return lambda df: predict_gaussian_nb(df, state, FEATS).withColumn("prediction", F.col("prediction").cast("double"))
-    pipe = build_pipeline(spec, FEATS, n, n_classes, scaler)
-    model = pipe.fit(train)
-    return model.transform
+    return data, data.where(F.col("split") == "train"), data.where(F.col("split") == "test"), indexer
+
+
+def _train_test(spark, sf_dir):
+    data, train, test, _ = _prepared(spark, sf_dir)
+    return data.drop("label_idx"), train.drop("label_idx"), test.drop("label_idx")
 
 
 def compare_models(spark: SparkSession, sf_dir: str, names: Sequence[str] | None = None) -> DataFrame:
-    """Fit each model on the train split, score the test split;
-    one metrics row per model, best (highest F1, then name) first."""
-    data, train, test, indexer = _prepared(spark, sf_dir)
-    k = len(indexer.labels)
-    rows = []
-    try:
-        for name in names or [m for m in DEFAULT_MODELS if m != "SVM_RBF"]:
-            predict = fit_model(DEFAULT_MODELS[name], train, k)
-            m = evaluate(predict(test), "label_idx", "prediction", [float(i) for i in range(k)]).collect()[0]
-            rows.append((name, float(m["accuracy"]), float(m["precision"]), float(m["recall"]), float(m["f1"])))
-    finally:
-        data.unpersist()
+    """Fit each model on the train split, score the test split; one
+    metrics row per model, best (highest F1, then name) first."""
+    _, train, test = _train_test(spark, sf_dir)
+    results, _ = tr.train_and_evaluate(train, test, FEATS, "text_label", names, key="ID")
+    rows = [(n, m["accuracy"], m["precision"], m["recall"], m["f1"]) for n, m in results.items()]
     out = spark.createDataFrame(rows, "model string, accuracy double, precision double, recall double, f1 double")
     return out.orderBy(F.desc("f1"), F.asc("model"))
 
 
 def cross_validate(spark: SparkSession, sf_dir: str, name: str = "RandomForest", k: int | None = None) -> DataFrame:
-    """Stratified folds on the training split; a fresh pipeline
-    (scaler included) is fitted per fold. Rows: fold, f1 (weighted)."""
-    data, train, _test, indexer = _prepared(spark, sf_dir)
-    try:
-        k = k or n_splits_for(train, "text_label")
-        folded = assign_folds(train, "ID", k, seed=42, label="text_label").persist(StorageLevel.MEMORY_AND_DISK)
-        rows = []
-        for f in range(k):
-            predict = fit_model(DEFAULT_MODELS[name], folded.where(F.col("fold") != f), len(indexer.labels))
-            held = predict(folded.where(F.col("fold") == f))
-            m = evaluate(held, "label_idx", "prediction", [float(i) for i in range(len(indexer.labels))]).collect()[0]
-            rows.append((f, float(m["f1"])))
-        folded.unpersist()
-    finally:
-        data.unpersist()
-    # Mean and population std of the fold scores, beside every fold row
-    mean = sum(f1 for _, f1 in rows) / len(rows)
-    std = (sum((f1 - mean) ** 2 for _, f1 in rows) / len(rows)) ** 0.5
-    return spark.createDataFrame([(f, s, mean, std) for f, s in rows], "fold int, f1 double, mean_f1 double, std_f1 double")
+    """Weighted F1 per stratified fold of the training split,
+    with mean and population standard deviation beside every fold."""
+    _, train, _ = _train_test(spark, sf_dir)
+    cv = tr.cross_validate(train, FEATS, "text_label", "ID", name, k or n_splits_for(train, "text_label"))
+    return spark.createDataFrame([(f, s, cv["mean"], cv["std"]) for f, s in enumerate(cv["all"])],
+                                 "fold int, f1 double, mean_f1 double, std_f1 double")
 
 
 def tune(spark: SparkSession, sf_dir: str, name: str = "LogisticRegression", strategy: str = "grid",
          n_iter: int = 20, folds: int = 5, top: int = 10) -> DataFrame:
-    """Grid (or seeded random subset) search scored by weighted F1 with
-    stratified folds; returns the best ``top`` configurations with mean/std.
-    A model without a grid returns its single default configuration."""
-    import hashlib
-
-    spec = DEFAULT_MODELS[name]
-    data, train, _test, indexer = _prepared(spark, sf_dir)
-    try:
-        n = train.count()
-        k = len(indexer.labels)
-        folded = assign_folds(train, "ID", folds, seed=42, label="text_label").persist(StorageLevel.MEMORY_AND_DISK)
-        if name in ("GaussianNB", "KNN"):
-            rows = []
-            for pm in spec.grid(None, n):
-                scores = []
-                for f in range(folds):
-                    pred = fit_model(spec, folded.where(F.col("fold") != f), k, **pm)
-                    held = pred(folded.where(F.col("fold") == f))
-                    scores.append(float(evaluate(held, "label_idx", "prediction", [float(i) for i in range(k)])
-                                        .collect()[0]["f1"]))
-                mean = sum(scores) / len(scores)
-                std = (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5
-                rows.append((str(pm), mean, std))
-        else:
-            pipe = build_pipeline(spec, FEATS, n, k)
-            est = pipe.getStages()[-1]
-            grid = spec.grid(est, n)
-            if isinstance(est, type(DEFAULT_MODELS["MLP"].build(1))):
-                p = len(FEATS)
-                grid = [{est.layers: [p, *pm[est.layers], k]} for pm in grid]
-            if not grid:
-                grid = [{}]
-            if strategy == "random" and len(grid) > n_iter:
-                order = sorted(range(len(grid)), key=lambda i: hashlib.md5(f"42|{i}".encode()).hexdigest())
-                grid = [grid[i] for i in sorted(order[:n_iter])]
-            ev = MulticlassClassificationEvaluator(labelCol="label_idx", metricName="f1")
-            cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, foldCol="fold",
-                                numFolds=folds, parallelism=4, seed=42)
-            cvm = cv.fit(folded)
-            rows = [(", ".join(f"{p.name}={v}" for p, v in pm.items()) or "default", float(a), float(s))
-                    for pm, a, s in zip(grid, cvm.avgMetrics, cvm.stdMetrics)]
-        folded.unpersist()
-    finally:
-        data.unpersist()
-    out = spark.createDataFrame(rows, "params string, mean_f1 double, std_f1 double")
-    return out.orderBy(F.desc("mean_f1"), F.asc("params")).limit(top)
+    """The best ``top`` configurations with mean and std of weighted F1."""
+    _, train, _ = _train_test(spark, sf_dir)
+    rows = tr.search(train, FEATS, "text_label", "ID", name, strategy, folds, n_iter)
+    rows = [(", ".join(f"{p}={v}" for p, v in params.items()) or "default", mean, std) for params, mean, std in rows]
+    return spark.createDataFrame(rows, "params string, mean_f1 double, std_f1 double").orderBy(
+        F.desc("mean_f1"), F.asc("params")).limit(top)
+
+
+def saved_model(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Fit a model on the train split and save it; the artifact's folder."""
+    _, train, _ = _train_test(spark, sf_dir)
+    path = scratch_path(spark, f"model-{name}")
+    tr.fit(train, FEATS, "text_label", name).save(path)
+    return path
 
 
 def score_batch(spark: SparkSession, sf_dir: str, payloads: DataFrame, name: str = "RandomForest",
                 severity: str = "base") -> DataFrame:
-    """Train on the corpus train split, then score ``payloads``
-    (column ``payload``): label, confidence %, probability map, severity,
-    preview and the seven features."""
-    data, train, _test, indexer = _prepared(spark, sf_dir)
-    try:
-        predict = fit_model(DEFAULT_MODELS[name], train, len(indexer.labels))
-        feats = add_payload_features(payloads, "payload")
-        pred = decode_predictions(predict(feats), indexer, "label")
-        if "probability" in pred.columns and name != "GaussianNB":
-            pred = probability_columns(pred, indexer.labels)
-        out = enrich_severity(pred, "label", severity)
-        cols = [c for c in payloads.columns] + [preview("payload", 80).alias("preview"), "label",
-                                                  *[c for c in ("confidence", "probabilities") if c in out.columns],
-                                                  "severity", "severity_score", *FEATS]
-        return out.select(*cols)  # ``data`` stays cached: the caller's action still reads it
-    except Exception:
-        data.unpersist()
-        raise
+    """``payloads`` (column ``payload``) scored by a model that is
+    loaded from its saved artifact."""
+    return tr.score(payloads, tr.load_artifact(spark, saved_model(spark, sf_dir, name)), severity=severity)
+
+
+def prediction_audit(spark: SparkSession, sf_dir: str, name: str = "GaussianNB") -> DataFrame:
+    """Every payload of the corpus with label, prediction and error flag."""
+    corpus = labelled_corpus(spark, sf_dir).select("ID", "text_label", F.col("Payload").alias("payload"))
+    train = tr.for_fitting(add_payload_features(corpus, "payload").select("ID", "text_label", *FEATS))
+    scored = tr.score(corpus, tr.fit(train, FEATS, "text_label", name))
+    return tr.audit(scored, "text_label")
 
 
 def train_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The demo training job on the corpus - regularised random forest
-    (150 trees, depth 6, leaf 3), CV F1, hold-out metrics - as one row."""
-    from pyspark.ml.classification import RandomForestClassifier
-
-    data, train, test, indexer = _prepared(spark, sf_dir)
-    try:
-        k = len(indexer.labels)
-        spec = ModelSpec("RandomForestRegularised",
-                         lambda n: RandomForestClassifier(numTrees=150, maxDepth=6, minInstancesPerNode=3, seed=42))
-        folds = n_splits_for(train, "text_label")
-        folded = assign_folds(train, "ID", folds, seed=42, label="text_label").persist(StorageLevel.MEMORY_AND_DISK)
-        cv = []
-        for f in range(folds):
-            p = fit_model(spec, folded.where(F.col("fold") != f), k)
-            cv.append(float(evaluate(p(folded.where(F.col("fold") == f)), "label_idx", "prediction",
-                                     [float(i) for i in range(k)]).collect()[0]["f1"]))
-        folded.unpersist()
-        predict = fit_model(spec, train, k)
-        m = evaluate(predict(test), "label_idx", "prediction", [float(i) for i in range(k)]).collect()[0]
-        n_all = data.count()
-    finally:
-        data.unpersist()
-    mean = sum(cv) / len(cv)
-    std = (sum((x - mean) ** 2 for x in cv) / len(cv)) ** 0.5
-    return spark.createDataFrame(
-        [("RandomForestClassifier (regularized)", float(m["accuracy"]), float(m["f1"]), mean, std, n_all, folds)],
-        "best_model string, final_accuracy double, final_f1 double, cv_f1_mean double, cv_f1_std double, "
-        "trained_on bigint, cv_folds int")
+    """The demo training job - regularised forest, CV F1, hold-out
+    metrics and the tables behind its charts - as long rows (section, name,
+    other, value)."""
+    data, train, test = _train_test(spark, sf_dir)
+    folds = n_splits_for(train, "text_label")
+    cv = tr.cross_validate(train, FEATS, "text_label", "ID", REGULARISED, folds)
+    fitted = tr.fit(train, FEATS, "text_label", REGULARISED)
+    labels = fitted.labels
+    scored = tr.reliable_checkpoint(_with_probabilities(fitted.transform(test), labels))
+    names = F.array(*[F.lit(x) for x in labels])
+    scored = scored.withColumn("predicted", F.element_at(names, F.col("prediction").cast("int") + 1))
+    confusion = confusion_table(scored, "text_label", "predicted", labels)
+    report = classification_report(per_class_metrics(confusion))
+    m = tr.metrics(fitted, test, "text_label")
+    importances = fitted.model.stages[-1].featureImportances.toArray().tolist()
+    small = [("summary", k, "", float(v)) for k, v in {
+        "final_accuracy": m["accuracy"], "final_f1": m["f1"], "cv_f1_mean": cv["mean"], "cv_f1_std": cv["std"],
+        "trained_on": data.count(), "cv_folds": folds}.items()]
+    small += [("importance", f, "", float(v)) for f, v in zip(FEATS, importances)]
+    schema = "section string, name string, other string, value double"
+    out = spark.createDataFrame(small, schema)
+    scores = {c: f"p_{i}" for i, c in enumerate(labels)}
+
+    def add(section, df, name, other, value):
+        return out.unionByName(df.select(F.lit(section).alias("section"), F.col(name).cast("string").alias("name"),
+                                         F.col(other).cast("string").alias("other") if other else F.lit("").alias("other"),
+                                         F.col(value).cast("double").alias("value")))
+
+    out = add("class_distribution", data.groupBy("text_label").count(), "text_label", None, "count")
+    out = add("confusion", confusion, "actual", "predicted", "n")
+    out = add("report_f1", report, "row", None, "f1")
+    out = add("roc_auc", roc_auc(scored, "text_label", scores), "class", None, "auc")
+    out = add("pr_precision", pr_curve(scored, "text_label", scores), "class", "recall", "precision")
+    pca = pca_project(data, FEATS, 2, keep=("ID", "text_label"))
+    out = add("pca_1", pca, "ID", "text_label", "PC1")
+    return add("pca_2", pca, "ID", "text_label", "PC2")
+
+
+def _with_probabilities(df: DataFrame, labels: Sequence[str]) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+
+    p = vector_to_array("probability")
+    return df.select("ID", "text_label", "prediction", *[p[i].alias(f"p_{i}") for i in range(len(labels))])

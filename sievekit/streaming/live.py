@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..operators.enrich import enrich_severity
 from ..operators.features import add_payload_features
+from ..operators.models import probability_columns
 
 
 def payload_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -32,6 +33,8 @@ def live_scoring(stream: DataFrame, model: PipelineModel, label_names: list[str]
     pred = model.transform(feats)
     names = F.array(*[F.lit(x) for x in label_names])
     pred = pred.withColumn("label", F.element_at(names, F.col("prediction").cast("int") + 1))
+    if "probability" in pred.columns:
+        pred = probability_columns(pred, label_names)  # confidence in percent
     return enrich_severity(pred, "label", severity)
 
 
