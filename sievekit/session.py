@@ -32,6 +32,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(SPREAD, "true")
         .config("spark.driver.memory", os.environ.get("SIEVEKIT_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )
@@ -39,17 +40,22 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+#: set to true in local sessions only: spread a text table that was written as
+#: one row group over the cores (see ``spread_for_cpu``)
+SPREAD = "spark.sievekit.spreadTextScans"
+
 # tables whose rows carry long texts: per-row feature work is CPU-bound
 TEXT_TABLES = ("documents", "pages", "conversations", "benchmark")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool | None = None) -> DataFrame:
-    """Scan one table. Text tables are spread over the cluster's cores when
-    the scan yields fewer splits than that (see ``spread_for_cpu``)."""
+    """Scan one table as it lies. Only if the caller asks for it, or the
+    session says so (``SPREAD``, off by default), a text table with too few
+    splits is spread over the cores first."""
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    if spread if spread is not None else name in TEXT_TABLES:
-        df = spread_for_cpu(df)
-    return df
+    if spread is None:
+        spread = name in TEXT_TABLES and spark.conf.get(SPREAD, "false") == "true"
+    return spread_for_cpu(df) if spread else df
 
 
 def spread_for_cpu(df: DataFrame) -> DataFrame:
