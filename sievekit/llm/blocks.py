@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sievekit.llm.common import cut, ship, slices_by_bytes
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 BLOCK_BYTES = 12_000_000
 BLOCK_SCHEMA = "block long, n_bytes long, data binary"
 

@@ -44,6 +44,8 @@ from sievekit.llm.common import cut, fresh
 
 LENGTH = 400
 SHARD_BYTES = 16_777_216
+#: context shards per shard of keys: contexts are bytes, not hashes
+CONTEXT_SHARDS = 8
 #: occurrences of a gram from which its strings are grouped as hashes
 HOT = 20_000
 #: bytes that multikey quicksort looks at before blind tries take over
@@ -368,6 +370,7 @@ def repeated_spans(blocks: DataFrame, text: str, length: int = LENGTH, shard_byt
     """Per block the spans of repeated strings (kind ``_SPANS``) and what the
     strings of very frequent grams need (``_ANCHORS``, ``_STRINGS``)."""
     n_shards = shards_for(max(total_bytes(blocks), 1), shard_bytes)
+    n_contexts = n_shards * CONTEXT_SHARDS
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -405,7 +408,7 @@ def repeated_spans(blocks: DataFrame, text: str, length: int = LENGTH, shard_byt
                 place += len(s.bytes)
             order = sorted(entry)
             key = np.array([e[0] for e in order], np.uint64)
-            for k, cut_at in enumerate(by_shard(_shard(key, n_shards), n_shards)):
+            for k, cut_at in enumerate(by_shard(_shard(key, n_contexts), n_contexts)):
                 some = order[cut_at]
                 if some:
                     places = [entry[e] for e in some]
@@ -434,17 +437,22 @@ def repeated_spans(blocks: DataFrame, text: str, length: int = LENGTH, shard_byt
             return _notes_table([(b, kind, shard, pack(m)) for b, m in zip(ids, per)])
         keys = np.concatenate([b[0] for b in blobs])
         reach = np.concatenate([b[1] for b in blobs]).astype(np.int64)
-        whole = [c for b in blobs for c in _split_bytes(b[2], b[3])]
-        many = np.concatenate([b[4] for b in blobs]) > 1
-        low, high = repeated_offsets(keys, [c[:r] for c, r in zip(whole, reach)], [c[r:] for c, r in zip(whole, reach)], many, length)
+        many = np.concatenate([b[4] for b in blobs]) > 1  # b: keys, reach, sizes, bytes, number of places, places
+        left, right = [], []
+        for b in blobs:
+            for r, c in zip(b[1].tolist(), _split_bytes(b[2], b[3])):
+                left.append(c[:r])
+                right.append(c[r:])
+            del b[2:4]
+        low, high = repeated_offsets(keys, left, right, many, length)
         rows, at = [], 0
         for block, b in zip(ids, blobs):
             n = len(b[0])
-            o0, o1 = (np.repeat(x[at : at + n], b[4]) for x in (low, high))
+            o0, o1 = (np.repeat(x[at : at + n], b[2]) for x in (low, high))
             at += n
             ok = o1 >= o0
             if ok.any():
-                places = b[5].astype(np.int64)[ok]
+                places = b[3].astype(np.int64)[ok]
                 rows.append((block, _SPANS, shard, pack(places - o1[ok], places - o0[ok] + length)))
         return _notes_table(rows)
 
