@@ -65,13 +65,19 @@ def equal_width_histogram(df: DataFrame, value: str, bins: int, groups: Sequence
     last bin is closed (the maximum falls into it). Empty bins are present
     with n = 0. Returns (groups, bin, lo, hi, n)."""
     groups, single = list(groups), not groups
-    if single:  # a constant key keeps the range lookup an equi-join
+    if single:  # the one range is applied as literals: no join of the raw rows
         df, groups = df.withColumn("__g", F.lit(0)), ["__g"]
     v = F.col(value).cast("double")
     base = df.select(*groups, v.alias("__v")).where(F.col("__v").isNotNull())
     rng = base.groupBy(*groups).agg(F.min("__v").alias("__mn"), F.max("__v").alias("__mx"))
     width = (F.col("__mx") - F.col("__mn")) / bins
-    joined = base.join(rng, groups)
+    if single:
+        one = rng.first()
+        rng = df.sparkSession.createDataFrame([tuple(one)] if one else [], rng.schema)
+        low, high = (one["__mn"], one["__mx"]) if one else (None, None)
+        joined = base.withColumns({"__mn": F.lit(low).cast("double"), "__mx": F.lit(high).cast("double")})
+    else:
+        joined = base.join(rng, groups)
     b = F.when(F.col("__mx") == F.col("__mn"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("__v") - F.col("__mn")) / (F.col("__mx") - F.col("__mn")) * bins), F.lit(bins - 1)))
     counts = joined.groupBy(*groups, b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -97,7 +103,12 @@ def box_stats(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFram
     v = F.col(value).cast("double")
     inside = (v >= F.col("lo_fence")) & (v <= F.col("hi_fence"))
     j = df.select(*groups, v.alias(value)).where(F.col(value).isNotNull())
-    j = j.join(wide, groups)
+    if single:
+        one = wide.first()
+        wide = df.sparkSession.createDataFrame([tuple(one)] if one else [], wide.schema)
+        j = j.withColumns({c: F.lit(one[c] if one else None).cast("double") for c in ("lo_fence", "hi_fence")})
+    else:
+        j = j.join(wide, groups)
     stats = j.groupBy(*groups).agg(
         F.min(F.when(inside, F.col(value))).alias("whisker_lo"),
         F.max(F.when(inside, F.col(value))).alias("whisker_hi"),

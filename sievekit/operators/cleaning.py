@@ -20,6 +20,7 @@ from ..session import reliable_checkpoint
 from .quantiles import exact_quantiles, unpivot_numeric
 
 NUMERIC_TYPES = (T.DoubleType, T.FloatType, T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.DecimalType)
+# fixed values: columns that the cleaning rules never drop
 PROTECTED_BASE = ("Label", "text_label", "label")
 PROTECTED_DEMO = ("label",)
 

@@ -109,8 +109,3 @@ def one_hot(df: DataFrame, categories: dict[str, list[str]], drop_original: bool
             new[f"{c}_{v}"] = F.when(key == F.lit(v), 1.0).otherwise(0.0)
     out = df.withColumns(new)
     return out.drop(*categories.keys()) if drop_original else out
-
-
-def binarize_labels(df: DataFrame, label: str, classes: Sequence[str], prefix: str = "is_") -> DataFrame:
-    """One 0/1 column per class."""
-    return df.withColumns({f"{prefix}{c}": (F.col(label) == F.lit(c)).cast("int") for c in classes})

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.classes import BASE_CLASS_MAP, DEMO_CLASS_MAP
 from ..functions.text import map_lookup
-from ..plans.corpus import BASE_CLASS_MAP, DEMO_CLASS_MAP
 
 # ---------------------------------------------------------------------------
 # Severity per class name as (severity, colour, score).

@@ -18,7 +18,6 @@ The only driver traffic is the per-target state (groups x ranks rows).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -40,7 +39,7 @@ def _targets(totals: DataFrame, groups: list[str], probs: Sequence[float]) -> Da
 
 
 def values_at_ranks(weighted: DataFrame, groups: list[str], value: str, ranks: DataFrame,
-                    fanout: int = 256, max_local: int = 1_000_000, max_rounds: int = 12) -> DataFrame:
+                    fanout: int = 256, max_local: int = 1_000_000) -> DataFrame:
     """Value at each 0-based rank of the weighted sorted multiset.
 
     weighted: (groups, value, w) with one row per distinct value.
@@ -52,13 +51,17 @@ def values_at_ranks(weighted: DataFrame, groups: list[str], value: str, ranks: D
                          F.lit(None).cast(weighted.schema[value].dataType).alias(_HI), F.lit(0).cast("long").alias(_OFF))
     fracs = [i / fanout for i in range(1, fanout)]
     accuracy = max(10_000, fanout * 100)
-    for _ in range(max_rounds):
+    before = None
+    while True:
         st_rows = state.collect()  # bounded: one row per (group, target rank)
         state = spark.createDataFrame(st_rows, state.schema) if st_rows else state
         cand = _candidates(weighted, groups, value, state)
         sizes = cand.groupBy(*groups, _K).agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).collect()[0][0]
         if sizes is None or sizes <= max_local:
             break
+        if sizes == before:  # the sketch cut nothing off: let it tell more values apart
+            accuracy *= 10
+        before = sizes
         bounds = cand.groupBy(*groups, _K).agg(
             F.percentile_approx(value, F.array(*[F.lit(f) for f in fracs]), accuracy).alias("__b"))
         bucketed = cand.join(bounds, [*groups, _K]).withColumn(
@@ -136,7 +139,3 @@ def quantile_map(df: DataFrame, columns: Sequence[str], probs: Sequence[float])
     for r in rows:
         out[r["column"]][round(r["p"], 12)] = r["q"]
     return out
-
-
-def is_nan_safe(x: float | None) -> bool:
-    return x is None or (isinstance(x, float) and math.isnan(x))

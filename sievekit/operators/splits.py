@@ -162,8 +162,3 @@ def time_folds(df: DataFrame, ts: str, key: str, k: int, fold_col: str = "fold")
     ranked = running_sum(df.withColumn("__one", F.lit(1)), [], [F.col(ts), F.col(key)], ["__one"])
     fold = F.floor((F.col("cum___one") - 1) * F.lit(k) / F.lit(max(n, 1))).cast("int")
     return ranked.withColumn(fold_col, fold).drop("__one", "cum___one")
-
-
-def expanding_split(folded: DataFrame, step: int, fold_col: str = "fold") -> tuple[DataFrame, DataFrame]:
-    """Train on folds < step, test on fold == step (step = 1..k-1)."""
-    return folded.where(F.col(fold_col) < step), folded.where(F.col(fold_col) == step)

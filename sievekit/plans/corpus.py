@@ -13,18 +13,6 @@ from pyspark.sql import functions as F
 
 from ..session import read_table
 
-# ---------------------------------------------------------------------------
-# Class codes and names of the labelled table
-# (code map of the batch/CLI path: 1 XSS, 2 SQLi, 3 Normal; the demo path
-# uses 0 Normal, 1 XSS, 2 SQLi).
-# ---------------------------------------------------------------------------
-BASE_CLASS_MAP = {1: "XSS", 2: "SQLi", 3: "Normal"}
-BASE_CLASS_ORDER = ("XSS", "SQLi", "Normal")
-DEMO_CLASS_ORDER = ("Normal", "XSS", "SQLi")
-DEMO_CLASS_MAP = {0: "Normal", 1: "XSS", 2: "SQLi"}
-# ---------------------------------------------------------------------------
-
-
 def labelled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``ID STRING, Payload STRING, Label BIGINT, text_label STRING`` from
     pages (1 XSS), conversations (2 SQLi) and documents (3 Normal)."""

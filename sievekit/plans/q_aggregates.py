@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.classes import DEMO_CLASS_ORDER
 from ..functions.dialect import FEATURE_COLUMNS
 from ..functions.text import epoch_micros
 from ..operators.aggregates import (
@@ -15,7 +16,7 @@ from ..operators.features import add_payload_features
 from ..operators.ordering import exact_sample, top_k, top_k_per_group
 from ..session import read_table
 from .catalog import query
-from .corpus import CORPUS_SQL, DEMO_CLASS_ORDER, labelled_corpus, scored_corpus, scored_corpus_sql
+from .corpus import CORPUS_SQL, labelled_corpus, scored_corpus, scored_corpus_sql
 from .sqltext import sql_features
 
 S = scored_corpus_sql()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.classes import BASE_CLASS_ORDER
 from ..operators.enrich import class_name
 from ..operators.evaluate import (
     classification_report, confusion_table, evaluate, overall_metrics, per_class_metrics, pr_curve, roc_auc, roc_curve,
@@ -12,7 +13,7 @@ from ..operators.features import add_payload_features
 from ..operators.ordering import long_to_wide, wide_to_long
 from ..session import read_table
 from .catalog import query
-from .corpus import BASE_CLASS_ORDER, scored_corpus, scored_corpus_sql
+from .corpus import scored_corpus, scored_corpus_sql
 
 S = scored_corpus_sql()
 PRED = "CASE prediction WHEN 1 THEN 'XSS' WHEN 2 THEN 'SQLi' WHEN 3 THEN 'Normal' ELSE CAST(prediction AS VARCHAR) END"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dialect import FEATURE_COLUMNS
 from ..operators import training as tr
+from ..operators.aggregates import score_summary
 from ..operators.evaluate import classification_report, confusion_table, per_class_metrics, pr_curve, roc_auc
 from ..operators.features import add_payload_features
 from ..operators.models import DEFAULT_MODELS, ModelSpec, index_labels
@@ -65,8 +66,9 @@ def cross_validate(spark: SparkSession, sf_dir: str, name: str = "RandomForest",
     with mean and population standard deviation beside every fold."""
     _, train, _ = _train_test(spark, sf_dir)
     cv = tr.cross_validate(train, FEATS, "text_label", "ID", name, k or n_splits_for(train, "text_label"))
-    return spark.createDataFrame([(f, s, cv["mean"], cv["std"]) for f, s in enumerate(cv["all"])],
-                                 "fold int, f1 double, mean_f1 double, std_f1 double")
+    folds = spark.createDataFrame(list(enumerate(cv["all"])), "fold int, f1 double")
+    s = score_summary(folds, "f1").first()
+    return folds.withColumns({"mean_f1": F.lit(s["mean"]), "std_f1": F.lit(s["std"])})
 
 
 def tune(spark: SparkSession, sf_dir: str, name: str = "LogisticRegression", strategy: str = "grid",

@@ -55,10 +55,11 @@ def read_labelled_csv(spark: SparkSession, path: str, schema: T.StructType = LAB
 
 
 def read_or_materialize(spark: SparkSession, path: str, source) -> DataFrame:
-    """Reuse the Parquet copy at ``path`` if present; otherwise build
-    ``source()`` (a DataFrame or a zero-argument callable), write it there
-    and read it back (so later scans are splittable and pruned)."""
-    if not _fs_exists(spark, path):
+    """Reuse the Parquet copy at ``path`` if it is complete (a write that
+    broke off leaves no ``_SUCCESS``); otherwise build ``source()`` (a DataFrame
+    or a zero-argument callable), write it there and read it back (so later
+    scans are splittable and pruned)."""
+    if not _fs_exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
         df = source() if callable(source) else source
         df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
