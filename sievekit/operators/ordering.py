@@ -47,13 +47,14 @@ def top_k_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column
 
 
 def exact_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """H5: exactly min(n, rows) rows, chosen by seeded hash order. Only the
-    hash bucket in which the n-th row lies is ranked, so no task gathers the
-    sample, whatever its size."""
+    """H5: exactly min(n, rows) rows, chosen by and returned in seeded hash
+    order. Only the hash bucket in which the n-th row lies is ranked, and the
+    order comes from a range-partitioned sort, so no task gathers the sample."""
     from .splits import mark_first_by_hash
 
     quota = df.sparkSession.createDataFrame([(n,)], "quota bigint")
-    return mark_first_by_hash(df, key, quota, [], "__in", seed).where("__in").drop("__in")
+    chosen = mark_first_by_hash(df, key, quota, [], "__in", seed).where("__in").drop("__in")
+    return chosen.orderBy(hash_key(key, seed), F.col(key))
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
