@@ -2,6 +2,7 @@ import os
 import random
 import zlib
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -19,14 +20,19 @@ HARD = [
 ]
 
 
+@lru_cache
+def library(name):
+    return tokenizers.Tokenizer.from_file(tokenizer_file(name))
+
+
 @pytest.fixture(scope="module")
 def word():
-    return tokenizers.Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+    return library("word_bpe_49k.json")
 
 
 @pytest.fixture(scope="module")
 def byte():
-    return tokenizers.Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    return library("byte_bpe_50k.json")
 
 
 def decoded(text):
@@ -38,9 +44,7 @@ def decoded(text):
 @settings(max_examples=150, deadline=None)
 @given(st.one_of(st.text(max_size=60), st.text(alphabet="abceintoh 's.\n<|>", max_size=80), st.sampled_from(HARD)))
 def test_encoders_equal_the_library(text):
-    w = tokenizers.Tokenizer.from_file(tokenizer_file("word_bpe_49k.json")) if not hasattr(test_encoders_equal_the_library, "w") else test_encoders_equal_the_library.w
-    b = tokenizers.Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json")) if not hasattr(test_encoders_equal_the_library, "b") else test_encoders_equal_the_library.b
-    test_encoders_equal_the_library.w, test_encoders_equal_the_library.b = w, b
+    w, b = library("word_bpe_49k.json"), library("byte_bpe_50k.json")
     ids = w.encode(text, add_special_tokens=False).ids
     assert array("I", ids).tobytes() == bpe_stream.codec().encode(text)
     assert w.decode(ids, skip_special_tokens=False) == decoded(text)

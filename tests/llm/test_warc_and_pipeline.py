@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import tempfile
 
 import pytest
 
@@ -81,11 +82,6 @@ def test_stages_keep_columns_and_take_effect(spark, make, odd):
     rows += [(400, rows[0][1], "en"), (401, "12 34 " * 60, "en")]
     docs = make(rows).unionByName(odd)
 
-    class Labels:
-        pass
-
-    import tempfile
-
     folder = tempfile.mkdtemp(prefix="pipeline-test-")
     docs.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(100, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
