@@ -145,12 +145,21 @@ class Codec:
             yield self.inner[b]
         yield self.last[word[-1]]
 
+    def _split(self, text: str) -> list[str]:
+        """The words of a chunk. Code points without a category in Python's
+        Unicode tables are neither letters nor digits, whatever newer tables
+        say."""
+        if text.isascii():
+            return self._words.findall(text)
+        known = "".join([c if unicodedata.category(c) != "Cn" else "\ufffe" for c in text])
+        return [text[m.start() : m.end()] for m in self._words.finditer(known)]
+
     def chunk(self, text: str) -> tuple[bytes, bytes]:
         """Ids and joined token strings of a text without white space."""
         known = self._old.get(text)
         if known is None:
             ids: list[int] = []
-            words = (text,) if text.isalpha() and len(text) < 64 else self._words.findall(text)
+            words = (text,) if text.isalpha() and len(text) < 64 else self._split(text)
             for word in words:
                 raw = word.encode()
                 if len(raw) < self.merges.buffer:  # the stream would hold it whole

@@ -16,7 +16,7 @@ os.environ["TOKENIZERS_PARALLELISM"] = "false"
 tokenizers = pytest.importorskip("tokenizers")
 HARD = [
     "", " ", "ΑΣ Σ ΣΑΣ", "İstanbul", "a<|endoftext|>b <|startoftext|>", "<|endoftext|", "é café", "a\x1cb c", "日本語 テスト",
-    "x" * 500, "ab" * 400, "'s's'll don't", "①²½", "ạ́", " a b　", "🙂👍🏽", "\x85x", "a  b", "\na", "a\r\nb", " \n", "don't 'S 's", "１２ ３",
+    ":\U0003d000", "x" * 500, "ab" * 400, "'s's'll don't", "①²½", "ạ́", " a b　", "🙂👍🏽", "\x85x", "a  b", "\na", "a\r\nb", " \n", "don't 'S 's", "１２ ３",
 ]
 
 
@@ -42,7 +42,7 @@ def decoded(text):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.one_of(st.text(max_size=60), st.text(alphabet="abceintoh 's.\n<|>", max_size=80), st.sampled_from(HARD)))
+@given(st.one_of(st.text(st.characters(exclude_categories=["Cn", "Cs"]), max_size=60), st.text(alphabet="abceintoh 's.\n<|>", max_size=80), st.sampled_from(HARD)))
 def test_encoders_equal_the_library(text):
     w, b = library("word_bpe_49k.json"), library("byte_bpe_50k.json")
     ids = w.encode(text, add_special_tokens=False).ids
