@@ -37,7 +37,7 @@ MAX_LEN = 2048
 END_ID = 1
 TOKENIZER = "byte_bpe_50k.json"
 #: bound of the word cache of one Python worker (entries)
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 _EXPONENT_SHIFT = 59
 
 #: where a byte-level vocabulary can be cut: a run without white space and the
