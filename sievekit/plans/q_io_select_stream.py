@@ -12,7 +12,7 @@ from ..operators.select import (
 )
 from ..session import read_table
 from ..sources.io import read_labelled_csv, scratch_path, write_csv
-from ..streaming.live import latest_per_key, run_available_now, run_update_to_table, windowed_label_counts
+from ..streaming.live import latest_per_key, run_available_now, run_update_to_table, table_stream, windowed_label_counts
 from .catalog import ORACLE, query
 from .corpus import scored_corpus, scored_corpus_sql
 
@@ -96,11 +96,9 @@ def q_stream_label_counts(spark, sf_dir):
     """L2: the same counts from a watermarked Structured Streaming job over
     the scan-log files (update mode, foreachBatch sink, availableNow)."""
     e = read_table(spark, sf_dir, "events")
-    # a file source watches a directory: the table's folder, filtered to its file
     # watermarks need TIMESTAMP: read the wall-clock NTZ value as a UTC instant
     # (independent of the session time zone)
-    stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir) \
-        .withColumn("ts", F.timestamp_micros(epoch_micros("ts")))
+    stream = table_stream(spark, sf_dir, "events", e.schema).withColumn("ts", F.timestamp_micros(epoch_micros("ts")))
     counts = windowed_label_counts(stream, "ts", "event_type").select(
         F.col("w.start").alias("window_start"), "event_type", "n")
     sink, ck = scratch_path(spark, "l2-sink"), scratch_path(spark, "l2-ckpt")
@@ -118,8 +116,7 @@ def q_stream_scoring(spark, sf_dir):
     from .training import saved_model
 
     model = load_artifact(spark, saved_model(spark, sf_dir, "RandomForest"))
-    stream = spark.readStream.schema(read_table(spark, sf_dir, "benchmark").schema) \
-        .option("pathGlobFilter", "benchmark.parquet").parquet(sf_dir) \
+    stream = table_stream(spark, sf_dir, "benchmark", read_table(spark, sf_dir, "benchmark").schema) \
         .select("item_id", F.col("text").alias("payload"))
     scored = live_scoring(stream, model.model, model.labels).select(
         "item_id", "payload", "label", "confidence", "severity", "severity_score", *FEATS)

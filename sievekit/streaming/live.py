@@ -9,6 +9,8 @@ checkpoint locations (which must live on shared storage).
 
 from __future__ import annotations
 
+import os
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,18 @@ def payload_stream(spark: SparkSession, path: str, schema: T.StructType) -> Data
     return spark.readStream.schema(schema).parquet(path)
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType) -> DataFrame:
+    """A table as a stream, whether it is stored as a folder of part files or
+    as one file. A file source watches a directory or a pattern: the table's
+    own folder, or a pattern that only the single file matches (the folder
+    around it may hold partitioned tables, which can't be listed together)."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        return payload_stream(spark, path, schema)
+    return payload_stream(spark, os.path.join(sf_dir, f"{{{name}}}.parquet"), schema)
+
+
 def live_scoring(stream: DataFrame, model: PipelineModel, label_names: list[str], payload_col: str = "payload",
                  severity: str = "base") -> DataFrame:
     """L1 transform: strip/drop blank -> features -> prediction -> severity."""
