@@ -9,13 +9,15 @@ and thousands of segments advance together in one matrix product.
 
 Gates use the piecewise linear sigmoid and tanh. Training is plain numpy:
 backpropagation through time with Adam on a bounded sample of labelled
-documents (``SAMPLE_DOCS`` per language, one segment each, chosen by hash).
-The weights (about 20 kB) travel in the task closure.
+documents (``SAMPLE_DOCS`` per language; ``SAMPLE_ALL`` in all, shared evenly
+among many languages; one segment each, chosen by hash). The states grow with
+the square root of the number of languages. The weights (about 20 kB for a few
+languages) travel in the task closure.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0.
 Rows of one text get one answer, whatever their other columns. Null labels
-aren't learned from; without any label everything is ``und``. Languages
-beyond the ``MAX_LANGS`` most frequent aren't learned (ties by name). Columns
+aren't learned from; without any label everything is ``und``. Every labelled
+language is learned; a label set of more than ``MAX_LANGS`` raises. Columns
 other than the text and, in training, the label are never read; all stay, and
 an own column whose name is taken gets a numbered one. An empty table gives
 no rows.
@@ -34,8 +36,10 @@ from sievekit.llm.common import fresh, ship
 
 SEGMENT, CONTEXT = 224, 16
 HIDDEN = 8
-#: bounds of the labelled sample
-SAMPLE_DOCS, MAX_LANGS = 800, 64
+#: bounds of the labelled sample: documents per language and in all, and the least share of a language
+SAMPLE_DOCS, SAMPLE_ALL, LEAST_DOCS = 800, 51_200, 50
+#: a larger label set is refused
+MAX_LANGS = 1024
 EPOCHS, BATCH, RATE = 10, 64, 0.02
 LANES = 2048
 UNKNOWN = "und"
@@ -187,8 +191,9 @@ class Network:
         start = begin[doc] + nth * SEGMENT
         size = np.minimum(sizes[doc] - nth * SEGMENT, SEGMENT)
         order = np.argsort(size, kind="stable")  # short segments together, so little is padded
-        for at in range(0, len(order), LANES):
-            pick = order[at : at + LANES]
+        lanes = LANES * 64 // max(64, len(self.langs))  # many languages: fewer segments together
+        for at in range(0, len(order), lanes):
+            pick = order[at : at + lanes]
             longest = int(size[pick].max())
             span = np.arange(-CONTEXT, longest + CONTEXT)
             data = flat[start[pick][None, :] + span[:, None]]
@@ -204,14 +209,23 @@ def segment_at(size: int, pick: int) -> int:
     return 0 if size <= SEGMENT else pick % (size - SEGMENT + 1)
 
 
+def hidden_for(langs: int) -> int:
+    """States per direction that tell so many languages apart."""
+    return max(HIDDEN, int(np.ceil(2 * np.sqrt(langs))))
+
+
 def fit(docs: DataFrame, usable: Column | None = None, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Network | None:
-    """Train on at most ``sample_docs`` documents per language: of the
-    labelled rows where ``usable`` holds, those with the smallest hash."""
+    """Train on at most ``sample_docs`` documents per language, fewer if all
+    languages together would exceed ``SAMPLE_ALL``: of the labelled rows where
+    ``usable`` holds, those with the smallest hash."""
     rows = docs.where(usable) if usable is not None else docs
     rows = rows.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").rlike(r"\p{L}"))
-    counts = rows.groupBy(F.col(f"`{lang}`").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = rows.groupBy(F.col(f"`{lang}`").alias("lang")).count().limit(MAX_LANGS + 1).collect()
     if not counts:
         return None
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"column {lang} has more than {MAX_LANGS} labels, too many for the language network")
+    sample_docs = min(sample_docs, max(LEAST_DOCS, SAMPLE_ALL // len(counts)))
     langs = sorted(r["lang"] for r in counts)
     most = {r["lang"]: r["count"] for r in counts}
     rank = F.pmod(F.xxhash64(F.lit("langid"), f"`{key}`"), F.lit(1 << 40))
@@ -230,7 +244,7 @@ def fit(docs: DataFrame, usable: Column | None = None, text: str = "text", lang:
         .toPandas()
     )
     chosen = chosen.sort_values(["lang", "rank", "raw"], kind="stable").groupby("lang").head(sample_docs)
-    net = Network(langs)
+    net = Network(langs, hidden_for(len(langs)))
     data = np.zeros((SEGMENT + 2 * CONTEXT, len(chosen)), np.uint8)
     for k, raw in enumerate(chosen["raw"]):
         data[CONTEXT : CONTEXT + len(raw), k] = np.frombuffer(bytes(raw), np.uint8)
@@ -248,13 +262,14 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text") -> DataFra
 
     @F.pandas_udf("struct<lang:string,score:double>")
     def label(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        most = 4_000_000 // len(net.langs) if net else 4_000_000  # texts whose probabilities are kept together
         for texts in parts:
             langs, scores = [], []
             raws = [(t or "").encode() for t in texts]
             at = 0
             while at < len(raws):  # bounded memory: a few megabytes of text at a time
                 stop, size = at, 0
-                while stop < len(raws) and (stop == at or size + len(raws[stop]) <= 2_000_000):
+                while stop < len(raws) and (stop == at or size + len(raws[stop]) <= 2_000_000 and stop - at < most):
                     size += len(raws[stop])
                     stop += 1
                 p = net.documents(raws[at:stop]) if net else np.zeros((stop - at, 1))

@@ -109,6 +109,33 @@ def test_held_out_accuracy_and_und(languages, odd, empty):
     assert gru_langid.predict(empty.withColumnRenamed("lang", "score"), net).columns[-2:] == ["lang_pred", "score_1"]
 
 
+def test_every_language_is_learned(make):
+    """Also those after the 64 most frequent."""
+    rng = random.Random(6)
+    own = {f"l{i:02d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 6))) for _ in range(6)] for i in range(72)}
+    docs = make([(100 * k + i, " ".join(rng.choices(own[lang], k=40)), lang) for k, lang in enumerate(own) for i in range(24)])
+    net = gru_langid.fit(docs, ~gru_langid.held_out())
+    assert net.langs == sorted(own)
+    held = gru_langid.predict(docs, net).where(gru_langid.held_out()).groupBy("lang").agg(F.avg(F.expr("int(lang_pred = lang)")), F.avg("score")).collect()
+    assert len(held) == 72 and all(right >= 0.7 for _, right, _ in held)
+    assert np.mean([right for _, right, _ in held]) >= 0.97 and np.mean([score for *_, score in held]) >= 0.5
+
+
+def test_too_many_labels_raise(languages, monkeypatch):
+    monkeypatch.setattr(gru_langid, "MAX_LANGS", 1)
+    with pytest.raises(ValueError, match="more than 1 labels"):
+        gru_langid.fit(languages)
+
+
+def test_the_sample_of_many_languages_is_shared(languages, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(gru_langid.Network, "fit", lambda self, data, target, mask: sizes.append(np.bincount(target).tolist()))
+    for total in (160, 60):
+        monkeypatch.setattr(gru_langid, "SAMPLE_ALL", total)
+        gru_langid.fit(languages)
+    assert sizes == [[80, 80], [50, 50]]
+
+
 def test_ordinal_grades(make, spark, odd, empty):
     rng = random.Random(7)
     vocabulary = [f"word{k}" for k in range(300)]
