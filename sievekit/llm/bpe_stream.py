@@ -34,7 +34,7 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import regex
@@ -218,8 +218,8 @@ class Decoder:
         self._begun = True
         return self._utf8.decode(joined)
 
-    def feed(self, ids: list[int]) -> str:
-        return self.feed_bytes(b" ".join(self._token[i] for i in ids))
+    def feed(self, ids: Iterable[int]) -> str:
+        return self.feed_bytes(b" ".join(map(self._token.__getitem__, ids)))
 
     def close(self) -> str:
         return self._utf8.decode(b"", True)
@@ -287,23 +287,27 @@ def decode(encoded: DataFrame, ids: str = "ids", tokenizer: str = TOKENIZER, out
     return encoded.withColumn(fresh(encoded.columns, out), run(F.col(f"`{ids}`")))
 
 
+def digests(c: Codec, text: str) -> tuple[int, str, str]:
+    """Number of tokens, digest of the ids and digest of the text decoded
+    from these ids."""
+    ids_hash, text_hash, n = hashlib.sha256(), hashlib.sha256(), 0
+    machine = c.decoder()
+    for part in c.chunks(text):
+        for k in range(0, len(part), 4096):
+            ids = b"".join([x[0] for x in part[k : k + 4096]])
+            n += len(ids) // 4
+            ids_hash.update(ids)
+            text_hash.update(machine.feed(array("I", ids)).encode())
+    text_hash.update(machine.close().encode())
+    return n, ids_hash.hexdigest(), text_hash.hexdigest()
+
+
 def round_trip(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """Encode and decode in one pass and return digests in place of the
     text: ``n_tokens``, ``ids_sha256``, ``decoded_sha256``."""
 
     def row(value: str) -> tuple:
-        c = codec(tokenizer)
-        ids_hash, text_hash, n = hashlib.sha256(), hashlib.sha256(), 0
-        machine = c.decoder()
-        for part in c.chunks(value):
-            for k in range(0, len(part), 4096):
-                some = part[k : k + 4096]
-                ids = b"".join([x[0] for x in some])
-                n += len(ids) // 4
-                ids_hash.update(ids)
-                text_hash.update(machine.feed_bytes(b" ".join([x[1] for x in some if x[1]])).encode())
-        text_hash.update(machine.close().encode())
-        return n, ids_hash.hexdigest(), text_hash.hexdigest()
+        return digests(codec(tokenizer), value)
 
     own = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     return _map_text(docs, text, own, row, False)

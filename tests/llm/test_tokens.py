@@ -1,3 +1,4 @@
+import hashlib
 import os
 import random
 import zlib
@@ -87,6 +88,26 @@ def test_decoder_holds_back_unfinished_characters():
     assert machine.feed_bytes("é".encode()[:1]) == "" and machine.close() == "�"
 
 
+def test_round_trip_decodes_its_ids():
+    """The text's digest follows the ids, not the strings cached beside them."""
+    c = bpe_stream.Codec()
+    other, own = c.chunk("dog"), c.chunk("cat")
+    c._young["cat"] = (other[0], own[1])
+    n, ids, text = bpe_stream.digests(c, "a cat")
+    want = c.encode("a dog")
+    assert n == len(want) // 4 and ids == hashlib.sha256(want).hexdigest()
+    machine = c.decoder()
+    assert text == hashlib.sha256((machine.feed(array("I", want).tolist()) + machine.close()).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("text", [*HARD, "word é " * 5000])
+def test_round_trip_digests(text, word):
+    ids = word.encode(text, add_special_tokens=False).ids
+    n, by_ids, by_text = bpe_stream.digests(bpe_stream.codec(), text)
+    assert n == len(ids) and by_ids == hashlib.sha256(array("I", ids).tobytes()).hexdigest()
+    assert by_text == hashlib.sha256(word.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
 def test_encode_decode_frames(odd, empty, word):
     out = bpe_stream.encode(odd.withColumnRenamed("lang", "ids"))
     assert out.columns == ["doc_id", "text", "ids", "source", "n_chars", "n_tokens", "ids_1"]
