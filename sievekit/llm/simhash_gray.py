@@ -16,7 +16,11 @@ enumerated. Tasks return one link per fingerprint to its local group.
 
 A block value that holds more than ``HOT_ROWS`` distinct fingerprints is
 split by the blocks of the remaining bits in the same way (pairs within the
-distance also agree on one of those), so a common value isn't one task's load.
+distance also agree on one of those). Where such a part still holds more, as in
+a large family around one centre, its fingerprints are dealt into runs by hash
+and every two runs meet under a key of their own, about ``HOT_ROWS``
+fingerprints together; the number of tasks grows with these rows. So a common
+value isn't one task's load.
 
 Edge cases: null, empty and word-less texts have fingerprint zero and are
 linked like any other. Equal rows get equal results. A null ``doc_id`` is
@@ -206,6 +210,22 @@ def _value(fp: Column, bits: list[int]) -> Column:
     return out
 
 
+def run_pairs(keyed: DataFrame, hot_rows: int) -> tuple[DataFrame, int]:
+    """Cut the groups of ``keyed`` (``fp``, ``key``) that hold more than
+    ``hot_rows`` rows: they are dealt into runs of half that size, and each
+    row goes to the pairs of its run with every other one, so any two rows
+    still meet. Returns the new keys and how many rows the pairs have."""
+    large = cut(keyed.groupBy("key").count().where(F.col("count") > hot_rows).select("key", F.ceil(2 * F.col("count") / hot_rows).alias("runs"), "count"))
+    rows = large.agg(F.sum(F.col("count") * (F.col("runs") - 1))).first()[0]
+    if rows is None:
+        return keyed, 0
+    run = F.pmod(F.xxhash64(F.lit("run"), "fp"), F.col("runs"))  # at least three runs, so each run meets another
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1), lambda k: k != F.col("run"))
+    pair = F.transform(others, lambda k: F.xxhash64("key", F.least(k, F.col("run")), F.greatest(k, F.col("run"))))
+    dealt = keyed.join(F.broadcast(large), "key", "left").withColumn("run", run)
+    return dealt.select("fp", F.explode(F.when(F.col("runs").isNull(), F.array("key")).otherwise(pair)).alias("key")), rows
+
+
 def links(fps: DataFrame, distance: int = DISTANCE, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Links ``a``-``b`` that connect all of the distinct fingerprints in
     column ``fp`` that lie within ``distance`` bits of each other."""
@@ -217,20 +237,22 @@ def links(fps: DataFrame, distance: int = DISTANCE, hot_rows: int = HOT_ROWS) ->
     # at most (distance + 1) * 2**13 block values exist, whatever the input
     hot = [(r["i"], r["v"]) for r in dealt.groupBy("i", "v").count().where(F.col("count") > hot_rows).select("i", "v").collect()]
     key = F.xxhash64("i", "v")
-    keyed = dealt
+    keyed, paired = dealt, 0
     if hot:
         is_hot = F.concat_ws(":", "i", "v").isin([f"{i}:{v}" for i, v in hot])
-        parts = [keyed.where(~is_hot).select("fp", key.alias("key"))]
+        parts = []
         for i in sorted({i for i, _ in hot}):
             rest = [b for b in range(64) if b not in blocks[i]]
             sub = F.array(*[F.xxhash64(F.lit(i), F.col("v"), F.lit(j), _value(fp, bits)) for j, bits in enumerate(_blocks(rest, distance + 1))])
             parts.append(keyed.where(is_hot & (F.col("i") == i)).select("fp", F.explode(sub).alias("key")))
-        keyed = parts[0]
+        split = parts[0]
         for p in parts[1:]:
-            keyed = keyed.unionByName(p)
+            split = split.unionByName(p)
+        split, paired = run_pairs(split, hot_rows)
+        keyed = keyed.where(~is_hot).select("fp", key.alias("key")).unionByName(split)
     else:
         keyed = keyed.select("fp", key.alias("key"))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-paired // hot_rows))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]

@@ -49,6 +49,40 @@ def test_groups_equal_brute_force(copies, hot):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == want
 
 
+def test_a_family_around_one_centre_is_dealt_in_bounded_groups(spark):
+    """Splitting by blocks twice leaves most of it in one group; every pair still meets."""
+    rng, hot = random.Random(5), 40
+    centre = rng.getrandbits(63)
+    family = sorted({centre ^ sum(1 << b for b in rng.sample(range(63), rng.randint(1, 3))) for _ in range(500)})
+    keyed = spark.createDataFrame([(f, k) for f in family for k in (1, 2)] + [(f, 3) for f in family[:hot]], "fp long, key long")
+    dealt, rows = simhash_gray.run_pairs(keyed, hot)
+    groups = {}
+    for r in dealt.collect():
+        groups.setdefault(r.key, []).append(r.fp)
+    assert sorted(groups.pop(3)) == family[:hot]  # a group within the bound stays
+    assert rows == sum(map(len, groups.values())) and max(map(len, groups.values())) <= 2 * hot
+    met = {}
+    for members in groups.values():
+        for f in members:
+            met.setdefault(f, set()).update(members)
+    assert all(met[f] == set(family) for f in family)
+
+
+@pytest.mark.parametrize("hot", [30, 100])
+def test_components_of_a_family_equal_brute_force(spark, hot, monkeypatch):
+    rng, dealt = random.Random(7), []
+    real = simhash_gray.run_pairs
+    monkeypatch.setattr(simhash_gray, "run_pairs", lambda keyed, hot_rows: dealt.append(real(keyed, hot_rows)) or dealt[-1])
+    centre = rng.getrandbits(63)
+    fps = sorted({centre ^ sum(1 << b for b in rng.sample(range(63), rng.randint(1, 7))) for _ in range(400)} | {rng.getrandbits(63) for _ in range(100)})
+    got = simhash_gray.fp_components(spark.createDataFrame([(f,) for f in fps], "fp long"), 4, hot).collect()
+    want = dict(zip(fps, brute_components(fps, fps, 4)))
+    least = {}
+    for r in got:
+        least[r.root] = min(least.get(r.root, r.fp), r.fp)
+    assert {r.fp: least[r.root] for r in got} == want and dealt[0][1] > 0
+
+
 def test_one_of_each_group_stays(copies, odd, empty):
     twice = copies.unionByName(copies).withColumnRenamed("source", "__fp")
     out = simhash_gray.keep_one(twice)
