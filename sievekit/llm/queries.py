@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sievekit.llm.common import read_docs
 
@@ -76,6 +77,12 @@ def op4_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read_docs(spark, sf_dir))
 
 
+def op11_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievekit.llm.voronoi_knn import top_k
+
+    return top_k(read_docs(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievekit.llm.merkle_manifest import verify
 
@@ -93,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_revisit": op8_warc_revisit,
     "op9_gru_langid": op9_gru_langid,
     "op10_bpe_stream": op10_bpe_stream,
+    "op11_voronoi_knn": op11_voronoi_knn,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -147,6 +155,12 @@ SELECT record_id, canonical, status, CASE WHEN status = 'resolved' THEN rid::VAR
   concat_ws(chr(10), 'cache-control: no-cache', 'content-length: ' || CASE WHEN status = 'resolved' THEN len ELSE 0 END,
             CASE WHEN status = 'resolved' THEN 'content-type: text/html' END, 'date: ' || page_id, 'etag: ' || etag, 'last-modified: ' || lm) AS headers
 FROM s""",
+    "op11_voronoi_knn": """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, e.vec_id, list_inner_product(q.v, e.v)::BIGINT AS score FROM v q JOIN v e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5""",
     "op13_merkle_manifest": """
 WITH RECURSIVE fields AS (
   SELECT doc_id, lang,
