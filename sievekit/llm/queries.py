@@ -83,6 +83,12 @@ def op11_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read_docs(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievekit.llm.conversation_repair import damage, repair, rows_of
+
+    return repair(damage(rows_of(read_docs(spark, sf_dir, "conversations"))))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievekit.llm.merkle_manifest import verify
 
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_gru_langid": op9_gru_langid,
     "op10_bpe_stream": op10_bpe_stream,
     "op11_voronoi_knn": op11_voronoi_knn,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
