@@ -45,6 +45,8 @@ LEVEL = 1 << 56
 TOP = -1
 #: languages are joined by broadcast up to so many (counted), by shuffle beyond
 BROADCAST_LANGS = 10_000
+#: stored node rows of a partition, about
+NODE_ROWS = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -73,19 +75,20 @@ def _link(tree: Column, level: int, index: Column, nodes: Column, trees: int) ->
             F.when(inside, index % FAN).when(above, tree % FAN).cast("int").alias("slot")]
 
 
-def _levels(base: DataFrame, most: int, trees: int) -> tuple[list[DataFrame], DataFrame]:
-    """Node rows of every level above ``base`` (tree, index, digest, nodes),
-    and the last remaining node of each tree (tree, digest)."""
+def _levels(base: DataFrame, most: int, rows: int, trees: int) -> tuple[list[DataFrame], DataFrame]:
+    """Node rows of every level above ``base`` (tree, index, digest, nodes;
+    ``rows`` of them), and the last remaining node of each tree (tree, digest).
+    A level has an eighth of the rows below it and as much fewer partitions."""
     stored, tops = [], base.where("nodes = 1").select("tree", "digest")
     level, cur = 0, base
     while most > 1:
-        level, most = level + 1, -(-most // FAN)
+        level, most, rows = level + 1, -(-most // FAN), rows // FAN + trees
         run = F.array_sort(F.collect_list(F.struct("index", "digest")))  # at most FAN
         cur = (cur.where("nodes > 1").groupBy("tree", F.shiftright("index", 3).alias("up")).agg(
             F.aggregate(run, F.unhex(F.lit("")), lambda a, x: F.concat(a, x["digest"])).alias("run"), F.first("nodes").alias("below"))
             .select("tree", F.col("up").alias("index"), "run", _hash(F.col("run")).alias("digest"),
                     F.shiftright(F.col("below") + FAN - 1, 3).alias("nodes")))
-        cur = cut(cur)
+        cur = cut(cur.coalesce(rows // NODE_ROWS + 1))
         stored.append(cur.select("tree", (F.lit(level * LEVEL) + F.col("index")).alias("node"), "run",
                                  *_link(F.col("tree"), level, F.col("index"), F.col("nodes"), trees)))
         tops = tops.unionByName(cur.where("nodes = 1").select("tree", "digest"))
@@ -110,18 +113,18 @@ def build(docs: DataFrame, claim: Column | None = None) -> Manifest:
     checked later (binary; the leaf's own if null or not given)."""
     ship(docs.sparkSession)
     digest = leaf_digest()
-    rows = docs.select(F.col("doc_id").alias("id"), F.col("lang").cast("string").alias("lang"), digest.alias("digest"),
-                       (F.lit(None).cast("binary") if claim is None else claim).alias("claim"))
-    placed = positions(rows, ["lang"], [F.asc_nulls_first("id"), F.asc("digest")])
+    fields = docs.select(F.col("doc_id").alias("id"), F.col("lang").cast("string").alias("lang"), digest.alias("digest"),
+                         (F.lit(None).cast("binary") if claim is None else claim).alias("claim"))
+    placed = positions(fields, ["lang"], [F.asc_nulls_first("id"), F.asc("digest")])
     langs = cut(positions(placed.groupBy("lang").agg(F.count(F.lit(1)).alias("nodes")), [], [F.asc_nulls_first("lang")], "tree"))
-    trees, most = langs.agg(F.count(F.lit(1)), F.max("nodes")).first()
+    trees, most, rows = langs.agg(F.count(F.lit(1)), F.max("nodes"), F.sum("nodes")).first()
     small = langs.select(F.col("lang").alias("of"), "tree", "nodes")
     leaves = placed.join(F.broadcast(small) if trees <= BROADCAST_LANGS else small, F.col("lang").eqNullSafe(F.col("of"))).drop("of")
     base = leaves.select("tree", F.col("position").alias("index"), "digest", "nodes")
-    stored, tops = _levels(base, most or 0, trees)
-    tops = cut(tops)
+    stored, tops = _levels(base, most or 0, rows or 0, trees)
+    tops = cut(tops.coalesce(trees // NODE_ROWS + 1))
     top = tops.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("index"), "digest", F.lit(trees).cast("long").alias("nodes"))
-    more, last = _levels(top, trees, trees)
+    more, last = _levels(top, trees, trees, trees)
     root = last.select(F.lower(F.hex("digest"))).first()  # one row
     nodes = None
     for part in stored + more:
