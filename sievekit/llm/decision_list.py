@@ -19,7 +19,9 @@ rows are fine: a document with several labels counts as bad if any says so.
 Without labels the list is empty and only the base rule decides. Rows of
 equal ``doc_id`` are judged each on its own text. Input columns all stay; an
 own column whose name is taken gets a numbered one. An empty table gives no
-rows.
+rows. A text of any length is counted whole, in one row's memory. Ties: of tests
+with equal gain the first feature's first threshold is taken, of pruned rules
+with equal worth the shorter one.
 """
 
 from __future__ import annotations
@@ -214,7 +216,8 @@ def base_failed(stats: str = "__stats") -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Learn a list from at most ``sample_rows`` labelled documents, the ones
-    with the smallest hash of their key; label 0 is bad."""
+    with the smallest hash of their key; label 0 is bad. Of rows that share a
+    key one is learned from, the one whose text has the smallest hash."""
     marked = (
         labels.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{key}`").isNotNull())
         .groupBy(F.col(f"`{key}`").cast("string").alias("k"))
@@ -224,7 +227,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         .limit(sample_rows)
     )
     some = docs.select(docs[f"`{key}`"].cast("string").alias("k"), docs[f"`{text}`"].alias("text")).join(F.broadcast(marked), "k")
-    rows = with_stats(some, "text", "s").select("good", "order", *[F.col(f"s.{c}").alias(c) for c in STATS]).toPandas()
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "good", "order", "s")).alias("r")
+    rows = with_stats(some, "text", "s").groupBy("k").agg(one).select("r.good", "r.order", *[F.col(f"r.s.{c}").alias(c) for c in STATS]).toPandas()
     rows = rows.sort_values(["order", *STATS], kind="stable")
     return learn({c: rows[c].to_numpy() for c in STATS}, rows["good"].to_numpy() == 0, rows["order"].to_numpy())
 

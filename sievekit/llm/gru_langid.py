@@ -18,9 +18,11 @@ Edge cases: a null text, or one without a letter, is ``und`` with score 0.
 Rows of one text get one answer, whatever their other columns. Null labels
 aren't learned from; without any label everything is ``und``. Every labelled
 language is learned; a label set of more than ``MAX_LANGS`` raises. Columns
-other than the text and, in training, the label are never read; all stay, and
-an own column whose name is taken gets a numbered one. An empty table gives
-no rows.
+other than the text and, in training, the label and the id (for the draw) are
+never read; all stay, and an own column whose name is taken gets a numbered
+one. Rows that share an id or have none are drawn one by one, equal rows up to
+the same bound. A text of any length is read whole, in segments. Languages of
+equal probability: the first in byte order. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievekit.llm.common import fresh, ship
@@ -228,22 +230,28 @@ def fit(docs: DataFrame, usable: Column | None = None, text: str = "text", lang:
     sample_docs = min(sample_docs, max(LEAST_DOCS, SAMPLE_ALL // len(counts)))
     langs = sorted(r["lang"] for r in counts)
     most = {r["lang"]: r["count"] for r in counts}
-    rank = F.pmod(F.xxhash64(F.lit("langid"), f"`{key}`"), F.lit(1 << 40))
+    # by id and text: rows that share an id, or have none, are drawn one by one
+    rank = F.pmod(F.xxhash64(F.lit("langid"), f"`{key}`", f"`{text}`"), F.lit(1 << 40))
+    size = F.octet_length(f"`{text}`")
+    start = F.when(size <= SEGMENT, 0).otherwise(F.pmod(F.xxhash64(F.lit("segment"), f"`{key}`", f"`{text}`"), size - SEGMENT + 1)).cast("int")
+
+    def draw(of: DataFrame) -> pd.DataFrame:
+        """The first ``sample_docs`` rows of each language, by hash; each task sends no more than that."""
+        cut = of.select(F.col(f"`{lang}`").alias("lang"), rank.alias("rank"), F.encode(F.col(f"`{text}`"), "UTF-8").alias("raw"), start.alias("at"))
+        cut = cut.selectExpr("lang", "rank", "substring(raw, at + 1, %d) AS raw" % SEGMENT)
+        nth = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "raw"))
+        return cut.withColumn("nth", nth).where(F.col("nth") <= sample_docs).toPandas()
+
     # a threshold on a uniform hash leaves about 1.5 times the wanted rows of each language
     limit = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1 << 40, int(1.5 * sample_docs / most[k] * (1 << 40)) + 1))])
-    size = F.octet_length(f"`{text}`")
-    chosen = (
-        rows.where(rank < limit[F.col(f"`{lang}`")])
-        .select(
-            F.col(f"`{lang}`").alias("lang"),
-            rank.alias("rank"),
-            F.encode(F.col(f"`{text}`"), "UTF-8").alias("raw"),
-            F.when(size <= SEGMENT, 0).otherwise(F.pmod(F.xxhash64(F.lit("segment"), f"`{key}`"), size - SEGMENT + 1)).cast("int").alias("at"),
-        )
-        .selectExpr("lang", "rank", "substring(raw, at + 1, %d) AS raw" % SEGMENT)
-        .toPandas()
-    )
-    chosen = chosen.sort_values(["lang", "rank", "raw"], kind="stable").groupby("lang").head(sample_docs)
+    chosen = draw(rows.where(rank < limit[F.col(f"`{lang}`")]))
+    got = chosen["lang"].value_counts()
+    short = [k for k in langs if got.get(k, 0) < min(sample_docs, most[k])]
+    if short:  # many equal rows: their common hash lies beyond the threshold
+        chosen = pd.concat([chosen[~chosen["lang"].isin(short)], draw(rows.where(F.col(f"`{lang}`").isin(short)))])
+    if chosen.empty:
+        raise RuntimeError("no labelled row could be drawn")
+    chosen = chosen.sort_values(["lang", "rank", "raw"], kind="stable")
     net = Network(langs, hidden_for(len(langs)))
     data = np.zeros((SEGMENT + 2 * CONTEXT, len(chosen)), np.uint8)
     for k, raw in enumerate(chosen["raw"]):

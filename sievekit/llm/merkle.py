@@ -22,7 +22,8 @@ text is shuffled once and no partition depends on the number of documents.
 Edge cases: a null text is the empty text, whose tree is a root without
 children (two of them have likeness 1, an empty and another text 0). Rows of
 equal ``doc_id`` are ordered by text; null ids come last. A single row is its
-own next document. Extra columns aren't read. An empty table gives no rows.
+own next document. A text of any length is split whole, in one row's memory.
+Extra columns aren't read. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -15,8 +15,10 @@ Edge cases: a null or empty text has no features and gets the model's
 intercept. Null labels aren't learned from; a document with several ratings
 takes the lowest. Grades that don't occur are skipped; with fewer than two
 grades there is no model, and everything has grade 0 and is kept. Equal texts
-get equal results. All columns stay; own columns whose name is taken get a
-numbered one. An empty table gives no rows.
+get equal results. Of rows that share a key one is learned from. A text of any
+length is hashed whole, a few megabytes of texts at a time. Ties in the order
+of the sample go by grade and size. All columns stay; own columns whose name is
+taken get a numbered one. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -137,10 +139,15 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: Column, key: str = "doc_id",
     def buckets(texts: pd.Series) -> pd.Series:
         return pd.Series([features([(t or "").encode()])[0].astype("<i4").tobytes() for t in texts])
 
+    # one row a key (the text of the smallest hash), so rows that share a key stay within the bound
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "grade", "rank", "x")).alias("r")
     rows = (
         docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("text"))
         .join(F.broadcast(chosen), "k")
-        .select("grade", "rank", buckets("text").alias("x"))
+        .withColumn("x", buckets("text"))
+        .groupBy("k")
+        .agg(one)
+        .select("r.grade", "r.rank", "r.x")
         .toPandas()
     )
     rows["n"] = rows["x"].map(len)

@@ -23,7 +23,8 @@ fingerprints together; the number of tasks grows with these rows. So a common
 value isn't one task's load.
 
 Edge cases: null, empty and word-less texts have fingerprint zero and are
-linked like any other. Equal rows get equal results. A null ``doc_id`` is
+linked like any other. Equal rows get equal results. A text of any length is
+fingerprinted whole, in one row's memory. A null ``doc_id`` is
 never a component's name unless no row of the component has another. Extra
 columns are ignored by ``near_groups`` and kept by ``keep_one``. An empty
 table gives no rows.
