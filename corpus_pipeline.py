@@ -16,8 +16,12 @@ from sievekit.llm import decision_list, gru_langid, pow2_packing, simhash_gray,
 from sievekit.llm.common import read_docs
 from sievekit.session import checkpoint_dir
 
-#: a document goes if no language reaches this pooled probability
+#: a document goes if no language reaches this pooled probability, or 1.6 times
+#: an even share where there are more than four languages
 LEAST_SCORE = 0.4
+#: repeated strings from so many bytes on are cut out: less than fifty words
+#: take with the space between them, so a repeated passage of fifty words has one
+REPEAT_BYTES = 240
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +32,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return docs
     tagged = gru_langid.predict(docs, net)
     pred, score = tagged.columns[-2:]
-    return tagged.where((F.col(pred) != gru_langid.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
+    least = min(LEAST_SCORE, 1.6 / len(net.langs))
+    return tagged.where((F.col(pred) != gru_langid.UNKNOWN) & (F.col(score) >= least)).select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +47,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated byte strings are cut out; ``n_chars`` follows the text."""
-    out = suffix_dedup.dedup_strings(docs)
+    """Repeated strings of ``REPEAT_BYTES`` are cut out; ``n_chars`` follows the text."""
+    out = suffix_dedup.dedup_strings(docs, length=REPEAT_BYTES)
     if "n_chars" in docs.columns:
         changed = F.col(out.columns[-2]) > 0
         out = out.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
