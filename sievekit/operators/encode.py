@@ -1,20 +1,18 @@
 """Categorical encoding.
 
 Code tables are built without a driver collect and without a single-
-partition window: distinct values are range-partitioned, each partition is
-ranked locally, and partition offsets (one row per partition) are added.
-The partitioned distinct table is checkpointed first so both passes see
-the same partition assignment even if a task is retried elsewhere.
+partition window: distinct values are range-partitioned and numbered where
+they lie (``positions``), with one shuffle after the distinct.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import reliable_checkpoint
+from .prefix import positions
 
 
 def code_table(df: DataFrame, col: str, code_col: str | None = None, as_string: bool = True,
@@ -24,16 +22,7 @@ def code_table(df: DataFrame, col: str, code_col: str | None = None, as_string:
     nulls become the text 'None' as in the original encoder."""
     code_col = code_col or f"{col}_code"
     v = F.coalesce(F.col(col).cast("string"), F.lit("None")) if as_string else F.col(col)
-    d = df.select(v.alias("value")).distinct()
-    p = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = reliable_checkpoint(d.repartitionByRange(p, "value").withColumn("__pid", F.spark_partition_id()))
-    sizes = d.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
-    # one row per partition: the running offset is a window over <= p rows
-    offs = sizes.withColumn("__off", F.coalesce(
-        F.sum("__n").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    local = F.row_number().over(Window.partitionBy("__pid").orderBy("value")) - 1
-    return (d.join(F.broadcast(offs.select("__pid", "__off")), "__pid")
-            .select("value", (F.col("__off") + local).cast("bigint").alias(code_col)))
+    return positions(df.select(v.alias("value")).distinct(), [], [F.col("value")], code_col, partitions)
 
 
 def label_encode(df: DataFrame, col: str, table: DataFrame | None = None, out_col: str | None = None,

@@ -3,18 +3,18 @@
 Input: one row per scored example with a true label, a predicted label and
 optionally one score column per class. All metrics come from grouped counts:
 the confusion table is (classes x classes) rows; curves group by
-(class, score) first and take running sums with ``running_sum`` below,
-which never puts a whole class into one task.
+(class, score) first and take running sums with ``running_sum``, which never
+puts a whole class into one task and shuffles the grouped scores once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import reliable_checkpoint
+from .prefix import running_sum
 
 
 def class_grid(spark, classes: Sequence) -> DataFrame:
@@ -34,6 +34,8 @@ def confusion_table(df: DataFrame, label: str, prediction: str, classes: Sequenc
     known = lambda c: F.when(F.col(c).isin(*classes), F.col(c))
     counts = df.groupBy(known(label).alias("actual"), known(prediction).alias("predicted")).agg(
         F.count(F.lit(1)).alias("n"))
+    # read twice below: at most (classes + 1)^2 rows, so the scored rows are computed once
+    counts = df.sparkSession.createDataFrame(counts.collect(), counts.schema)
     grid = class_grid(df.sparkSession, classes)
     same = F.col("g.actual").eqNullSafe(F.col("c.actual")) & F.col("g.predicted").eqNullSafe(F.col("c.predicted"))
     inside = (grid.alias("g").join(counts.alias("c"), same, "left")
@@ -120,29 +122,6 @@ def classification_report(per_class: DataFrame) -> DataFrame:
     return cls.unionByName(summary)
 
 
-def running_sum(df: DataFrame, groups: Sequence[str], order: Sequence[Column], cols: Sequence[str],
-                partitions: int | None = None) -> DataFrame:
-    """Cumulative sums of ``cols`` per group in ``order`` (ties broken by the
-    order columns themselves - rows should be unique on groups+order).
-
-    Range-partitions on (groups, order), sums each partition locally and adds
-    the totals of earlier partitions of the same group (a small table), so a
-    large group is spread over many tasks. The partitioned table is
-    checkpointed so both passes agree on partition membership."""
-    groups = list(groups)
-    p = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = reliable_checkpoint(df.repartitionByRange(p, *[F.col(g) for g in groups], *order)
-                            .withColumn("__pid", F.spark_partition_id()))
-    tot = d.groupBy(*groups, "__pid").agg(*[F.sum(c).alias(f"__t_{c}") for c in cols])
-    wprev = Window.partitionBy(*groups).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select(*groups, "__pid", *[F.coalesce(F.sum(f"__t_{c}").over(wprev), F.lit(0)).alias(f"__o_{c}")
-                                          for c in cols])
-    wloc = Window.partitionBy("__pid", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    j = d.join(offs, [*groups, "__pid"])
-    return j.select(*[c for c in df.columns], *[(F.col(f"__o_{c}") + F.sum(c).over(wloc)).alias(f"cum_{c}")
-                                               for c in cols])
-
-
 def _score_long(df: DataFrame, label: str, score_cols: dict) -> DataFrame:
     """(class, y, score) with y = 1 when the example belongs to the class."""
     return df.select(F.explode(F.array(*[

@@ -62,6 +62,14 @@ def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(hash_key(key, seed), F.col(key))
 
 
+def shuffle_positions(df: DataFrame, key: str, seed: int = 42, out: str = "position") -> DataFrame:
+    """H6 as numbers: each row's place (from 0) in the seeded permutation,
+    counted over range-sorted partitions (one shuffle, no single-task window)."""
+    from .prefix import positions
+
+    return positions(df.withColumn("__h", hash_key(key, seed)), [], [F.col("__h"), F.col(key)], out).drop("__h")
+
+
 def wide_to_long(df: DataFrame, ids: Sequence[str], values: Sequence[str], var: str = "metric",
                  val: str = "value") -> DataFrame:
     """H7: melt."""

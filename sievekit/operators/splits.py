@@ -156,9 +156,9 @@ def time_folds(df: DataFrame, ts: str, key: str, k: int, fold_col: str = "fold")
     """Time-ordered folds for an expanding-window split: rows ordered by
     (ts, key) get fold = floor(rank x k / n), rank 0-based. Ranks come from
     a range-partitioned running count (no single-partition window)."""
-    from .evaluate import running_sum
+    from .prefix import positions
 
     n = df.count()
-    ranked = running_sum(df.withColumn("__one", F.lit(1)), [], [F.col(ts), F.col(key)], ["__one"])
-    fold = F.floor((F.col("cum___one") - 1) * F.lit(k) / F.lit(max(n, 1))).cast("int")
-    return ranked.withColumn(fold_col, fold).drop("__one", "cum___one")
+    ranked = positions(df, [], [F.col(ts), F.col(key)], "__rank")
+    fold = F.floor(F.col("__rank") * F.lit(k) / F.lit(max(n, 1))).cast("int")
+    return ranked.withColumn(fold_col, fold).drop("__rank")

@@ -145,8 +145,8 @@ FROM v GROUP BY ID
 @query("fit_knn", _knn_sql())
 def q_fit_knn(spark, sf_dir):
     """T4: exact 5-nearest-neighbour votes for the test split, features
-    standardised with train statistics (population std), via the certified
-    grid join (no all-pairs join)."""
+    standardised with train statistics (population std), by best-first descent
+    through a stored k-d tree (no all-pairs join)."""
     from ..operators.knn import knn_classify
     from ..operators.scale import fit_scaler, transform
     from ..operators.splits import stratified_split

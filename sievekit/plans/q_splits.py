@@ -149,11 +149,8 @@ def q_class_share_by_split(spark, sf_dir):
 SELECT event_id, CAST(row_number() OVER (ORDER BY {MD5.format(k='event_id')}, event_id) AS BIGINT) AS position FROM events
 """)
 def q_shuffle_positions(spark, sf_dir):
-    """H6: position of every event in the seeded shuffle (range-partitioned
-    running count, no single-task window)."""
-    from ..operators.evaluate import running_sum
-    from ..operators.ordering import hash_key
-
-    e = read_table(spark, sf_dir, "events").select("event_id").withColumn("__h", hash_key("event_id", 42))
-    r = running_sum(e.withColumn("__one", F.lit(1)), [], [F.col("__h"), F.col("event_id")], ["__one"])
-    return r.select("event_id", F.col("cum___one").cast("bigint").alias("position"))
+    """H6: position of every event in the seeded shuffle."""
+    from ..operators.ordering import shuffle_positions
+
+    e = read_table(spark, sf_dir, "events").select("event_id")
+    return shuffle_positions(e, "event_id").select("event_id", (F.col("position") + 1).alias("position"))
