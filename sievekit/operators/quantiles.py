@@ -1,100 +1,113 @@
-"""Exact order statistics without collecting a group into one task.
+"""Exact order statistics by radix selection, without sorting or collecting a
+group.
 
 ``exact_quantiles`` returns pandas/NumPy "linear" quantiles (the default of
 ``Series.median``/``quantile`` and ``np.percentile``) per group. Spark's
 exact ``percentile`` keeps a value->count map per group in one buffer, which
-is unbounded for a global quantile over a large column; this module instead
-narrows the search:
-
-1. collapse to distinct values with multiplicities (partial aggregation, so
-   a value holding a third of all rows becomes one row);
-2. while the candidate set of a target rank is large, split it into
-   ``fanout`` value-ordered buckets with ``percentile_approx`` bounds (bounded
-   memory), count per bucket, and keep only the bucket containing the rank;
-3. when candidates are few, rank them with a running sum and pick.
-
-The only driver traffic is the per-target state (groups x ranks rows).
+is unbounded for a global quantile over a large column; this module selects
+by digits instead:
+
+1. every value becomes a 64-bit whole number of the same order (``order_key``,
+   plain arithmetic on exponent and fraction, so it stays in generated code);
+2. a pass counts the rows by the leading ``DIGIT_BITS`` bits, per group: at most
+   2^13 counts a group and task leave the map side, whatever the data. Sums of
+   these counts tell which buckets hold the wanted ranks; all ranks of all
+   groups are looked up at once;
+3. the next pass counts the next digit of the rows in those buckets only (a row
+   meets its own bucket, so there is no row x rank product), and so on: five
+   passes at most, fewer once every bucket holds a single value.
+
+No shuffle carries rows, only counts. A value holding a third of all rows is
+one count. The wanted buckets (groups x ranks rows at most) are broadcast while
+they are few, and joined by shuffle otherwise.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import reliable_checkpoint
 
-_K = "__rank"
-_LO, _HI, _OFF = "__lo", "__hi", "__off"
-
-
-def _targets(totals: DataFrame, groups: list[str], probs: Sequence[float]) -> DataFrame:
-    """(groups, p, lo_rank, hi_rank, frac) for linear interpolation."""
-    arr = F.array(*[F.lit(float(p)) for p in probs])
-    t = totals.select(*groups, "n", F.explode(arr).alias("p"))
-    h = (F.col("n") - 1) * F.col("p")
-    return t.select(*groups, "p", F.floor(h).cast("long").alias("r_lo"), F.ceil(h).cast("long").alias("r_hi"),
-                    (h - F.floor(h)).alias("frac"))
-
-
-def values_at_ranks(weighted: DataFrame, groups: list[str], value: str, ranks: DataFrame,
-                    fanout: int = 256, max_local: int = 1_000_000) -> DataFrame:
-    """Value at each 0-based rank of the weighted sorted multiset.
-
-    weighted: (groups, value, w) with one row per distinct value.
-    ranks:    (groups, __rank), small (bounded by groups x ranks).
-    Returns (groups, __rank, value).
-    """
-    spark = weighted.sparkSession
-    state = ranks.select(*groups, _K, F.lit(None).cast(weighted.schema[value].dataType).alias(_LO),
-                         F.lit(None).cast(weighted.schema[value].dataType).alias(_HI), F.lit(0).cast("long").alias(_OFF))
-    fracs = [i / fanout for i in range(1, fanout)]
-    accuracy = max(10_000, fanout * 100)
-    before = None
+DIGIT_BITS = 13
+#: wanted buckets that are broadcast; more are joined by shuffle
+BROADCAST_ROWS = 50_000
+_FRACTION = 1 << 52
+_TINY = 2.0**-1022  # smallest normal double
+
+
+def order_key(x: Column) -> Column:
+    """A bigint with the order of the doubles (NaN excluded): exponent and
+    fraction of the absolute value, negated for negative ones. -0.0 is 0."""
+    a = F.abs(x)
+    near = F.floor(F.log2(a))
+    power = lambda e: F.pow(F.lit(2.0), e)
+    # the logarithm may round across a power of two
+    e = F.when(power(near) > a, near - 1).when(power(near + 1) <= a, near + 1).otherwise(near).cast("long")
+    normal = F.shiftleft(e + 1023, 52) + ((a / power(e) - 1.0) * float(_FRACTION)).cast("long")
+    small = (a * 2.0**537 * 2.0**537).cast("long")
+    key = F.when(a == float("inf"), F.lit(2047 << 52)).when(a < _TINY, small).otherwise(normal)
+    return F.when(x < 0, -key).otherwise(key)
+
+
+def key_value(k: Column) -> Column:
+    """The double of an ``order_key``."""
+    a = F.abs(k)
+    e, fraction = F.shiftright(a, 52), a.bitwiseAND(F.lit(_FRACTION - 1)).cast("double")
+    normal = (1.0 + fraction / float(_FRACTION)) * F.pow(F.lit(2.0), e - 1023)
+    v = F.when(e == 2047, F.lit(float("inf"))).when(e == 0, fraction * 2.0**-537 * 2.0**-537).otherwise(normal)
+    return F.when(k < 0, -v).otherwise(v)
+
+
+def values_at_ranks(keys: DataFrame, groups: list[str], key: str, ranks) -> DataFrame:
+    """The key at 0-based ranks of each group's sorted keys.
+
+    ``ranks`` makes the sorted array of wanted ranks from the group's number
+    of rows (a Column). Returns (groups, ``__n``, ``__rank``, key)."""
+    spark = keys.sparkSession
+    shift, state, done = 64 - DIGIT_BITS, None, None
+    rows, at = keys, list(groups)
     while True:
-        st_rows = state.collect()  # bounded: one row per (group, target rank)
-        state = spark.createDataFrame(st_rows, state.schema) if st_rows else state
-        cand = _candidates(weighted, groups, value, state)
-        sizes = cand.groupBy(*groups, _K).agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).collect()[0][0]
-        if sizes is None or sizes <= max_local:
-            break
-        if sizes == before:  # the sketch cut nothing off: let it tell more values apart
-            accuracy *= 10
-        before = sizes
-        bounds = cand.groupBy(*groups, _K).agg(
-            F.percentile_approx(value, F.array(*[F.lit(f) for f in fracs]), accuracy).alias("__b"))
-        bucketed = cand.join(bounds, [*groups, _K]).withColumn(
-            "__bucket", F.size(F.filter("__b", lambda b: b < F.col(value))))
-        per_bucket = bucketed.groupBy(*groups, _K, _OFF, _LO, "__bucket").agg(
-            F.sum("w").alias("__sw"), F.max(value).alias("__bmax"))
-        w = Window.partitionBy(*groups, _K).orderBy("__bucket")
-        per_bucket = (per_bucket
-                      .withColumn("__cum", F.sum("__sw").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-                      .withColumn("__prevmax", F.lag("__bmax").over(w)))
-        chosen = per_bucket.where((F.col(_OFF) + F.col("__cum") - F.col("__sw") <= F.col(_K))
-                                  & (F.col(_K) < F.col(_OFF) + F.col("__cum")))
-        state = chosen.select(
-            *groups, _K,
-            F.coalesce(F.col("__prevmax"), F.col(_LO)).alias(_LO),
-            F.col("__bmax").alias(_HI),
-            (F.col(_OFF) + F.col("__cum") - F.col("__sw")).cast("long").alias(_OFF))
-    cand = _candidates(weighted, groups, value, state)
-    w = Window.partitionBy(*groups, _K).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = cand.withColumn("__end", F.col(_OFF) + F.sum("w").over(w))
-    return ranked.where((F.col("__end") - F.col("w") <= F.col(_K)) & (F.col(_K) < F.col("__end"))).select(
-        *groups, _K, value)
-
-
-def _candidates(weighted: DataFrame, groups: list[str], value: str, state: DataFrame) -> DataFrame:
-    # state is tiny (groups x ranks) and was rebuilt from collected rows: safe to broadcast
-    c = weighted.join(F.broadcast(state), groups)
-    v = F.col(value)
-    return c.where((F.col(_LO).isNull() | (v > F.col(_LO))) & (F.col(_HI).isNull() | (v <= F.col(_HI))))
-
-
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = (),
-                    fanout: int = 256, max_local: int = 1_000_000) -> DataFrame:
+        counts = rows.groupBy(*at, F.shiftright(key, shift).alias("__next")).agg(  # all bits down to this digit
+            F.count(F.lit(1)).alias("__c"), F.min(key).alias("__lo"), F.max(key).alias("__hi"))
+        w = Window.partitionBy(*at).orderBy("__next")
+        end = F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0))
+        counts = counts.withColumn("__end", end)
+        if state is None:
+            counts = counts.withColumns({"__n": F.sum("__c").over(Window.partitionBy(*at)), "__before": F.lit(0).cast("long")})
+            counts = counts.withColumn("__ranks", ranks(F.col("__n")))
+        else:
+            counts = _joined(counts, state, at, "inner")
+        start = F.col("__before") + F.col("__end") - F.col("__c")
+        inside = F.filter("__ranks", lambda r: (r >= start) & (r < F.col("__before") + F.col("__end")))
+        found = counts.withColumn("__in", inside).where(F.size("__in") > 0).select(
+            *groups, F.col("__next").alias("__prefix"), start.alias("__before"), F.col("__in").alias("__ranks"), "__n", "__lo", "__hi")
+        head = found.limit(BROADCAST_ROWS + 1).collect()  # bounded; usually groups x ranks rows
+        few = len(head) <= BROADCAST_ROWS
+        found = spark.createDataFrame(head, found.schema) if few else reliable_checkpoint(found)
+        settled = found.where("__lo = __hi").select(*groups, "__n", F.explode("__ranks").alias("__rank"), F.col("__lo").alias(key))
+        done = settled if done is None else done.unionByName(settled)
+        if all(r["__lo"] == r["__hi"] for r in head) if few else found.where("__lo < __hi").isEmpty():
+            return done
+        state = found.where("__lo < __hi").drop("__lo", "__hi")
+        state = F.broadcast(state) if few else state
+        at = [*groups, "__prefix"]
+        rows = _joined(keys.withColumn("__prefix", F.shiftright(key, shift)), state.select(*at), at, "left_semi")
+        shift = max(0, shift - DIGIT_BITS)
+
+
+def _joined(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join on equal columns, where a null group equals a null group."""
+    r = right.select(*[F.col(c).alias(f"__r_{c}" if c in on else c) for c in right.columns])
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
+    return left.join(r, same, how).drop(*[f"__r_{c}" for c in on])
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = ()) -> DataFrame:
     """Linear-interpolated quantiles of ``value`` per ``groups`` (nulls ignored).
     Returns (groups, p, q); groups without non-null values are absent."""
     groups = list(groups)
@@ -106,18 +119,18 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: S
     # instead of being pushed below the projection that computes ``value``.
     v = F.col(value).cast("double")
     vals = df.select(*groups, F.nanvl(v, F.lit(None).cast("double")).alias("v")).where(F.col("v").isNotNull())
-    # distinct values with weights feed several small jobs below: cut the
-    # lineage once (reliable checkpoint) instead of recomputing the input
-    weighted = reliable_checkpoint(vals.groupBy(*groups, "v").agg(F.count(F.lit(1)).alias("w")))
-    totals = weighted.groupBy(*groups).agg(F.sum("w").alias("n"))
-    targets = _targets(totals, groups, probs)
-    ranks = targets.select(*groups, F.col("r_lo").alias(_K)).union(targets.select(*groups, F.col("r_hi").alias(_K))).distinct()
-    picked = values_at_ranks(weighted, groups, "v", ranks, fanout=fanout, max_local=max_local)
-    lo = picked.select(*groups, F.col(_K).alias("r_lo"), F.col("v").alias("v_lo"))
-    hi = picked.select(*groups, F.col(_K).alias("r_hi"), F.col("v").alias("v_hi"))
-    out = targets.join(lo, [*groups, "r_lo"]).join(hi, [*groups, "r_hi"])
-    q = F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))
-    out = out.select(*groups, "p", q.alias("q"))
+    # the passes read narrow keys, not the input again (reliable checkpoint, no shuffle)
+    keys = reliable_checkpoint(vals.select(*groups, order_key(F.col("v")).alias("k")))
+    place = lambda n, p: (n - 1) * F.lit(float(p))
+    wanted = lambda n: F.array_sort(F.array_distinct(F.flatten(F.array(*[
+        F.array(F.floor(place(n, p)).cast("long"), F.ceil(place(n, p)).cast("long")) for p in probs]))))
+    picked = values_at_ranks(keys, groups, "k", wanted).withColumn("v", key_value(F.col("k")))
+    # a group's few picked values side by side: no join is needed to interpolate
+    per = picked.groupBy(*groups, "__n").agg(F.map_from_entries(F.collect_list(F.struct("__rank", "v"))).alias("__at"))
+    h = place(F.col("__n"), 1.0) * F.col("p")
+    out = per.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+    low, high = F.col("__at")[F.floor(h).cast("long")], F.col("__at")[F.ceil(h).cast("long")]
+    out = out.select(*groups, "p", F.when(low == high, low).otherwise(low + (h - F.floor(h)) * (high - low)).alias("q"))
     return out.drop("__g") if single else out
 
 

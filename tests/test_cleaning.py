@@ -61,18 +61,40 @@ def test_median_matches_pandas(spark):
     assert column_medians(df, ["x"])["x"] == pd.Series(vals).median()
 
 
-def test_quantiles_narrowing_path(spark):
-    """Force the bucket-narrowing rounds (max_local tiny) and compare with numpy."""
+def test_quantiles_equal_numpy(spark):
+    """Radix selection on values that share many leading digits, with a hot
+    value, null and NaN values, infinities, tiny numbers and a null group."""
     import numpy as np
 
-    df = spark.range(0, 5000).select(((F.col("id") * 7919) % 1000).cast("double").alias("v"),
-                                     (F.col("id") % 3).alias("g"))
-    got = {(r["g"], r["p"]): r["q"] for r in exact_quantiles(df, "v", [0.1, 0.5, 0.9], ["g"], fanout=8, max_local=20).collect()}
-    pdf = df.toPandas()
-    for g in range(3):
-        arr = pdf[pdf.g == g].v.to_numpy()
-        for p in (0.1, 0.5, 0.9):
-            assert got[(g, p)] == pytest.approx(float(np.percentile(arr, p * 100)))
+    rng = np.random.default_rng(1)
+    hard = [0.0, -0.0, 1.0, np.nextafter(1.0, 2.0), np.nextafter(1.0, 0.0), 2.0**52, 2.0**53 + 2, -1e308, 1e308, 5e-324, -5e-324, 2.0**-1022,
+            float("nan"), None]
+    rows = [("hard", None if v is None else float(v)) for v in hard] + [("inf", v) for v in (float("inf"), float("-inf"), 3.0)]
+    rows += [("near", 1.0 + i * 2.0**-50) for i in range(200)] + [("hot", 7.0)] * 900 + [("hot", float(x)) for x in rng.normal(size=400)]
+    rows += [(None, float(x)) for x in rng.integers(-50, 50, 301)] + [("none", None), ("one", 2.5)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {(r["g"], r["p"]): r["q"] for r in exact_quantiles(df, "v", probs, ["g"]).collect()}
+    for g in ("hard", "near", "hot", None, "one"):
+        x = np.array([v for h, v in rows if h == g and v is not None and v == v])
+        for p in probs:
+            assert got.pop((g, p)) == pytest.approx(float(np.quantile(x, p)), rel=1e-15, abs=0.0), (g, p)
+    assert {got.pop(("inf", p)) for p in (0.0, 0.5, 1.0)} == {float("-inf"), 3.0, float("inf")}
+    assert {k[0] for k in got} == {"inf"}  # a group without values is absent
+
+
+def test_order_keys_keep_order_and_come_back(spark):
+    import numpy as np
+
+    from sievekit.operators.quantiles import key_value, order_key
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.integers(-(1 << 63), 1 << 63, 20_000, dtype=np.int64).view(np.float64), 2.0 ** np.arange(-1074, 1024),
+                        np.nextafter(2.0 ** np.arange(-1000, 1024), 0), [0.0, np.inf, -np.inf]])
+    x = np.unique(x[~np.isnan(x)])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double").repartition(4)
+    got = df.select("x", order_key(F.col("x")).alias("k"), key_value(order_key(F.col("x"))).alias("y")).toPandas().sort_values("x")
+    assert (got["x"] == got["y"]).all() and (np.diff(got["k"].to_numpy()) > 0).all()
 
 
 def test_null_profile(sample_df):
