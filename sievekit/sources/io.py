@@ -1,8 +1,8 @@
 """Sources and sinks.
 
 CSV is read with an explicit schema (no inference pass) and pandas-like NA
-tokens; ``multiLine`` CSV cannot be split, so ``read_or_materialize`` converts
-a landed CSV to Parquet once and every later job scans the Parquet copy.
+tokens, by byte ranges even where fields hold newlines; ``read_or_materialize``
+converts a landed CSV to Parquet once and every later job scans that copy.
 Paths may be any Hadoop filesystem URI.
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import strip_py
 from ..session import checkpoint_dir
+from .csv_split import read_csv_records
 
 # ---------------------------------------------------------------------------
 # The text tokens pandas' CSV reader turns into missing values
@@ -48,9 +49,9 @@ def apply_na_tokens(df: DataFrame, tokens: Sequence[str] = NA_TOKENS) -> DataFra
 
 def read_labelled_csv(spark: SparkSession, path: str, schema: T.StructType = LABELLED_SCHEMA,
                       na_tokens: Sequence[str] | None = NA_TOKENS) -> DataFrame:
-    """Header row, quoted multi-line text, doubled quotes as escapes."""
-    df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
-          .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path))
+    """Header row, quoted multi-line text, doubled quotes as escapes; read
+    by byte ranges, so a large file takes many tasks (see ``csv_split``)."""
+    df = read_csv_records(spark, path, schema)
     return apply_na_tokens(df, na_tokens) if na_tokens else df
 
 
@@ -104,8 +105,10 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Header + RFC-4180 quoting (quotes doubled)."""
-    df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    """Header + RFC-4180 quoting (quotes doubled); white space around a
+    value is part of it."""
+    (df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_text_report(spark: SparkSession, path: str, best_model: str, confusion: DataFrame,
