@@ -50,6 +50,39 @@ SELECT feature, round(mi, 6) AS mi, CAST(row_number() OVER (ORDER BY round(mi, 6
 FROM mi JOIN pos USING (feature)"""
 
 
+def _psi(n: str) -> str:
+    x = f"({n} + 10.0)"
+    series = f"ln({x}) - 1 / (2 * {x}) - 1 / (12 * {x} ** 2) + 1 / (120 * {x} ** 4) - 1 / (252 * {x} ** 6) + 1 / (240 * {x} ** 8)"
+    return f"({series} - ({' + '.join(f'1 / ({n} + {j}.0)' for j in range(10))}))"
+
+
+def _mi_knn_sql(k: int = 3) -> str:
+    parts = " UNION ALL ".join(f"SELECT '{c}' AS feature, Label AS y, CAST({c} AS DOUBLE) AS x FROM s" for c in FEATS)
+    return f"""WITH s AS {S}, l AS ({parts}),
+d AS (SELECT feature, y, x, count(*) AS c, sum(count(*)) OVER (PARTITION BY feature, y) AS n_y FROM l GROUP BY feature, y, x),
+e AS (SELECT * FROM d WHERE n_y > 1),
+nb AS (SELECT a.feature, a.y, a.x, abs(a.x - b.x) AS dist,
+              sum(b.c - CASE WHEN a.x = b.x THEN 1 ELSE 0 END) OVER (PARTITION BY a.feature, a.y, a.x ORDER BY abs(a.x - b.x)) AS upto, least({k}, a.n_y - 1) AS k
+       FROM e a JOIN e b ON a.feature = b.feature AND a.y = b.y),
+r AS (SELECT feature, y, x, min(dist) AS r FROM nb WHERE upto >= k GROUP BY feature, y, x),
+m AS (SELECT r.feature, r.y, r.x, sum(b.c) AS m FROM r JOIN e b ON r.feature = b.feature
+        AND ((r.r > 0 AND b.x > r.x - r.r AND b.x < r.x + r.r) OR (r.r = 0 AND b.x = r.x)) GROUP BY r.feature, r.y, r.x),
+p AS (SELECT e.feature, e.c, e.n_y, m.m, CASE WHEN r.r = 0 THEN e.c ELSE least({k}, e.n_y - 1) END AS k
+      FROM e JOIN r USING (feature, y, x) JOIN m USING (feature, y, x))
+SELECT feature, round(greatest({_psi('sum(c)')} + (sum(c * {_psi('k')}) - sum(c * {_psi('n_y')}) - sum(c * {_psi('m')})) / sum(c), 0.0), 6) AS mi
+FROM p GROUP BY feature"""
+
+
+@query("mutual_information_knn", _mi_knn_sql())
+def q_mutual_information_knn(spark, sf_dir):
+    """Nearest-neighbour estimate of each feature's mutual information
+    with the class."""
+    from ..operators.neighbours import mutual_information_knn
+
+    s = scored_corpus(spark, sf_dir).select("Label", *FEATS)
+    return mutual_information_knn(s, FEATS, "Label").withColumn("mi", F.round("mi", 6))
+
+
 @query("mutual_information", _mi_sql())
 def q_mutual_information(spark, sf_dir):
     """Binned mutual information of each feature with the class, top-5 selected."""
