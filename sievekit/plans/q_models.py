@@ -160,3 +160,43 @@ def q_fit_knn(spark, sf_dir):
     out = knn_classify(scaled.where(F.col("split") == "train"), scaled.where(F.col("split") == "test"),
                        FEATS, "Label", "ID", k=5)
     return out.select("ID", F.col("prediction").cast("bigint"), F.col("votes").cast("bigint"))
+
+
+def _split_sql() -> str:
+    from .corpus import scored_corpus_sql
+
+    parts = " UNION ALL ".join(f"SELECT '{c}' AS feature, Label AS y, CAST({c} AS DOUBLE) AS x FROM s" for c in FEATS)
+    sq = lambda p: " + ".join(f"CAST({p}{k} AS DOUBLE) * {p}{k}" for k in (1, 2, 3))
+    return f"""
+WITH s AS {scored_corpus_sql()}, l AS ({parts}),
+h AS (SELECT feature, x, {', '.join(f'count(*) FILTER (WHERE y = {k}) AS c{k}' for k in (1, 2, 3))} FROM l GROUP BY feature, x),
+w AS (SELECT feature, x, lead(x) OVER (PARTITION BY feature ORDER BY x) AS nxt,
+  {', '.join(f'sum(c{k}) OVER (PARTITION BY feature ORDER BY x) AS l{k}, sum(c{k}) OVER (PARTITION BY feature) AS t{k}' for k in (1, 2, 3))} FROM h),
+r AS (SELECT feature, x, nxt, l1, l2, l3, t1 - l1 AS r1, t2 - l2 AS r2, t3 - l3 AS r3 FROM w WHERE nxt IS NOT NULL),
+q AS (SELECT feature, x, nxt, l1 + l2 + l3 AS n_left, r1 + r2 + r3 AS n_right, ({sq('l')}) / (l1 + l2 + l3) + ({sq('r')}) / (r1 + r2 + r3) AS score FROM r),
+b AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY score DESC, x) AS nth FROM q)
+SELECT feature, round(x / 2 + nxt / 2, 6) AS threshold, CAST(n_left AS BIGINT) AS n_left, CAST(n_right AS BIGINT) AS n_right,
+       round(1 - score / (n_left + n_right), 6) AS gini FROM b WHERE nth = 1
+"""
+
+
+@query("tree_splits", _split_sql())
+def q_tree_splits(spark, sf_dir):
+    """The exact best root split of the corpus on each feature."""
+    from ..operators.cart import split_table
+    from .corpus import scored_corpus
+
+    t = split_table(scored_corpus(spark, sf_dir).select("Label", *FEATS), FEATS, "Label")
+    return t.select("feature", F.round("threshold", 6).alias("threshold"), "n_left", "n_right", F.round("gini", 6).alias("gini"))
+
+
+@query("fit_tree_exact")
+def q_fit_tree_exact(spark, sf_dir):
+    """Exact tree of the training split, unlimited depth, applied to the test split."""
+    from ..operators.cart import fit_tree, predict_tree
+    from ..operators.splits import stratified_split
+    from .corpus import scored_corpus
+
+    s = stratified_split(scored_corpus(spark, sf_dir, True).select("ID", "Label", *FEATS), "Label", "ID", 0.2, seed=42)
+    tree = fit_tree(s.where(F.col("split") == "train"), FEATS, "Label", min_samples_split=2)
+    return predict_tree(s.where(F.col("split") == "test"), tree, "ID")
