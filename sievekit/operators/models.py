@@ -195,7 +195,7 @@ def fit_gaussian_nb(df: DataFrame, features: Sequence[str], label: str, var_smoo
     """T6 state: one row per class with prior, means and smoothed variances
     (population variance + var_smoothing x the largest feature variance)."""
     feats = list(features)
-    eps = df.agg(F.greatest(*[F.var_pop(F.col(c).cast("double")) for c in feats]).alias("m")) \
+    eps = df.agg(F.array_max(F.array(*[F.var_pop(F.col(c).cast("double")) for c in feats])).alias("m")) \
         .select((F.col("m") * var_smoothing).alias("eps"), F.lit(1).alias("__k"))
     per = df.groupBy(label).agg(
         F.count(F.lit(1)).alias("n"),

@@ -12,6 +12,8 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import re
+import uuid
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -75,29 +77,67 @@ class Fitted:
         return df.join(votes.select(key, F.col("prediction").cast("double").alias("prediction")), key, "left")
 
     def save(self, path: str) -> None:
-        """One folder: model files, and metadata with the label list, which
-        is written last and marks the artifact as complete."""
+        """A new version in a folder of its own, with model files and metadata;
+        only when all of it is written, a pointer file makes it the current
+        one. So a broken save leaves the former version as it was."""
         spark = SparkSession.active()
         path = path.rstrip("/")
+        version = f"version-{uuid.uuid4().hex}"
+        at = f"{path}/{version}"
         if self.model is not None:
-            self.model.write().overwrite().save(f"{path}/model")
+            self.model.write().save(f"{at}/model")
         if self.scaler is not None:
-            self.scaler.write().overwrite().save(f"{path}/scaler")
+            self.scaler.write().save(f"{at}/scaler")
         if self.table is not None:
-            self.table.write.mode("overwrite").parquet(f"{path}/table")
+            self.table.write.parquet(f"{at}/table")
         about = {"name": self.name, "kind": self.kind, "features": self.features, "labels": self.labels, "k": self.k}
-        spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+        spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{at}/metadata")
+        _point_to(spark, path, version)
+
+
+#: versions that stay when a new one becomes current
+KEPT_VERSIONS = 3
+
+
+def _fs(spark: SparkSession, path: str):
+    """(file system, path class) of a Hadoop path."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    fs, p = _fs(spark, path)
+    return fs.exists(p(path))
+
+
+def _pointers(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number, version) of the pointer files, oldest first. All of a pointer
+    is in its name, so it is there whole or not at all."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p(path)):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(p(path))]
+    return sorted((int(n[8:20]), n[21:]) for n in names if re.fullmatch(r"current-\d{12}-version-[0-9a-f]{32}", n))
+
+
+def _point_to(spark: SparkSession, path: str, version: str) -> None:
+    """Make a version current by creating an empty file, and drop versions
+    that are older than the last ``KEPT_VERSIONS``. Of two saves at the same
+    time the one of the greater name wins; both are whole."""
+    fs, p = _fs(spark, path)
+    before = _pointers(spark, path)
+    number = before[-1][0] + 1 if before else 1
+    fs.create(p(f"{path}/current-{number:012d}-{version}"), False).close()
+    for n, old in before[: max(0, len(before) + 1 - KEPT_VERSIONS)]:
+        fs.delete(p(f"{path}/current-{n:012d}-{old}"), False)
+        fs.delete(p(f"{path}/{old}"), True)
 
 
 def load_artifact(spark: SparkSession, path: str) -> Fitted | None:
-    """A saved model, or None if the folder or a part of it is missing."""
+    """The current version of a saved model, or None if there is none."""
     path = path.rstrip("/")
+    versions = _pointers(spark, path)
+    path = f"{path}/{versions[-1][1]}" if versions else path  # else a folder of one unversioned model
     if not _exists(spark, f"{path}/metadata/_SUCCESS"):
         return None
     about = json.loads(spark.read.text(f"{path}/metadata").first()["value"])

@@ -140,6 +140,21 @@ def q_stream_label_counts(spark, sf_dir):
     return out.select(F.unix_micros("window_start").alias("window_start_us"), "event_type", "n")
 
 
+@query("live_history", ORACLE["recent_per_user"])
+def q_live_history(spark, sf_dir):
+    """L1: newest 50 entries per user from a stream of the scan log, kept as
+    keyed state; the second start finds nothing new."""
+    from ..streaming.history import history, recent_entries
+
+    e = read_table(spark, sf_dir, "events")
+    sink, ck = scratch_path(spark, "l1-history"), scratch_path(spark, "l1-history-ckpt")
+    for _ in range(2):
+        stream = table_stream(spark, sf_dir, "events", e.schema).withColumn("ts", F.timestamp_micros(epoch_micros("ts")))
+        run_update_to_table(recent_entries(stream, "user_id", "event_id", "ts"), sink, ck)
+    out = history(spark.read.parquet(sink))
+    return out.select(F.col("user").alias("user_id"), F.col("entry").alias("event_id"), "ts_us", F.col("rank").cast("int").alias("rank"))
+
+
 @query("stream_scoring")
 def q_stream_scoring(spark, sf_dir):
     """L1: benchmark texts streamed through a pipeline trained on the corpus,
