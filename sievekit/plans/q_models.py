@@ -200,3 +200,32 @@ def q_fit_tree_exact(spark, sf_dir):
     s = stratified_split(scored_corpus(spark, sf_dir, True).select("ID", "Label", *FEATS), "Label", "ID", 0.2, seed=42)
     tree = fit_tree(s.where(F.col("split") == "train"), FEATS, "Label", min_samples_split=2)
     return predict_tree(s.where(F.col("split") == "test"), tree, "ID")
+
+
+def _scored_sql(var_smoothing: float = 1e-9) -> str:
+    from .q_splits import STRATIFIED_SPLIT_SQL
+
+    f, b = sql_features("Payload"), sql_features("text")
+    num = lambda of: ", ".join(f"CAST({of[c]} AS DOUBLE) AS {c}" for c in FEATS)
+    mus = ", ".join(f"avg({c}) AS mu_{c}, var_pop({c}) AS var_{c}" for c in FEATS)
+    maxvar = "greatest(" + ", ".join(f"(SELECT var_pop({c}) FROM tr)" for c in FEATS) + ")"
+    ll = " + ".join(f"(-0.5 * ln(2 * pi() * (var_{c} + eps)) - ({c} - mu_{c}) * ({c} - mu_{c}) / (2 * (var_{c} + eps)))" for c in FEATS)
+    return f"""
+WITH sp AS ({STRATIFIED_SPLIT_SQL}),
+tr AS (SELECT text_label, {num(f)} FROM {CORPUS_SQL} c JOIN sp USING (ID) WHERE sp.split = 'train'),
+st AS (SELECT text_label AS cls, count(*) / (SELECT count(*) FROM tr) AS prior, {mus}, {maxvar} * {var_smoothing} AS eps FROM tr GROUP BY text_label),
+q AS (SELECT item_id, {num(b)} FROM benchmark),
+sc AS (SELECT item_id, cls, ln(prior) + {ll} AS ll FROM q, st),
+t AS (SELECT *, max(ll) OVER (PARTITION BY item_id) AS top FROM sc),
+p AS (SELECT item_id, arg_max(cls, ll) AS label, round(100 / sum(exp(ll - top)), 1) AS confidence FROM t GROUP BY item_id)
+SELECT item_id, label, confidence, sev AS severity, CAST(score AS INTEGER) AS severity_score
+FROM p JOIN (VALUES ('XSS', 'CRITICAL', 95), ('SQLi', 'HIGH', 85), ('Normal', 'SAFE', 10)) AS b(lbl, sev, score) ON lbl = label
+"""
+
+
+@query("score_artifact", _scored_sql())
+def q_score_artifact(spark, sf_dir):
+    """Benchmark texts scored by a naive Bayes model that was
+    trained on the training split, saved, and loaded from its current version."""
+    b = read_table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("payload"))
+    return score_batch(spark, sf_dir, b, "GaussianNB").select("item_id", "label", "confidence", "severity", F.col("severity_score").cast("int").alias("severity_score"))
