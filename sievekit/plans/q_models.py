@@ -229,3 +229,57 @@ def q_score_artifact(spark, sf_dir):
     trained on the training split, saved, and loaded from its current version."""
     b = read_table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("payload"))
     return score_batch(spark, sf_dir, b, "GaussianNB").select("item_id", "label", "confidence", "severity", F.col("severity_score").cast("int").alias("severity_score"))
+
+
+def _bayes_folds_sql(smoothings=(1e-9, 1e-8, 1e-7)) -> str:
+    """CTEs up to f1(fold, v, f1): weighted F1 of naive Bayes on each of five
+    stratified folds, for each variance smoothing."""
+    f = sql_features("Payload")
+    feats = ", ".join(f"CAST({f[c]} AS DOUBLE) AS {c}" for c in FEATS)
+    mus = ", ".join(f"avg({c}) AS mu_{c}, var_pop({c}) AS var_{c}" for c in FEATS)
+    most = "greatest(" + ", ".join(f"var_pop({c})" for c in FEATS) + ")"
+    ll = " + ".join(f"(-0.5 * ln(2 * pi() * (var_{c} + mv * v)) - ({c} - mu_{c}) * ({c} - mu_{c}) / (2 * (var_{c} + mv * v)))" for c in FEATS)
+    return f"""
+b AS (SELECT ID, text_label, {feats} FROM {CORPUS_SQL}),
+n AS (SELECT text_label, count(*) AS n FROM b GROUP BY text_label),
+o AS (SELECT text_label, coalesce(sum(n) OVER (ORDER BY text_label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM n),
+d AS (SELECT b.*, (off + row_number() OVER (PARTITION BY text_label ORDER BY md5('42|' || ID), ID) - 1) % 5 AS fold FROM b JOIN o USING (text_label)),
+k(test) AS (VALUES (0), (1), (2), (3), (4)),
+st AS (SELECT test, text_label AS cls, count(*) AS c, {mus} FROM d JOIN k ON fold <> test GROUP BY ALL),
+mv AS (SELECT test, {most} AS mv, count(*) AS n FROM d JOIN k ON fold <> test GROUP BY ALL),
+sc AS (SELECT ID, text_label AS y, test AS fold, v, cls, ln(c / n) + {ll} AS ll FROM d JOIN st ON fold = test JOIN mv USING (test), (VALUES {', '.join(f'({v!r})' for v in smoothings)}) vs(v)),
+p AS (SELECT ID, y, fold, v, arg_max(cls, ll) AS z FROM sc GROUP BY ALL),
+m AS (SELECT fold, v, n.text_label AS cls, count(*) FILTER (WHERE y = n.text_label) AS s, count(*) FILTER (WHERE z = n.text_label) AS pr,
+             count(*) FILTER (WHERE y = n.text_label AND z = n.text_label) AS tp FROM p, n GROUP BY ALL),
+f1 AS (SELECT fold, v, sum(s * CASE WHEN s + pr = 0 THEN 0 ELSE 2.0 * tp / (s + pr) END) / sum(s) AS f1 FROM m GROUP BY ALL)"""
+
+
+def _corpus_features(spark, sf_dir):
+    from ..operators.features import add_payload_features
+    from ..operators.training import for_fitting
+    from .corpus import labelled_corpus
+
+    return for_fitting(add_payload_features(labelled_corpus(spark, sf_dir), "Payload").select("ID", "text_label", *FEATS))
+
+
+@query("cross_validate_bayes", f"""WITH {_bayes_folds_sql((1e-9,))}
+SELECT CAST(fold AS INTEGER) AS fold, round(f1, 6) AS f1, round(avg(f1) OVER (), 6) AS mean_f1, round(stddev_pop(f1) OVER (), 6) AS std_f1 FROM f1""")
+def q_cross_validate_bayes(spark, sf_dir):
+    """Weighted F1 of naive Bayes on five stratified folds of the corpus."""
+    from ..operators.training import cross_validate as folds_of
+
+    cv = folds_of(_corpus_features(spark, sf_dir), FEATS, "text_label", "ID", "GaussianNB", 5)
+    rows = [(i, round(f, 6), round(cv["mean"], 6), round(cv["std"], 6)) for i, f in enumerate(cv["all"])]
+    return spark.createDataFrame(rows, "fold int, f1 double, mean_f1 double, std_f1 double")
+
+
+@query("tune_bayes", f"""WITH {_bayes_folds_sql()}
+SELECT 'var_smoothing=' || CASE v WHEN 1e-9 THEN '1e-09' WHEN 1e-8 THEN '1e-08' ELSE '1e-07' END AS params,
+       round(avg(f1), 6) AS mean_f1, round(stddev_pop(f1), 6) AS std_f1 FROM f1 GROUP BY v""")
+def q_tune_bayes(spark, sf_dir):
+    """Mean and deviation of weighted F1 for every smoothing in the grid of naive Bayes."""
+    from ..operators.training import search
+
+    found = search(_corpus_features(spark, sf_dir), FEATS, "text_label", "ID", "GaussianNB", "grid", 5)
+    rows = [(", ".join(f"{k}={v}" for k, v in params.items()), round(mean, 6), round(std, 6)) for params, mean, std in found]
+    return spark.createDataFrame(rows, "params string, mean_f1 double, std_f1 double")
