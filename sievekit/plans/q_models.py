@@ -113,21 +113,27 @@ def q_fit_gaussian_nb(spark, sf_dir):
     return predict_gaussian_nb(df, state, FEATS).select("ID", "prediction")
 
 
-def _knn_sql(k: int = 5) -> str:
+def _knn_sql(k: int = 5, plain: bool = False) -> str:
+    """``plain``: features and distances as they are, not rounded, and labels
+    coded 0, 1, 2 in the order of their names."""
     from .corpus import scored_corpus_sql
     from .q_splits import STRATIFIED_SPLIT_SQL
 
     fs = FEATS
     stats = ", ".join(f"avg(CAST({c} AS DOUBLE)) AS mu_{c}, stddev_pop(CAST({c} AS DOUBLE)) AS sd_{c}" for c in fs)
-    scaled = ", ".join(f"round((CAST({c} AS DOUBLE) - mu_{c}) / CASE WHEN sd_{c} = 0 THEN 1 ELSE sd_{c} END, 9) AS {c}"
-                       for c in fs)
+    one = lambda c: f"(CAST({c} AS DOUBLE) - mu_{c}) / CASE WHEN sd_{c} = 0 THEN 1 ELSE sd_{c} END"
+    scaled = ", ".join(f"{one(c)} AS {c}" if plain else f"round({one(c)}, 9) AS {c}" for c in fs)
+    source = scored_corpus_sql()
+    if plain:
+        raw = sql_features("Payload")
+        source = f"(SELECT ID, 3 - Label AS Label, {', '.join(f'{raw[c]} AS {c}' for c in fs)} FROM {CORPUS_SQL})"
     dist = "0.0"
     for c in fs:
         dist = f"({dist} + (q.{c} - t.{c}) * (q.{c} - t.{c}))"
     order = ", ".join(f"t.{c}" for c in fs)
     return f"""
 WITH sp AS ({STRATIFIED_SPLIT_SQL}),
-f AS (SELECT s.ID, s.Label, {', '.join('s.' + c for c in fs)}, sp.split FROM {scored_corpus_sql()} s JOIN sp USING (ID)),
+f AS (SELECT s.ID, s.Label, {', '.join('s.' + c for c in fs)}, sp.split FROM {source} s JOIN sp USING (ID)),
 st AS (SELECT {stats} FROM f WHERE split = 'train'),
 sc AS (SELECT ID, Label, split, {scaled} FROM f, st),
 tv AS (SELECT {', '.join(fs)}, Label, count(*) AS w FROM sc WHERE split = 'train' GROUP BY ALL),
@@ -283,3 +289,39 @@ def q_tune_bayes(spark, sf_dir):
     found = search(_corpus_features(spark, sf_dir), FEATS, "text_label", "ID", "GaussianNB", "grid", 5)
     rows = [(", ".join(f"{k}={v}" for k, v in params.items()), round(mean, 6), round(std, 6)) for params, mean, std in found]
     return spark.createDataFrame(rows, "params string, mean_f1 double, std_f1 double")
+
+
+def _weighted_sql(pairs: str, model: str) -> str:
+    """One metrics row of CTE ``pairs`` (y, z)."""
+    return f"""
+c AS (SELECT k.cls, count(*) FILTER (WHERE y = k.cls) AS s, count(*) FILTER (WHERE z = k.cls) AS pr, count(*) FILTER (WHERE y = k.cls AND z = k.cls) AS tp
+      FROM {pairs}, (VALUES ('Normal'), ('SQLi'), ('XSS')) k(cls) GROUP BY k.cls)
+SELECT '{model}' AS model, sum(tp) / sum(s) AS accuracy, sum(s * CASE WHEN pr = 0 THEN 0 ELSE tp / pr END) / sum(s) AS precision,
+       sum(s * CASE WHEN s = 0 THEN 0 ELSE tp / s END) / sum(s) AS recall,
+       sum(s * CASE WHEN s + pr = 0 THEN 0 ELSE 2.0 * tp / (s + pr) END) / sum(s) AS f1 FROM c"""
+
+
+def _holdout_bayes_sql(var_smoothing: float = 1e-9) -> str:
+    from .q_splits import STRATIFIED_SPLIT_SQL
+
+    f = sql_features("Payload")
+    feats = ", ".join(f"CAST({f[c]} AS DOUBLE) AS {c}" for c in FEATS)
+    mus = ", ".join(f"avg({c}) AS mu_{c}, var_pop({c}) AS var_{c}" for c in FEATS)
+    most = "greatest(" + ", ".join(f"(SELECT var_pop({c}) FROM b WHERE split = 'train')" for c in FEATS) + ")"
+    ll = " + ".join(f"(-0.5 * ln(2 * pi() * (var_{c} + eps)) - ({c} - mu_{c}) * ({c} - mu_{c}) / (2 * (var_{c} + eps)))" for c in FEATS)
+    return f"""WITH sp AS ({STRATIFIED_SPLIT_SQL}),
+b AS (SELECT ID, text_label, split, {feats} FROM {CORPUS_SQL} c JOIN sp USING (ID)),
+st AS (SELECT text_label AS cls, count(*) / (SELECT count(*) FROM b WHERE split = 'train') AS prior, {mus}, {most} * {var_smoothing} AS eps
+       FROM b WHERE split = 'train' GROUP BY text_label),
+sc AS (SELECT ID, text_label AS y, cls, ln(prior) + {ll} AS ll FROM b, st WHERE split = 'test'),
+pz AS (SELECT ID, y, arg_max(cls, ll) AS z FROM sc GROUP BY ID, y),{_weighted_sql('pz', 'GaussianNB')}"""
+
+
+@query("compare_bayes", _holdout_bayes_sql())
+def q_compare_bayes(spark, sf_dir):
+    """Hold-out metrics of naive Bayes (train split -> test split)."""
+    return compare_models(spark, sf_dir, ["GaussianNB"])
+
+
+ORACLE["compare_knn"] = f"""WITH v0 AS ({_knn_sql(plain=True)}),
+pz AS (SELECT c.text_label AS y, CASE v0.prediction WHEN 2 THEN 'XSS' WHEN 1 THEN 'SQLi' ELSE 'Normal' END AS z FROM v0 JOIN {CORPUS_SQL} c USING (ID)),{_weighted_sql('pz', 'KNN')}"""
