@@ -6,17 +6,19 @@ canonical URL that is not later, check that the validators agree (entity tags
 by weak comparison, or else the modification dates), and merge the headers a
 304 answer may update into the stored ones.
 
-The as-of join never gathers one URL in a task. Time is cut at quantiles into
-slots of about ``SLOT_ROWS`` records; the last response of every (URL, slot)
-is pre-aggregated, carried over to later slots through a window over those few
-summaries, and only records of one URL *and* slot meet in a window.
+URLs of at most ``slot_rows`` records are resolved by a window each. The records
+of larger ones, if there are any, are range-partitioned by URL, time and id, and
+their responses and revisits are numbered by running sums over the partitions as
+they lie: a revisit's response is the one that has the number reached there.
+Revisits of one response go to it in runs of ``slot_rows``, so no group grows with
+the data, not even where all records of a URL have one time.
 
 Columns of ``records``: ``record_id``, ``kind`` (``response`` or ``revisit``),
 ``url``, ``ts``, ``headers`` (map), and any others.
 
 Edge cases: a null URL or time never matches; null headers are none. Header
 names compare without case, the last of equal names wins. Records of equal time
-are ordered by ``record_id``; a response of the same time but larger id doesn't
+are ordered by ``record_id``; a response of the same time but no smaller id doesn't
 count. Equal rows each give a row. Extra columns are ignored. A revisit without
 earlier response is ``no_response``, one whose validators differ or are missing
 on either side is ``validator_mismatch``; both have null ``response_id``. An
@@ -28,6 +30,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievekit.llm.common import cut
+from sievekit.operators.prefix import running_sum
+
 #: fixed values: fields that a 304 answer doesn't update (HTTP caching, RFC 9111 section 3.2)
 KEPT_FIELDS = (
     "connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive",
@@ -73,35 +78,44 @@ def merged_headers(revisit: Column, response: Column) -> Column:
     return F.map_concat(F.map_filter(response, lambda k, _: ~F.map_contains_key(news, k)), news)
 
 
+def _asof(rows: DataFrame, response: Column) -> DataFrame:
+    """Revisits with the last response before them, a window per URL."""
+    before = Window.partitionBy("canonical").orderBy("ts", "record_id", F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("response", F.last(response, ignorenulls=True).over(before)).where("kind = 'revisit'")
+    return out.select("record_id", "canonical", "headers", "response")
+
+
+def _asof_hot(rows: DataFrame, n_rows: int, slot_rows: int) -> DataFrame:
+    """The same for URLs of any size."""
+    spark = rows.sparkSession
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // slot_rows))
+    marked = rows.withColumns({"a": (F.col("kind") == "response").cast("long"), "b": (F.col("kind") == "revisit").cast("long")})
+    order = [F.col("ts").asc(), F.col("record_id").asc(), F.col("kind").desc()]
+    numbered = running_sum(marked, ["canonical"], order, ["a", "b"], partitions)
+    run = F.floor(F.col("cum_b") / slot_rows)
+    revisits = numbered.where("b = 1").select("record_id", "canonical", "headers", F.col("cum_a").alias("nth"), run.alias("run"))
+    asked = revisits.select("canonical", "nth", "run").distinct()
+    responses = numbered.where("a = 1").select("canonical", F.col("cum_a").alias("nth"), F.struct("ts", "record_id", "headers").alias("response"))
+    answers = asked.join(responses, ["canonical", "nth"])
+    return revisits.join(answers, ["canonical", "nth", "run"], "left").select("record_id", "canonical", "headers", "response")
+
+
 def resolve(records: DataFrame, slot_rows: int = SLOT_ROWS) -> DataFrame:
     """Per revisit: ``record_id``, ``canonical``, ``status`` (``resolved``,
     ``no_response``, ``validator_mismatch``), ``response_id``, ``headers``."""
     rows = records.select(
         "record_id", "kind", "ts", canonical_url(F.col("url")).alias("canonical"), _lower_names(F.col("headers")).alias("headers")
     )
-    n = max(1, rows.count() // slot_rows)
-    moment = F.unix_micros(F.col("ts").cast("timestamp"))
-    edges = []
-    if n > 1:
-        edges = sorted(set(rows.select(moment.alias("m")).where("m IS NOT NULL").approxQuantile("m", [k / n for k in range(1, n)], 0.1 / n)))
-    slot = F.aggregate(F.array(*[F.lit(int(e)) for e in edges]), F.lit(0), lambda acc, e: acc + (moment > e).cast("int")) if edges else F.lit(0)
     usable = F.col("ts").isNotNull() & F.col("canonical").isNotNull()
-    rows = rows.withColumn("slot", slot)
-    # the responses' keys only: a response is fetched by its id at the end
+    known = rows.where(usable & F.col("kind").isin("response", "revisit"))
+    hot = cut(known.groupBy("canonical").agg(F.count(F.lit(1)).alias("n_url")).where(F.col("n_url") > slot_rows))
+    n_hot = hot.agg(F.sum("n_url")).first()[0]
     last = F.when(F.col("kind") == "response", F.struct("ts", "record_id", "headers"))
-    summary = rows.where(usable & (F.col("kind") == "response")).groupBy("canonical", "slot").agg(F.max(F.struct("ts", "record_id")).alias("top"), F.max_by("headers", F.struct("ts", "record_id")).alias("h"))
-    summary = summary.select("canonical", "slot", F.struct(F.col("top.ts").alias("ts"), F.col("top.record_id").alias("record_id"), F.col("h").alias("headers")).alias("last"))
-    # slots in which a URL has a revisit, with the last response of an earlier slot
-    asked = rows.where(usable & (F.col("kind") == "revisit")).select("canonical", "slot").distinct().withColumn("last", F.lit(None).cast(summary.schema["last"].dataType)).withColumn("asks", F.lit(1))
-    steps = summary.withColumn("asks", F.lit(0)).unionByName(asked)
-    before = Window.partitionBy("canonical").orderBy("slot").rangeBetween(Window.unboundedPreceding, -1)
-    carried = steps.withColumn("carried", F.last("last", ignorenulls=True).over(before)).where("asks = 1").select("canonical", "slot", "carried")
-    within = Window.partitionBy("canonical", "slot").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    found = (
-        rows.where(usable).withColumn("own", F.last(last, ignorenulls=True).over(within)).where("kind = 'revisit'")
-        .join(carried, ["canonical", "slot"], "left")
-        .select("record_id", "canonical", "headers", F.coalesce("own", "carried").alias("response"))
-    )
+    if n_hot:
+        dealt = known.join(hot, "canonical", "left")
+        found = _asof(dealt.where("n_url IS NULL"), last).unionByName(_asof_hot(dealt.where("n_url IS NOT NULL").drop("n_url"), n_hot, slot_rows))
+    else:
+        found = _asof(known, last)
     never = rows.where(~F.coalesce(usable, F.lit(False)) & (F.col("kind") == "revisit")).select("record_id", "canonical", "headers", F.lit(None).cast(found.schema["response"].dataType).alias("response"))
     out = found.unionByName(never)
     fits = same_validators(F.col("headers"), F.col("response.headers"))

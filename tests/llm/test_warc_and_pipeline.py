@@ -52,6 +52,20 @@ def test_revisits_equal_brute_force(spark, slot_rows):
     assert warc_revisit.resolve(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_one_url_with_ten_thousand_equal_times(spark):
+    tag = {"ETag": '"1"'}
+    rows = [(i, "response" if i % 997 == 3 else "revisit", "hot.org/a", DAY, tag, "") for i in range(10_000)]
+    rows += [(20_000 + i, k, "cold.org", DAY, tag, "") for i, k in enumerate(["revisit", "response", "revisit"])]
+    got = {r.record_id: r.response_id for r in warc_revisit.resolve(spark.createDataFrame(rows, SCHEMA), 100).collect()}
+    want, last = {}, None
+    for i, kind, *_ in rows[:10_000]:
+        if kind == "response":
+            last = i
+        else:
+            want[i] = last
+    assert got == want | {20_000: None, 20_002: 20_001}
+
+
 def test_canonical_urls(spark):
     cases = {
         "HTTP://www.Example.com:80/a/?b=2&utm_source=x&a=1#top": "example.com/a?a=1&b=2",
