@@ -236,7 +236,9 @@ def links(fps: DataFrame, distance: int = DISTANCE, hot_rows: int = HOT_ROWS) ->
     fp = F.col("fp")
     dealt = fps.select(fp, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), _value(fp, bits).alias("v")) for i, bits in enumerate(blocks)])).alias("k")).select("fp", "k.i", "k.v")
     # at most (distance + 1) * 2**13 block values exist, whatever the input
-    hot = [(r["i"], r["v"]) for r in dealt.groupBy("i", "v").count().where(F.col("count") > hot_rows).select("i", "v").collect()]
+    large = dealt.groupBy("i", "v").count().where(F.col("count") > hot_rows).collect()
+    hot = [(r["i"], r["v"]) for r in large]
+    rows = len(blocks) * (fps.count() + sum(r["count"] for r in large))
     key = F.xxhash64("i", "v")
     keyed, paired = dealt, 0
     if hot:
@@ -253,7 +255,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, hot_rows: int = HOT_ROWS) ->
         keyed = keyed.where(~is_hot).select("fp", key.alias("key")).unionByName(split)
     else:
         keyed = keyed.select("fp", key.alias("key"))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-paired // hot_rows))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-(rows + paired) // hot_rows))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
