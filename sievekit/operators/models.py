@@ -15,10 +15,9 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
-    RandomForestClassifier,
+    DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier,
 )
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -28,6 +27,8 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kernel import LandmarkKernel
+from .mlp import AdamPerceptron
 from .scale import fit_scaler
 
 
@@ -73,47 +74,12 @@ class FeatureScalerModel(Model, _ScalerParams, DefaultParamsReadable, DefaultPar
                                     for c, m, s in zip(cols, cs, ss)})
 
 
-# ------------------------------------------------------------------ RBF features
-class RandomFourierFeatures(Transformer, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
-    """Approximate RBF kernel map (Rahimi & Recht 2007): ``dim`` columns
-    sqrt(2/D) cos(w.x + b), w ~ N(0, 2 gamma), b ~ U(0, 2 pi). Weights are
-    drawn on the driver from a seed (dim x inputs numbers) and applied as
-    literal expressions, so the map stays in codegen."""
-
-    gamma = Param(Params._dummy(), "gamma", "kernel width", typeConverter=TypeConverters.toFloat)
-    dim = Param(Params._dummy(), "dim", "number of features", typeConverter=TypeConverters.toInt)
-    seed = Param(Params._dummy(), "seed", "random seed", typeConverter=TypeConverters.toInt)
-    outputPrefix = Param(Params._dummy(), "outputPrefix", "output column prefix", typeConverter=TypeConverters.toString)
-
-    @keyword_only
-    def __init__(self, inputCols=None, gamma=0.1, dim=64, seed=42, outputPrefix="rff_"):
-        super().__init__()
-        self._setDefault(gamma=0.1, dim=64, seed=42, outputPrefix="rff_")
-        self._set(**self._input_kwargs)
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        import numpy as np
-
-        cols = self.getInputCols()
-        d, g = self.getOrDefault("dim"), self.getOrDefault("gamma")
-        rng = np.random.default_rng(self.getOrDefault("seed"))
-        w = rng.normal(0.0, math.sqrt(2.0 * g), size=(d, len(cols)))
-        b = rng.uniform(0.0, 2 * math.pi, size=d)
-        amp = math.sqrt(2.0 / d)
-        pre = self.getOrDefault("outputPrefix")
-        new = {}
-        for i in range(d):
-            lin = sum((F.col(c).cast("double") * float(w[i, j]) for j, c in enumerate(cols)), F.lit(float(b[i])))
-            new[f"{pre}{i}"] = F.lit(amp) * F.cos(lin)
-        return dataset.withColumns(new)
-
-
 # ------------------------------------------------------------------ registry
 @dataclass
 class ModelSpec:
     """``build(n_train, **params)`` makes the classifier; ``grid`` lists the
     parameters that tuning tries. A ``kernel`` of ``rbf`` (default of a spec
-    with ``rbf``) puts the random features in front."""
+    with ``rbf``) puts the landmark features in front."""
 
     name: str
     build: Callable[..., object]
@@ -136,12 +102,12 @@ SVM_MAX_ITER = 10_000
 
 
 def _svm(n: int, C: float = 1.0, kernel: str = "rbf"):  # noqa: N803
-    return OneVsRest(classifier=LinearSVC(regParam=1.0 / (C * max(n, 1)), maxIter=SVM_MAX_ITER, tol=1e-3), parallelism=4)
+    return OneVsRest(classifier=LinearSVC(regParam=1.0 / (C * max(n, 1)), maxIter=SVM_MAX_ITER, tol=1e-3, standardization=False), parallelism=4)
 
 
 def _mlp(n: int, hidden: Sequence[int] = (128, 64)):
     # the layer sizes are completed in build_pipeline, which knows inputs and classes
-    return MultilayerPerceptronClassifier(maxIter=300, seed=42, blockSize=128, tol=1e-4, layers=[1, *hidden, 1])
+    return AdamPerceptron(layers=[1, *hidden, 1])
 
 
 # fixed values: the model names and tuning grids of the original. Unlimited
@@ -237,18 +203,16 @@ def index_labels(df: DataFrame, label: str, out: str = "label_idx"):
 
 def build_pipeline(spec: ModelSpec, features: Sequence[str], n_train: int, n_classes: int,
                    scaler: str = "standard", label_col: str = "label_idx", params: dict | None = None) -> Pipeline:
-    """Scaler (fitted inside each fit) -> optional RBF map -> assembler -> classifier."""
+    """Scaler (fitted inside each fit) -> assembler or landmark kernel -> classifier."""
     feats, params = list(features), dict(params or {})
     stages = [FeatureScaler(inputCols=feats, method=scaler)] if scaler else []
-    vec_in = feats
     if params.get("kernel", "rbf" if spec.rbf else "linear") == "rbf":
-        rff = RandomFourierFeatures(inputCols=feats, gamma=1.0 / len(feats), dim=64, seed=42)
-        stages.append(rff)
-        vec_in = [f"rff_{i}" for i in range(64)]
-    stages.append(VectorAssembler(inputCols=vec_in, outputCol="features", handleInvalid="keep"))
+        stages.append(LandmarkKernel(inputCols=feats, outputCol="features", gamma=1.0 / len(feats)))
+    else:
+        stages.append(VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep"))
     est = spec.build(n_train, **params)
-    if isinstance(est, MultilayerPerceptronClassifier):
-        est = est.setLayers([len(vec_in), *est.getLayers()[1:-1], n_classes])
+    if isinstance(est, AdamPerceptron):
+        est = est.setLayers([len(feats), *est.getLayers()[1:-1], n_classes])
     est = est.setFeaturesCol("features").setLabelCol(label_col)
     if isinstance(est, OneVsRest) and spec.probabilistic:
         est = MarginCalibration(est.setRawPredictionCol("rawPrediction"))
