@@ -3,7 +3,8 @@
 X1 estimates mutual information from a contingency table over exact
 quantile bins (one long-form pass for all features; the deviation from the
 k-nearest-neighbour estimator is documented). X2-X4 use MLlib random forest
-importances; X5 centres the features before MLlib PCA (MLlib does not).
+importances over rows laid out by their hash, as MLlib seeds its bags by partition;
+X5 centres the features before MLlib PCA (MLlib does not).
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import reliable_checkpoint
 from .quantiles import exact_quantiles, unpivot_numeric
 
 
@@ -55,8 +57,25 @@ def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(df)
 
 
+#: rows of a partition of ``laid_out``, about
+LAYOUT_ROWS = 25_000
+
+
+def laid_out(df: DataFrame, cols: Sequence[str], rows: int = LAYOUT_ROWS) -> DataFrame:
+    """``cols`` of ``df`` in partitions of about ``rows`` rows, which depend on the
+    rows alone: dealt by hash and sorted. Equal rows are counted first and
+    numbered, so copies spread like any others."""
+    equal = reliable_checkpoint(df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__c")))
+    n = equal.agg(F.sum("__c")).first()[0] or 0
+    one = equal.withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("long"), "__c")))
+    dealt = one.repartition(max(1, -(-n // rows)), F.xxhash64(*cols, "__nth"))
+    return dealt.sortWithinPartitions(*cols, "__nth").select(*cols)
+
+
 def rf_importances(df: DataFrame, features: Sequence[str], label: str, trees: int = 100, seed: int = 42) -> DataFrame:
-    """Normalised importances (sum 1), descending."""
+    """Normalised importances (sum 1), descending; the same however the
+    rows of ``df`` are partitioned."""
+    df = laid_out(df, [label, *features])
     model = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, seed=seed,
                                    maxDepth=30).fit(_assembled(df, features))
     imp = model.featureImportances.toArray().tolist()

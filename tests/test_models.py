@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievekit.functions.dialect import FEATURE_COLUMNS
 from sievekit.operators.models import fit_gaussian_nb, predict_gaussian_nb
-from sievekit.operators.select import rf_importances, select_from_model
+from sievekit.operators.select import laid_out, rf_importances, select_from_model
 from sievekit.plans.training import compare_models, score_batch
 
 from conftest import SF001
@@ -59,3 +59,13 @@ def test_score_batch_fields(spark):
         assert sum(r["probabilities"].values()) == pytest.approx(100.0, abs=0.2)
         assert r["severity"] in ("CRITICAL", "HIGH", "SAFE")
         assert all(math.isfinite(r[c]) for c in FEATS)
+
+
+def test_importances_do_not_depend_on_partitioning(spark):
+    rows = [(i % 3, float(i % 3 + (i * 37 % 11) / 4), float(i * 53 % 29), float(i % 5)) for i in range(400)] + [(1, 1.0, 1.0, None)] * 300
+    df = spark.createDataFrame(rows, "label int, a double, b double, c double").fillna(0.0)
+    ask = lambda d: [tuple(r) for r in rf_importances(d, ["a", "b", "c"], "label", trees=8).collect()]
+    one = ask(df.coalesce(1))
+    assert one == ask(df.repartition(8)) and one[0][0] == "a"
+    sizes = [r["n"] for r in laid_out(df, df.columns, 50).groupBy(F.spark_partition_id()).agg(F.count("label").alias("n")).collect()]
+    assert sum(sizes) == 700 and max(sizes) < 120
