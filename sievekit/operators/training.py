@@ -259,7 +259,7 @@ def score(payloads: DataFrame, fitted: Fitted, payload: str = "payload", severit
     """The input's columns, then preview, label, confidence and
     probabilities in percent (if the model gives any), severity, and the
     payload's features."""
-    feats = add_payload_features(payloads, payload)
+    feats = add_payload_features(payloads, payload, counted=True)
     pred = fitted.transform(feats, key)
     names = F.array(*[F.lit(x) for x in fitted.labels])
     pred = pred.withColumn("label", F.element_at(names, F.col("prediction").cast("int") + 1))

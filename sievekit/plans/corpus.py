@@ -50,7 +50,7 @@ def scored_corpus(spark: SparkSession, sf_dir: str, several_passes: bool = False
     from ..operators.features import add_payload_features
     from ..session import reliable_checkpoint
 
-    f = add_payload_features(labelled_corpus(spark, sf_dir), "Payload")
+    f = add_payload_features(labelled_corpus(spark, sf_dir), "Payload", counted=True)
     ent = F.round("payload_entropy", 6)
     length = F.greatest(F.col("payload_len"), F.lit(1)).cast("double")
     z_xss = F.col("kw_xss") * 2.0 + F.round(F.col("special_char_cnt") / length * 10.0, 2)

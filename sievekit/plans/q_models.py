@@ -107,7 +107,7 @@ def q_fit_gaussian_nb(spark, sf_dir):
     from ..session import reliable_checkpoint
 
     # fit (two aggregates) and predict both read the features: compute them once
-    df = reliable_checkpoint(add_payload_features(labelled_corpus(spark, sf_dir), "Payload").select(
+    df = reliable_checkpoint(add_payload_features(labelled_corpus(spark, sf_dir), "Payload", counted=True).select(
         "ID", "text_label", *[F.col(c).cast("double").alias(c) for c in FEATS]))
     state = fit_gaussian_nb(df, FEATS, "text_label")
     return predict_gaussian_nb(df, state, FEATS).select("ID", "prediction")
@@ -265,7 +265,7 @@ def _corpus_features(spark, sf_dir):
     from ..operators.training import for_fitting
     from .corpus import labelled_corpus
 
-    return for_fitting(add_payload_features(labelled_corpus(spark, sf_dir), "Payload").select("ID", "text_label", *FEATS))
+    return for_fitting(add_payload_features(labelled_corpus(spark, sf_dir), "Payload", counted=True).select("ID", "text_label", *FEATS))
 
 
 @query("cross_validate_bayes", f"""WITH {_bayes_folds_sql((1e-9,))}

@@ -34,7 +34,7 @@ def feature_table(spark: SparkSession, sf_dir: str, seed: int = 42) -> DataFrame
     split looks at keys and labels only; features are computed once, above it."""
     keys = stratified_split(labelled_corpus(spark, sf_dir).select("ID", "text_label"), "text_label", "ID", 0.2, seed=seed)
     corpus = labelled_corpus(spark, sf_dir).drop("text_label").join(keys, "ID")
-    return add_payload_features(corpus, "Payload")
+    return add_payload_features(corpus, "Payload", counted=True)
 
 
 def _prepared(spark, sf_dir):
@@ -99,7 +99,7 @@ def score_batch(spark: SparkSession, sf_dir: str, payloads: DataFrame, name: str
 def prediction_audit(spark: SparkSession, sf_dir: str, name: str = "GaussianNB") -> DataFrame:
     """Every payload of the corpus with label, prediction and error flag."""
     corpus = labelled_corpus(spark, sf_dir).select("ID", "text_label", F.col("Payload").alias("payload"))
-    train = tr.for_fitting(add_payload_features(corpus, "payload").select("ID", "text_label", *FEATS))
+    train = tr.for_fitting(add_payload_features(corpus, "payload", counted=True).select("ID", "text_label", *FEATS))
     scored = tr.score(corpus, tr.fit(train, FEATS, "text_label", name))
     return tr.audit(scored, "text_label")
 
