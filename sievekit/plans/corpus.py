@@ -43,14 +43,16 @@ CORPUS_SQL = """(
 # evaluation, aggregation and ordering queries, so those are value-checkable
 # without a trained model.
 # ---------------------------------------------------------------------------
-def scored_corpus(spark: SparkSession, sf_dir: str, several_passes: bool = False) -> DataFrame:
+def scored_corpus(spark: SparkSession, sf_dir: str, several_passes: bool = False,
+                  counted: bool | None = None) -> DataFrame:
     """The narrow scored table (no text). It is lazy, so a single-pass summary
     computes only the features it reads; an operator that takes several
-    passes asks for ``several_passes`` and gets it materialised once."""
+    passes asks for ``several_passes`` and gets it materialised once. ``counted``
+    (by default where it is materialised) takes the features from one Arrow pass."""
     from ..operators.features import add_payload_features
     from ..session import reliable_checkpoint
 
-    f = add_payload_features(labelled_corpus(spark, sf_dir), "Payload", counted=True)
+    f = add_payload_features(labelled_corpus(spark, sf_dir), "Payload", counted=several_passes if counted is None else counted)
     ent = F.round("payload_entropy", 6)
     length = F.greatest(F.col("payload_len"), F.lit(1)).cast("double")
     z_xss = F.col("kw_xss") * 2.0 + F.round(F.col("special_char_cnt") / length * 10.0, 2)

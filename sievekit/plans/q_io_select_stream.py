@@ -79,7 +79,7 @@ def q_mutual_information_knn(spark, sf_dir):
     with the class."""
     from ..operators.neighbours import mutual_information_knn
 
-    s = scored_corpus(spark, sf_dir).select("Label", *FEATS)
+    s = scored_corpus(spark, sf_dir, counted=True).select("Label", *FEATS)
     return mutual_information_knn(s, FEATS, "Label").withColumn("mi", F.round("mi", 6))
 
 

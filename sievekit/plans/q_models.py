@@ -192,7 +192,7 @@ def q_tree_splits(spark, sf_dir):
     from ..operators.cart import split_table
     from .corpus import scored_corpus
 
-    t = split_table(scored_corpus(spark, sf_dir).select("Label", *FEATS), FEATS, "Label")
+    t = split_table(scored_corpus(spark, sf_dir, counted=True).select("Label", *FEATS), FEATS, "Label")
     return t.select("feature", F.round("threshold", 6).alias("threshold"), "n_left", "n_right", F.round("gini", 6).alias("gini"))
 
 

@@ -57,5 +57,5 @@ def test_counted_features_equal_the_expressions(spark):
 
 
 def test_corpus_counts_characters_once(spark):
-    plan = scored_corpus(spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    plan = scored_corpus(spark, SF001, counted=True)._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "replace(" not in plan
