@@ -18,6 +18,7 @@ from ..operators.features import add_payload_features
 from ..operators.models import DEFAULT_MODELS, ModelSpec, index_labels
 from ..operators.select import pca_project
 from ..operators.splits import n_splits_for, stratified_split
+from ..session import reliable_checkpoint
 from ..sources.io import scratch_path
 from .corpus import labelled_corpus
 
@@ -30,11 +31,13 @@ REGULARISED = ModelSpec(
 
 
 def feature_table(spark: SparkSession, sf_dir: str, seed: int = 42) -> DataFrame:
-    """ID, Payload, text_label, seven features, split ('train'/'test'). The
-    split looks at keys and labels only; features are computed once, above it."""
-    keys = stratified_split(labelled_corpus(spark, sf_dir).select("ID", "text_label"), "text_label", "ID", 0.2, seed=seed)
-    corpus = labelled_corpus(spark, sf_dir).drop("text_label").join(keys, "ID")
-    return add_payload_features(corpus, "Payload", counted=True)
+    """ID, text_label, seven features, split ('train'/'test'). The features are made
+    first, one pass over the text as it is read, and kept without it: the split looks
+    at keys and labels only, and no text is shuffled."""
+    corpus = add_payload_features(labelled_corpus(spark, sf_dir), "Payload", counted=True)
+    narrow = reliable_checkpoint(corpus.select("ID", "text_label", *FEATS))
+    keys = stratified_split(narrow.select("ID", "text_label"), "text_label", "ID", 0.2, seed=seed)
+    return narrow.drop("text_label").join(keys, "ID")
 
 
 def _prepared(spark, sf_dir):
