@@ -16,9 +16,7 @@ from dataclasses import dataclass, field
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier,
-)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -27,6 +25,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .forest import BinnedForest
 from .kernel import LandmarkKernel
 from .mlp import AdamPerceptron
 from .scale import fit_scaler
@@ -111,17 +110,17 @@ def _mlp(n: int, hidden: Sequence[int] = (128, 64)):
 
 
 # fixed values: the model names and tuning grids of the original. Unlimited
-# depth is MLlib's largest, 30; minimal split sizes 2, 5, 10 are leaf sizes 1, 2, 5.
+# depth is 30, MLlib's largest; minimal split sizes 2, 5, 10 are leaf sizes 1, 2, 5.
 DEFAULT_MODELS: dict[str, ModelSpec] = {
     "LogisticRegression": ModelSpec("LogisticRegression", _lr, [{"C": c} for c in (0.01, 0.1, 1, 10, 100)]),
     "DecisionTree": ModelSpec(
         "DecisionTree",
-        lambda n, maxDepth=30, minInstancesPerNode=1: DecisionTreeClassifier(
-            maxDepth=maxDepth, minInstancesPerNode=minInstancesPerNode, seed=42),
+        lambda n, maxDepth=30, minInstancesPerNode=1: BinnedForest(
+            numTrees=1, bootstrap=False, maxDepth=maxDepth, minInstancesPerNode=minInstancesPerNode),
         [{"maxDepth": d, "minInstancesPerNode": m} for d in (5, 10, 20, 30) for m in (1, 2, 5)]),
     "RandomForest": ModelSpec(
         "RandomForest",
-        lambda n, numTrees=200, maxDepth=30: RandomForestClassifier(numTrees=numTrees, maxDepth=maxDepth, seed=42),
+        lambda n, numTrees=200, maxDepth=30: BinnedForest(numTrees=numTrees, maxDepth=maxDepth, seed=42),
         [{"numTrees": t, "maxDepth": d} for t in (100, 200, 300) for d in (10, 20, 30)]),
     "KNN": ModelSpec("KNN", lambda n: None, [{"k": k} for k in (3, 5, 7, 11)], probabilistic=False),
     "SVM": ModelSpec("SVM", _svm, [{"C": c, "kernel": k} for c in (0.1, 1, 10) for k in ("rbf", "linear")], rbf=True),
