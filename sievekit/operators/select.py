@@ -11,13 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import reliable_checkpoint
+from .forest import BinnedForest
 from .quantiles import exact_quantiles, unpivot_numeric
 
 
@@ -75,9 +75,7 @@ def laid_out(df: DataFrame, cols: Sequence[str], rows: int = LAYOUT_ROWS) -> Dat
 def rf_importances(df: DataFrame, features: Sequence[str], label: str, trees: int = 100, seed: int = 42) -> DataFrame:
     """Normalised importances (sum 1), descending; the same however the
     rows of ``df`` are partitioned."""
-    df = laid_out(df, [label, *features])
-    model = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, seed=seed,
-                                   maxDepth=30).fit(_assembled(df, features))
+    model = BinnedForest(labelCol=label, featuresCol="features", numTrees=trees, seed=seed, maxDepth=30).fit(_assembled(df, features))
     imp = model.featureImportances.toArray().tolist()
     rows = [(f, float(v)) for f, v in zip(features, imp)]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(
