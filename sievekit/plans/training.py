@@ -6,7 +6,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +14,7 @@ from ..operators import training as tr
 from ..operators.aggregates import score_summary
 from ..operators.evaluate import classification_report, confusion_table, per_class_metrics, pr_curve, roc_auc
 from ..operators.features import add_payload_features
+from ..operators.forest import BinnedForest
 from ..operators.models import DEFAULT_MODELS, ModelSpec, index_labels
 from ..operators.select import pca_project
 from ..operators.splits import n_splits_for, stratified_split
@@ -27,7 +27,7 @@ FEATS = list(FEATURE_COLUMNS)
 #: T13's regularised forest: 150 trees, depth 6, leaves of 3
 REGULARISED = ModelSpec(
     "RandomForestRegularised",
-    lambda n: RandomForestClassifier(numTrees=150, maxDepth=6, minInstancesPerNode=3, seed=42))
+    lambda n: BinnedForest(numTrees=150, maxDepth=6, minInstancesPerNode=3, seed=42))
 
 
 def feature_table(spark: SparkSession, sf_dir: str, seed: int = 42) -> DataFrame:
