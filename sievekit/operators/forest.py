@@ -125,7 +125,14 @@ def _gains(hist: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     left = left[:, :, :-1]
     right = total - left
     a, b, n = left.sum(axis=3), right.sum(axis=3), total.sum(axis=3)
-    impurity = lambda c, m: 1.0 - ((c / np.maximum(m, 1)[..., None]) ** 2).sum(axis=3)
+
+    def impurity(c: np.ndarray, m: np.ndarray) -> np.ndarray:
+        out = np.ones(m.shape)
+        for i in range(c.shape[3]):  # class by class, as MLlib: splits of nearly equal gain then rank as there
+            share = c[..., i] / np.maximum(m, 1)
+            out -= share * share
+        return out
+
     gain = impurity(total, n) - a / np.maximum(n, 1) * impurity(left, a) - b / np.maximum(n, 1) * impurity(right, b)
     return np.where((a >= least) & (b >= least), gain, -1.0), left
 

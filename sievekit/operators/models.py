@@ -1,4 +1,4 @@
-"""Classifiers, tuning and cross-validation on MLlib.
+"""Classifiers, tuning and cross-validation on MLlib pipelines.
 
 * Every estimator is wrapped in a ``Pipeline`` (scaler -> assembler ->
   classifier) so scaling is fitted on training rows only (T11).

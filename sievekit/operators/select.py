@@ -2,9 +2,8 @@
 
 X1 estimates mutual information from a contingency table over exact
 quantile bins (one long-form pass for all features; the deviation from the
-k-nearest-neighbour estimator is documented). X2-X4 use MLlib random forest
-importances over rows laid out by their hash, as MLlib seeds its bags by partition;
-X5 centres the features before MLlib PCA (MLlib does not).
+k-nearest-neighbour estimator is documented). X2-X4 use the
+importances of binned forests, which don't depend on partitions; X5 centres the features before MLlib PCA (MLlib does not).
 """
 
 from __future__ import annotations
