@@ -380,16 +380,25 @@ class BinnedForest(Estimator, _Classes, DefaultParamsReadable, DefaultParamsWrit
         self._setDefault(numTrees=200, maxDepth=30, minInstancesPerNode=1, bootstrap=True, seed=42, localCells=LOCAL_CELLS)
         self._set(**self._input_kwargs)
 
-    def _fit(self, dataset: DataFrame) -> BinnedForestModel:
+    def prepare(self, dataset: DataFrame) -> tuple:
+        """What trees of any parameters are grown from: borders and cells of the rows."""
         ship(dataset.sparkSession)
         of = self.getOrDefault
         rows = dataset.where(F.col(of("labelCol")).isNotNull()).select(vector_to_array(of("featuresCol")).alias("x"), F.col(of("labelCol")).cast("int").alias("y"))
         about = rows.agg(F.count(F.lit(1)).alias("n"), F.max("y").alias("y"), F.max(F.size("x")).alias("width")).first()
         if not about["n"]:
             raise ValueError("no labelled row to learn from")
-        width, classes, trees = about["width"], about["y"] + 1, of("numTrees")
-        cuts = borders(rows, width, about["n"])
-        shards, cells = shards_of(rows, cuts, min(SHARD_CELLS, of("localCells")))
+        cuts = borders(rows, about["width"], about["n"])
+        return (cuts, about["y"] + 1, *shards_of(rows, cuts, min(SHARD_CELLS, of("localCells"))))
+
+    def _fit(self, dataset: DataFrame) -> BinnedForestModel:
+        return self.grown(self.prepare(dataset))
+
+    def grown(self, prepared: tuple) -> BinnedForestModel:
+        """The model on what ``prepare`` gave."""
+        of = self.getOrDefault
+        cuts, classes, shards, cells = prepared
+        width, trees = len(cuts), of("numTrees")
         k = width if trees == 1 else int(np.ceil(np.sqrt(width)))
         grown = grow_trees(shards, cells, width, classes, trees, of("maxDepth"), of("minInstancesPerNode"), k, of("bootstrap"), of("seed"), of("localCells"))
         share = np.zeros(width)
