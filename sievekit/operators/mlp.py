@@ -79,25 +79,50 @@ def forward(flat: np.ndarray, layers: Sequence[int], x: np.ndarray) -> tuple[lis
     return seen, z / z.sum(axis=1, keepdims=True)
 
 
+class _Work:
+    """Arrays that every minibatch of up to ``rows`` rows writes into."""
+
+    def __init__(self, layers: Sequence[int], rows: int):
+        self.out = [np.empty((rows, b)) for b in layers[1:]]
+        self.back = [np.empty((rows, b)) for b in layers[1:-1]]
+        self.on = [np.empty((rows, b), bool) for b in layers[1:-1]]
+        self.weights = [np.empty((a, b)) for a, b in zip(layers, layers[1:])]
+
+
 def loss_and_gradient(flat: np.ndarray, layers: Sequence[int], x: np.ndarray, y: np.ndarray, alpha: float) -> tuple[float, np.ndarray]:
     """Mean cross-entropy plus ``alpha / 2`` times the squared weights (not
     the biases) by the number of rows."""
-    n = len(x)
-    seen, p = forward(flat, layers, x)
-    loss = -np.log(np.maximum(p[np.arange(n), y], 1e-300)).mean()
     grad = np.empty_like(flat)
-    pairs, into = unpack(flat, layers), unpack(grad, layers)
-    d = p
-    d[np.arange(n), y] -= 1.0
+    return _step(unpack(flat, layers), unpack(grad, layers), _Work(layers, len(x)), x, y, alpha), grad
+
+
+def _step(pairs: list[tuple[np.ndarray, np.ndarray]], into: list[tuple[np.ndarray, np.ndarray]], work: _Work, x: np.ndarray, y: np.ndarray,
+          alpha: float) -> float:
+    """``loss_and_gradient`` on views of the weights and of the gradient."""
+    n, last, rows = len(x), len(pairs) - 1, np.arange(len(x))
+    seen = [x]
+    for k, (w, b) in enumerate(pairs):
+        z = np.matmul(seen[-1], w, out=work.out[k][:n])
+        z += b
+        seen.append(np.maximum(z, 0.0, out=z) if k < last else z)
+    d = seen.pop()
+    d -= d.max(axis=1, keepdims=True)
+    np.exp(d, out=d)
+    d /= d.sum(axis=1, keepdims=True)
+    loss = -np.log(np.maximum(d[rows, y], 1e-300)).mean()
+    d[rows, y] -= 1.0
     d /= n
-    for k in range(len(pairs) - 1, -1, -1):
-        w = pairs[k][0]
-        loss += 0.5 * alpha * float((w * w).sum()) / n
-        into[k][0][:] = seen[k].T @ d + alpha / n * w
-        into[k][1][:] = d.sum(axis=0)
+    for k in range(last, -1, -1):
+        w, square = pairs[k][0], work.weights[k]
+        loss += 0.5 * alpha * float(np.multiply(w, w, out=square).sum()) / n
+        np.matmul(seen[k].T, d, out=into[k][0])
+        into[k][0][:] += np.multiply(w, alpha / n, out=square)
+        d.sum(axis=0, out=into[k][1])
         if k:
-            d = (d @ w.T) * (seen[k] > 0)
-    return float(loss), grad
+            on = np.greater(seen[k], 0, out=work.on[k - 1][:n])
+            d = np.matmul(d, w.T, out=work.back[k - 1][:n])
+            d *= on
+    return float(loss)
 
 
 def train_epochs(state: np.ndarray, t: int, layers: Sequence[int], x: np.ndarray, y: np.ndarray, epochs: Sequence[int],
@@ -106,18 +131,29 @@ def train_epochs(state: np.ndarray, t: int, layers: Sequence[int], x: np.ndarray
     the given epochs; the new state and the mean loss of each epoch."""
     size = n_weights(layers)
     flat, m, v = (state[k * size : (k + 1) * size].copy() for k in range(3))
+    g, by, root = (np.empty(size) for _ in range(3))
+    pairs, into, work = unpack(flat, layers), unpack(g, layers), _Work(layers, min(batch, len(x)))
     losses = []
     for epoch in epochs:
         order = np.random.default_rng([seed, epoch, shard]).permutation(len(x))
+        xs, ys = x[order], y[order]
         total = 0.0
         for a in range(0, len(x), batch):
-            rows = order[a : a + batch]
-            loss, g = loss_and_gradient(flat, layers, x[rows], y[rows], alpha)
-            total += loss * len(rows)
+            some = ys[a : a + batch]
+            total += _step(pairs, into, work, xs[a : a + batch], some, alpha) * len(some)
             t += 1
-            m += (1 - BETA1) * (g - m)
-            v += (1 - BETA2) * (g * g - v)
-            flat -= RATE * math.sqrt(1 - BETA2**t) / (1 - BETA1**t) * m / (np.sqrt(v) + EPS)
+            np.subtract(g, m, out=by)
+            by *= 1 - BETA1
+            m += by
+            np.multiply(g, g, out=by)
+            by -= v
+            by *= 1 - BETA2
+            v += by
+            np.multiply(m, RATE * math.sqrt(1 - BETA2**t) / (1 - BETA1**t), out=by)
+            np.sqrt(v, out=root)
+            root += EPS
+            by /= root
+            flat -= by
         losses.append(total / len(x))
     return np.concatenate([flat, m, v]), losses
 
@@ -146,6 +182,12 @@ def shards_of(df: DataFrame, features: str, label: str, shard_rows: int, seed: i
     return reliable_checkpoint(packed), n, count
 
 
+def dealt(shards: DataFrame, tasks: int) -> DataFrame:
+    """The shards in ``tasks`` partitions. Their numbers are dense, so by range every
+    task gets about as many as the next; by hash the fullest would hold up every round."""
+    return shards.repartitionByRange(tasks, "shard")
+
+
 def _add(rows: Iterator[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray] | None:
     """Sum of whole-number states, and of the steps' numbers taken the largest."""
     total = steps = None
@@ -228,7 +270,7 @@ class AdamPerceptron(Estimator, _Layers, HasMaxIter, HasTol, HasSeed, DefaultPar
         layers, seed, most, step = self.getLayers(), of("seed"), of("maxIter"), of("roundEpochs")
         shards, n, count = shards_of(dataset, of("featuresCol"), of("labelCol"), of("shardRows"), seed)
         tasks = min(count, 2 * dataset.sparkSession.sparkContext.defaultParallelism)
-        shards = reliable_checkpoint(shards.repartition(tasks, "shard")) if count > 1 else shards.coalesce(1)
+        shards = reliable_checkpoint(dealt(shards, tasks)) if count > 1 else shards.coalesce(1)
         groups = math.isqrt(tasks)
         flat = start(layers, seed)
         state, t, curve = np.concatenate([flat, np.zeros(2 * len(flat))]), 0, []

@@ -97,3 +97,11 @@ def test_copies_spread_over_shards_and_gaps_are_zero(spark):
     assert (n, count, sum(sizes)) == (302, 7, 302) and max(sizes) < 100
     with pytest.raises(ValueError, match="no labelled row"):
         mlp.AdamPerceptron(layers=[2, 3, 2]).fit(table(spark, rows[-1:]))
+
+
+def test_every_task_gets_as_many_shards(spark):
+    rows = [(float(i), float(i % 7), i % 3) for i in range(4000)]
+    shards, _, count = mlp.shards_of(table(spark, rows), "features", "label", 100, 1)
+    assert count == 40
+    sizes = mlp.dealt(shards, 8).groupBy(F.spark_partition_id()).count().select("count").collect()
+    assert len(sizes) == 8 and max(r["count"] for r in sizes) <= 6
