@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector
@@ -85,11 +85,11 @@ class LandmarkKernelModel(Model, _Kernel, DefaultParamsReadable, DefaultParamsWr
         marks = np.array(self.getOrDefault("marks")).reshape(-1, width)
         root = np.array(self.getOrDefault("root")).reshape(len(marks), -1)
 
-        @F.pandas_udf("array<double>")
-        def phi(x: pd.Series) -> pd.Series:
-            if not len(x):
-                return pd.Series([], dtype=object)
-            return pd.Series(list(rbf(np.stack(x.to_numpy()).astype(float), marks, gamma) @ root))
+        @F.arrow_udf("array<double>")
+        def phi(x: pa.Array) -> pa.Array:
+            out = rbf(x.flatten().to_numpy().reshape(len(x), width), marks, gamma) @ root
+            ends = np.arange(len(x) + 1, dtype=np.int32) * out.shape[1]
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))
 
         return phi(_inputs(self.getInputCols()))
 

@@ -14,7 +14,7 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark import keyword_only
+from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
@@ -100,8 +100,13 @@ def _lr(n: int, C: float = 1.0):  # noqa: N803 - the parameter's public name
 SVM_MAX_ITER = 10_000
 
 
+#: beyond it the classes of a margin machine are fitted one after the other, as each fit holds all rows in memory
+ROWS_SIDE_BY_SIDE = 1_000_000
+
+
 def _svm(n: int, C: float = 1.0, kernel: str = "rbf"):  # noqa: N803
-    return OneVsRest(classifier=LinearSVC(regParam=1.0 / (C * max(n, 1)), maxIter=SVM_MAX_ITER, tol=1e-3, standardization=False), parallelism=4)
+    return OneVsRest(classifier=LinearSVC(regParam=1.0 / (C * max(n, 1)), maxIter=SVM_MAX_ITER, tol=1e-3, standardization=False),
+                     parallelism=4 if n <= ROWS_SIDE_BY_SIDE else 1)
 
 
 def _mlp(n: int, hidden: Sequence[int] = (128, 64)):
@@ -144,15 +149,30 @@ class MarginCalibration(Estimator, DefaultParamsReadable, DefaultParamsWritable)
     def _fit(self, dataset: DataFrame) -> PipelineModel:
         from functools import reduce
 
-        folded = dataset.withColumn("__cal", F.pmod(F.xxhash64(vector_to_array("features")), F.lit(self.FOLDS)))
-        raw = []
-        for f in range(self.FOLDS):
-            fitted = self.classifier.fit(folded.where(F.col("__cal") != f))
-            raw.append(fitted.transform(folded.where(F.col("__cal") == f)).select("label_idx", "rawPrediction"))
-        margins = reduce(DataFrame.unionByName, raw)
-        platt = LogisticRegression(featuresCol="rawPrediction", labelCol="label_idx", predictionCol="__platt",
-                                   rawPredictionCol="__platt_raw", family="multinomial", maxIter=200).fit(margins)
-        return PipelineModel([self.classifier.fit(dataset), platt])
+        # read by every fold and class: made once, and on disk, as each fit keeps its own blocks in memory
+        kept = dataset.select("features", "label_idx").persist(StorageLevel.DISK_ONLY)
+        try:
+            folded = kept.withColumn("__cal", F.pmod(F.xxhash64(vector_to_array("features")), F.lit(self.FOLDS)))
+            raw = []
+            for f in range(self.FOLDS):
+                fitted = self._fitted(folded.where(F.col("__cal") != f))
+                raw.append(fitted.transform(folded.where(F.col("__cal") == f)).select("label_idx", "rawPrediction"))
+            margins = reduce(DataFrame.unionByName, raw)
+            platt = LogisticRegression(featuresCol="rawPrediction", labelCol="label_idx", predictionCol="__platt",
+                                       rawPredictionCol="__platt_raw", family="multinomial", maxIter=200).fit(margins)
+            return PipelineModel([self._fitted(kept), platt])
+        finally:
+            kept.unpersist()
+
+    def _fitted(self, rows: DataFrame) -> Model:
+        """The classifier on ``rows``, which are on disk while it is fitted: else
+        one-vs-rest would keep a second copy of them in memory."""
+        part = rows.persist(StorageLevel.DISK_ONLY)
+        try:
+            return self.classifier.fit(part)
+        finally:
+            if "__cal" in rows.columns:
+                part.unpersist()
 
 
 # ------------------------------------------------------------------ Gaussian NB
