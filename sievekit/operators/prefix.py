@@ -23,6 +23,7 @@ import os
 import tempfile
 import zipfile
 from collections.abc import Iterator, Sequence
+from threading import Lock
 
 import numpy as np
 import pyarrow as pa
@@ -34,24 +35,27 @@ from pyspark.sql import types as T
 from ..session import reliable_checkpoint
 
 _SHIPPED: set[str] = set()
+_SHIPPING = Lock()
 
 
 def ship(spark: SparkSession) -> None:
     """Send the package's sources to the executors, once per application, for
-    Python tasks of a driver that was started from somewhere else."""
+    Python tasks of a driver that was started from somewhere else. Fits of several
+    folds come here at the same time: the first one ships, the others wait for it."""
     app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    archive = os.path.join(tempfile.mkdtemp(prefix="sievekit-src-"), "sievekit_operators.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        for folder, _, names in os.walk(package):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
-    spark.sparkContext.addPyFile(archive)
-    _SHIPPED.add(app)
+    with _SHIPPING:
+        if app in _SHIPPED:
+            return
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        archive = os.path.join(tempfile.mkdtemp(prefix="sievekit-src-"), "sievekit_operators.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for folder, _, names in os.walk(package):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        z.write(path, os.path.relpath(path, os.path.dirname(package)))
+        spark.sparkContext.addPyFile(archive)
+        _SHIPPED.add(app)
 
 
 def _same_as_before(column: pa.Array) -> np.ndarray:

@@ -1,9 +1,14 @@
 """Running sums and positions over range-sorted partitions."""
 
+import time
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+from types import SimpleNamespace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sievekit.operators.prefix import positions, running_sum
+from sievekit.operators.prefix import positions, running_sum, ship
 
 
 def _rows(spark):
@@ -35,3 +40,18 @@ def test_positions_without_groups_and_of_nothing(spark):
 def test_one_exchange(spark):
     plan = running_sum(_rows(spark), ["g"], [F.col("id")], ["v"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan  # the range shuffle lies before the checkpoint, nothing follows
+
+
+def test_sources_are_shipped_once_when_threads_ask_at_the_same_time():
+    sent = []
+
+    def add(path):
+        time.sleep(0.2)
+        if sent:
+            raise ValueError("already registered with a different path")  # as Spark does
+        sent.append(path)
+
+    spark = SimpleNamespace(sparkContext=SimpleNamespace(applicationId=f"app-{uuid.uuid4()}", addPyFile=add))
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda _: ship(spark), range(8)))
+    assert len(sent) == 1
