@@ -13,40 +13,37 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from .prefix import running_sum
 
 
-def class_grid(spark, classes: Sequence) -> DataFrame:
-    """(actual, predicted) for every ordered class pair, from a literal list
-    (size bounded by the class list), with positions for ordering."""
-    arr = F.array(*[F.lit(c) for c in classes])
-    return (spark.range(1).select(F.posexplode(arr).alias("a_pos", "actual"))
-            .select("a_pos", "actual", F.posexplode(arr).alias("p_pos", "predicted")))
-
-
 def confusion_table(df: DataFrame, label: str, prediction: str, classes: Sequence) -> DataFrame:
     """M5: (actual, predicted, n) over the fixed class order, zeros filled.
 
     No row is lost: labels or predictions that are null or not in
     ``classes`` are counted under null, in extra rows with a null position
-    that exist only when there are such values."""
-    known = lambda c: F.when(F.col(c).isin(*classes), F.col(c))
-    counts = df.groupBy(known(label).alias("actual"), known(prediction).alias("predicted")).agg(
-        F.count(F.lit(1)).alias("n"))
-    # read twice below: at most (classes + 1)^2 rows, so the scored rows are computed once
-    counts = df.sparkSession.createDataFrame(counts.collect(), counts.schema)
-    grid = class_grid(df.sparkSession, classes)
-    same = F.col("g.actual").eqNullSafe(F.col("c.actual")) & F.col("g.predicted").eqNullSafe(F.col("c.predicted"))
-    inside = (grid.alias("g").join(counts.alias("c"), same, "left")
-              .select("a_pos", F.col("g.actual").alias("actual"), "p_pos", F.col("g.predicted").alias("predicted"),
-                      F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
-    pos = class_grid(df.sparkSession, classes).select("a_pos", "actual").distinct()
-    outside = counts.where(F.col("actual").isNull() | F.col("predicted").isNull())
-    outside = (outside.join(pos, "actual", "left")
-               .join(pos.select(F.col("a_pos").alias("p_pos"), F.col("actual").alias("predicted")), "predicted", "left")
-               .select("a_pos", "actual", "p_pos", "predicted", F.col("n").cast("bigint").alias("n")))
-    return inside.unionByName(outside)
+    that exist only when there are such values.
+
+    The counts, at most (classes + 1)^2 rows, come to the driver, so the scored rows
+    are computed once; the table lies in one partition, and what is made of it
+    shuffles nothing."""
+    spark, none = df.sparkSession, F.lit(None).cast("int")
+    place = lambda c: F.coalesce(*[F.when(F.col(c) == F.lit(x), F.lit(i)) for i, x in enumerate(classes)], none)
+    counts = df.groupBy(place(label).alias("a"), place(prediction).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    got = {(r["a"], r["p"]): r["n"] for r in counts.collect()}
+    first = [list(classes).index(c) for c in classes]
+    cells = [(i, j, got.get((a, p), 0)) for i, a in enumerate(first) for j, p in enumerate(first)]
+    cells += [(a, p, n) for (a, p), n in got.items() if a is None or p is None]
+    listed = F.array(*[F.lit(c) for c in classes])
+
+    def named(col: str, at: str):
+        # of the type that holds the listed classes and the column's values
+        kind = spark.range(1).select(F.explode(listed).alias("c")).unionByName(df.select(F.col(col).alias("c"))).schema["c"].dataType
+        return F.get(listed.cast(ArrayType(kind)), F.col(at))
+
+    table = spark.createDataFrame(cells, "a_pos int, p_pos int, n bigint").coalesce(1)
+    return table.select("a_pos", named(label, "a_pos").alias("actual"), "p_pos", named(prediction, "p_pos").alias("predicted"), "n")
 
 
 def per_class_metrics(confusion: DataFrame, beta: float = 1.0) -> DataFrame:
@@ -54,19 +51,23 @@ def per_class_metrics(confusion: DataFrame, beta: float = 1.0) -> DataFrame:
     (zero_division -> 0). Support counts every row of the class, whatever
     was predicted; rows whose label is null or not listed form one more class
     (null) that nothing predicts."""
-    per = confusion.groupBy("a_pos", "actual").agg(
-        F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)).alias("tp"),
-        F.sum("n").alias("support"))
-    pred_tot = confusion.where("predicted IS NOT NULL").groupBy(F.col("predicted").alias("actual")).agg(
-        F.sum("n").alias("pred_n"))
-    m = per.join(pred_tot, "actual", "left").withColumn("pred_n", F.coalesce("pred_n", F.lit(0)))
+    def part(pos, cls, tp, support, pred_n):
+        return F.struct(pos.alias("position"), cls.cast(confusion.schema["actual"].dataType).alias("class"), tp.cast("bigint").alias("tp"),
+                        support.cast("bigint").alias("support"), pred_n.cast("bigint").alias("pred_n"))
+
+    # a cell counts for its label and, if there is one, for its prediction: one pass, no join
+    actual, predicted, n, zero = F.col("actual"), F.col("predicted"), F.col("n"), F.lit(0)
+    own = part(F.col("a_pos"), actual, F.when(actual == predicted, n).otherwise(zero), n, zero)
+    other = part(F.col("p_pos"), predicted, zero, zero, n)
+    parts = confusion.select(F.explode(F.when(predicted.isNull(), F.array(own)).otherwise(F.array(own, other))).alias("r")).select("r.*")
+    m = parts.groupBy("position", "class").agg(*[F.sum(c).alias(c) for c in ("tp", "support", "pred_n")])
     prec = F.coalesce(F.try_divide(F.col("tp"), F.col("pred_n").cast("double")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp"), F.col("support").cast("double")), F.lit(0.0))
     b2 = beta * beta
     f = F.coalesce(F.try_divide((1 + b2) * F.col("precision") * F.col("recall"),
                                 b2 * F.col("precision") + F.col("recall")), F.lit(0.0))
     return (m.withColumn("precision", prec).withColumn("recall", rec).withColumn("f1", f)
-            .select(F.col("a_pos").alias("position"), F.col("actual").alias("class"), "tp",
+            .select("position", "class", "tp",
                     (F.col("pred_n") - F.col("tp")).alias("fp"), (F.col("support") - F.col("tp")).alias("fn"),
                     F.col("support").cast("bigint").alias("support"), "precision", "recall", "f1"))
 

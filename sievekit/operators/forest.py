@@ -45,6 +45,8 @@ SHARD_CELLS = 16_384
 LOCAL_CELLS = 250_000
 #: numbers of the histograms that a task makes at a time
 HISTOGRAM = 4_000_000
+#: trees of several estimators that are grown in the same jobs
+TREES_TOGETHER = 200
 LEAF = 255
 
 
@@ -238,13 +240,16 @@ def _shards(batches: Iterator[pa.RecordBatch], width: int):
             yield shard, np.frombuffer(codes, np.uint8).reshape(-1, width), np.frombuffer(y, np.uint8), np.frombuffer(c, np.int64)
 
 
-def grow_trees(shards: DataFrame, cells: int, width: int, classes: int, trees: int, depth: int, least: int, k: int, bag: bool, seed: int,
+def grow_trees(shards: DataFrame, cells: int, width: int, classes: int, wanted: Sequence[tuple[int, int, int]], k: int, bag: bool, seed: int,
                local_cells: int) -> list[list[np.ndarray]]:
-    """All trees: (feature, border, left child, class weights, gains) each."""
+    """All ``wanted`` trees, (number for the draws, greatest depth, least rows of a node)
+    each, as (feature, border, left child, class weights, gains)."""
+    trees = len(wanted)
+    number, depth, least = zip(*wanted)
     # upper nodes per tree: [feature, border, left child, class weights, gain], children behind their parents
     upper: list[list[list]] = [[[LEAF, 0, 0, None, 0.0]] for _ in range(trees)]
     open_: list[set[int]] = [{0} for _ in range(trees)]
-    large = [(t, 0) for t in range(trees)] if cells > local_cells and depth > 0 else []
+    large = [(t, 0) for t in range(trees) if depth[t] > 0] if cells > local_cells else []
     spread = 2 * shards.sparkSession.sparkContext.defaultParallelism
     shards = shards.repartition(spread, "shard")
     arrays = lambda nodes: (np.array([n[0] for n in nodes], np.uint8), np.array([n[1] for n in nodes], np.uint8), np.array([n[2] for n in nodes], np.int32))
@@ -252,13 +257,13 @@ def grow_trees(shards: DataFrame, cells: int, width: int, classes: int, trees: i
     while large:
         of = {t: sorted(n for u, n in large if u == t) for t in {t for t, _ in large}}
         tops = {t: arrays(upper[t]) for t in of}
-        chosen = {(t, n): _pick(np.random.default_rng([seed, t, n, 1]), 1, width, k)[0] for t, n in large}
+        chosen = {(t, n): _pick(np.random.default_rng([seed, number[t], n, 1]), 1, width, k)[0] for t, n in large}
 
         def histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[tuple[int, int], np.ndarray] = {}
             for shard, codes, y, c in _shards(batches, width):
                 for t, nodes in of.items():
-                    w = _weights(c, bag, seed, t, shard)
+                    w = _weights(c, bag, seed, number[t], shard)
                     at = descend(*tops[t], codes)
                     for n in nodes:
                         i = np.flatnonzero((at == n) & (w > 0))
@@ -271,11 +276,11 @@ def grow_trees(shards: DataFrame, cells: int, width: int, classes: int, trees: i
 
         def choose(table: pa.Table) -> pa.Table:
             h = sum(np.frombuffer(b) for b in table.column("h").to_pylist()).reshape(1, k, MAX_BINS, classes + 1)
-            gain, left = _gains(h[..., :classes], least)
+            t, n = table.column("t")[0].as_py(), table.column("n")[0].as_py()
+            gain, left = _gains(h[..., :classes], least[t])
             (j,), (b,), (g,) = _best(gain)
             here = h[0, j].sum(axis=0)
             low = np.append(left[0, j, b], h[0, j, : b + 1, classes].sum())
-            t, n = table.column("t")[0].as_py(), table.column("n")[0].as_py()
             return pa.table({"t": [t], "n": [n], "f": pa.array([int(chosen[t, n][j])], pa.int32()), "b": pa.array([int(b)], pa.int32()), "g": [float(g)],
                              "low": pa.array([low.tolist()]), "here": pa.array([here.tolist()])})
 
@@ -292,7 +297,7 @@ def grow_trees(shards: DataFrame, cells: int, width: int, classes: int, trees: i
                 for side in (low, here - low):
                     m = len(nodes)
                     nodes.append([LEAF, 0, 0, side[:classes], 0.0])
-                    if side[:classes].max() < side[:classes].sum() and levels < depth:
+                    if side[:classes].max() < side[:classes].sum() and levels < depth[t]:
                         open_[t].add(m)
                         if side[classes] > local_cells:
                             large.append((t, m))
@@ -310,7 +315,7 @@ def grow_trees(shards: DataFrame, cells: int, width: int, classes: int, trees: i
             for t in range(trees):
                 if not roots[t]:
                     continue
-                w = _weights(c, bag, seed, t, shard)
+                w = _weights(c, bag, seed, number[t], shard)
                 at = descend(*tops[t], codes)
                 at[w == 0] = -1
                 for n in roots[t]:
@@ -325,8 +330,8 @@ def grow_trees(shards: DataFrame, cells: int, width: int, classes: int, trees: i
         t, n = table.column("t")[0].as_py(), table.column("n")[0].as_py()
         table = table.sort_by("shard")
         join = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
-        got = grow(join("codes", np.uint8).reshape(-1, width), join("y", np.uint8).astype(np.int64), join("w", float), classes, depth - deep[t][n], least, k,
-                   np.random.default_rng([seed, t, n, 2]))
+        got = grow(join("codes", np.uint8).reshape(-1, width), join("y", np.uint8).astype(np.int64), join("w", float), classes, depth[t] - deep[t][n], least[t], k,
+                   np.random.default_rng([seed, number[t], n, 2]))
         return pa.table({"t": [t], "n": [n], "tree": pa.array([pickle.dumps(pruned(*got))], pa.binary())})
 
     dealt = shards.mapInArrow(deal, "t bigint, n bigint, shard bigint, codes binary, y binary, w binary")
@@ -396,15 +401,13 @@ class BinnedForest(Estimator, _Classes, DefaultParamsReadable, DefaultParamsWrit
 
     def grown(self, prepared: tuple) -> BinnedForestModel:
         """The model on what ``prepare`` gave."""
-        of = self.getOrDefault
-        cuts, classes, shards, cells = prepared
-        width, trees = len(cuts), of("numTrees")
-        k = width if trees == 1 else int(np.ceil(np.sqrt(width)))
-        grown = grow_trees(shards, cells, width, classes, trees, of("maxDepth"), of("minInstancesPerNode"), k, of("bootstrap"), of("seed"), of("localCells"))
-        share = np.zeros(width)
+        return grown_together([self], prepared)[0]
+
+    def _model(self, grown: list[list[np.ndarray]], cuts: list[list[float]], classes: int) -> BinnedForestModel:
+        share = np.zeros(len(cuts))
         packed = []
         for f, b, c, w, g in grown:
-            own = np.bincount(f[f != LEAF], (g * w.sum(axis=1))[f != LEAF], width)
+            own = np.bincount(f[f != LEAF], (g * w.sum(axis=1))[f != LEAF], len(cuts))
             share += own / own.sum() if own.sum() > 0 else own
             leaf = f == LEAF
             kinds, which = np.unique(w[leaf] / np.maximum(w[leaf].sum(axis=1), 1)[:, None], axis=0, return_inverse=True)
@@ -416,6 +419,27 @@ class BinnedForest(Estimator, _Classes, DefaultParamsReadable, DefaultParamsWrit
         return self._copyValues(model)
 
 
+def grown_together(estimators: Sequence[BinnedForest], prepared: tuple) -> list[BinnedForestModel]:
+    """The model of each estimator on what ``prepare`` gave, the same as from ``grown``.
+    Trees of estimators that differ in depth, leaves and number of trees only are grown
+    in the same jobs, up to ``TREES_TOGETHER`` of them or those of one estimator."""
+    cuts, classes, shards, cells = prepared
+    width = len(cuts)
+    parts: list[tuple[tuple, list[int]]] = []
+    for i, e in enumerate(estimators):
+        of, trees = e.getOrDefault, e.getOrDefault("numTrees")
+        alike = (width if trees == 1 else int(np.ceil(np.sqrt(width))), of("bootstrap"), of("seed"), of("localCells"))
+        if not parts or parts[-1][0] != alike or trees + sum(estimators[j].getOrDefault("numTrees") for j in parts[-1][1]) > TREES_TOGETHER:
+            parts.append((alike, []))
+        parts[-1][1].append(i)
+    out = []
+    for alike, own in parts:
+        wanted = [(t, of("maxDepth"), of("minInstancesPerNode")) for of in (estimators[i].getOrDefault for i in own) for t in range(of("numTrees"))]
+        grown = iter(grow_trees(shards, cells, width, classes, wanted, *alike))
+        out += [estimators[i]._model([next(grown) for _ in range(estimators[i].getOrDefault("numTrees"))], cuts, classes) for i in own]
+    return out
+
+
 _TREES: dict[str, list] = {}
 
 

@@ -30,7 +30,7 @@ from ..session import reliable_checkpoint
 from .enrich import enrich_severity
 from .evaluate import evaluate
 from .features import add_payload_features
-from .forest import BinnedForest
+from .forest import BinnedForest, grown_together
 from .knn import knn_classify
 from .models import (
     DEFAULT_MODELS, FeatureScalerModel, FeatureScaler, ModelSpec, build_pipeline, fit_gaussian_nb, index_labels,
@@ -189,7 +189,8 @@ def fit(train: DataFrame, features: Sequence[str], label: str, model: str | Mode
 def fit_trees(train: DataFrame, features: Sequence[str], label: str, model: str | ModelSpec, configurations: Sequence[dict],
               scaler: str = "standard") -> list[Fitted]:
     """``fit`` for every configuration of a tree or forest; what doesn't depend on
-    it (label codes, scaling, borders and cells) is made once."""
+    it (label codes, scaling, borders and cells) is made once, and the trees of
+    several configurations are grown in the same jobs."""
     spec, feats = _spec(model), list(features)
     indexer = index_labels(train, label)
     rows = indexer.transform(train)
@@ -197,8 +198,8 @@ def fit_trees(train: DataFrame, features: Sequence[str], label: str, model: str
     stages = [build_pipeline(spec, feats, n, classes, scaler, params=params).getStages() for params in configurations]
     front = Pipeline(stages=stages[0][:-1]).fit(rows)
     prepared = stages[0][-1].prepare(front.transform(rows))
-    return [Fitted(name=spec.name, kind="pipeline", features=feats, labels=list(indexer.labels),
-                   model=PipelineModel([*front.stages, s[-1].grown(prepared)])) for s in stages]
+    return [Fitted(name=spec.name, kind="pipeline", features=feats, labels=list(indexer.labels), model=PipelineModel([*front.stages, m]))
+            for m in grown_together([s[-1] for s in stages], prepared)]
 
 
 class _Shared:
